@@ -182,7 +182,7 @@ class PieceCodec:
         if self.unk_sizes:
             table = self.size
             wide = np.array([n for c in chunks for n in self.unk_sizes.get(c) or table[np.frombuffer(known[c], "<u4")].tolist()], np.int64)
-            self.unk_sizes.clear() if len(self.unk_sizes) > 10_000 and self.memory.known.clear() is None else None
+            self._forget_unknown()
         else:
             wide = self.size[ids]
         self.memory.forget()
@@ -191,6 +191,12 @@ class PieceCodec:
             raise ValueError("the pieces don't cover the normalised text")
         return ids, source[ends - wide], source[ends]
 
+    def _forget_unknown(self) -> None:
+        """Chunks with unknown pieces are kept within a bound of their own."""
+        if len(self.unk_sizes) > 10_000:
+            self.unk_sizes.clear()
+            self.memory = ChunkMemory(self._segment)
+
     def decode(self, ids) -> str:
         """The text of ids; bytes that aren't UTF-8 give U+FFFD, one each."""
         surface = self.surface
@@ -230,30 +236,28 @@ def codec(path: str) -> PieceCodec:
     return _READY[path]
 
 
-def encode_texts(df: DataFrame, model_path: str, keep: list[str], text_col: str = "text") -> DataFrame:
-    """Beside `keep`: ids with begin and end, and the byte span of each (empty for begin and end)."""
+def encode_texts(df: DataFrame, model_path: str, keep: list[str], text_col: str = "text", spans: bool = True) -> DataFrame:
+    """Beside `keep`: n_tokens, ids with begin and end and, if asked for, the byte span of each (empty for those two)."""
 
     def run(batches):
         own = codec(model_path)
         for batch in batches:
-            held = []
-            for row, text in enumerate(batch.column(text_col)):
-                ids, a, b = own.encode(text.as_py())
-                n = len((text.as_py() or "").encode())
-                held.append((row, [own.bos, *ids.tolist(), own.eos], [0, *a.tolist(), n], [0, *b.tolist(), n]))
-                if sum(len(h[1]) for h in held[-8:]) > 1 << 18 or len(held) == 512:
-                    yield _ids_batch(batch, keep, held)
-                    held = []
-            if held:
-                yield _ids_batch(batch, keep, held)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                cols = [[], [], []]
+                for text in part.column(text_col):
+                    value = text.as_py() or ""
+                    ids, a, b = own.encode(value)
+                    size = len(value.encode())
+                    for column, x, first, last in zip(cols, (ids, a, b), (own.bos, 0, 0), (own.eos, size, size), strict=True):
+                        column.append(np.concatenate([[first], x, [last]]))
+                ends = np.cumsum([0, *(len(x) for x in cols[0])], dtype=np.int32)
+                lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(c).astype(kind))) for c, kind in zip(cols, (np.int32, np.int64, np.int64), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(np.diff(ends).astype(np.int64)), *lists[: 3 if spans else 1]], [*keep, "n_tokens", "ids", "begins", "ends"][: len(keep) + (4 if spans else 2)])
 
     kept = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, f"{kept}, ids array<int>, begins array<long>, ends array<long>")
-
-
-def _ids_batch(batch: pa.RecordBatch, keep: list[str], held: list[tuple]) -> pa.RecordBatch:
-    rows = pa.array([h[0] for h in held])
-    return pa.RecordBatch.from_arrays([*(batch.column(c).take(rows) for c in keep), pa.array([h[1] for h in held], pa.list_(pa.int32())), pa.array([h[2] for h in held], pa.list_(pa.int64())), pa.array([h[3] for h in held], pa.list_(pa.int64()))], [*keep, "ids", "begins", "ends"])
+    more = ", begins array<long>, ends array<long>" if spans else ""
+    return df.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, f"{kept}, n_tokens long, ids array<int>{more}")
 
 
 CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, spans_crc32 long, covered boolean"

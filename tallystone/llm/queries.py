@@ -5,10 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallystone.llm import idpack, piececodec, tiff, tokencount
+from tallystone.llm import fingerprints, idpack, langid, lm, mixing, neardup, pii, piececodec, tiff, tokencount
 from tallystone.llm.common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.document_languages(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -17,6 +29,14 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piececodec.coded_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
 def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff.stored_texts(table(spark, sf_dir, "documents"))
 
@@ -25,7 +45,16 @@ def op9_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idpack.packed_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = [op4_token_counts, op5_sentencepiece, op8_media_columns, op9_token_ids]
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 1 where it has all its evidence: markup, address suffix and host of web pages."""
+    return langid.page_languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+QUERIES = [op1_language_id, op2_personal_data, op3_near_duplicates, op4_token_counts, op5_sentencepiece, op6_lm_scores, op7_fingerprints, op8_media_columns, op9_token_ids, op10_source_mix, page_languages]
 
 
 def queries() -> dict:
