@@ -33,6 +33,9 @@ from tallystone.llm.common import written
 SEED = 42
 CROWD = 48
 RADIUS = 2
+WIDE = 4  # words of a wide fingerprint
+FAR = 42  # of its 256 bits may differ: 0.16 of them, what shingle sets of similarity 0.8 differ in and a little
+TABLES = 40
 #: bits of a byte, each in a byte of its own
 SPREAD = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.uint64) << (8 * np.arange(8, dtype=np.uint64))).sum(1).astype(np.uint64)
 
@@ -54,8 +57,8 @@ def hashes_of(text: str | None, words: int) -> np.ndarray:
     return np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends, strict=True)], np.uint64)
 
 
-def fingerprint(hashes: np.ndarray) -> int:
-    """Bits that are set in over half of the hashes; zero of none."""
+def votes(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes set each of the 64 bits, the lowest bit first."""
     counts = np.zeros((8, 8), np.int64)
     for i in range(0, len(hashes), 255 * 64):
         part = SPREAD[np.ascontiguousarray(hashes[i : i + 255 * 64]).view(np.uint8).reshape(-1, 8)]
@@ -64,8 +67,28 @@ def fingerprint(hashes: np.ndarray) -> int:
             counts += part[:full].reshape(-1, 255, 8).sum(1).view(np.uint8).reshape(-1, 8, 8).sum(0, dtype=np.int64)
         if full < len(part):
             counts += part[full:].sum(0).view(np.uint8).reshape(8, 8)
-    bits = (2 * counts > len(hashes)).reshape(64)
-    return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
+    return counts.reshape(64)
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """Bits that are set in over half of the hashes; zero of none."""
+    return int(np.packbits(2 * votes(hashes) > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
+def mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
+    """Other hashes of what the hashes stand for; turn 0 leaves them."""
+    if turn == 0:
+        return hashes
+    x = hashes + np.uint64(turn * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_bits(hashes: np.ndarray) -> np.ndarray:
+    """The bits of a fingerprint of WIDE words, of distinct shingles; its first word is the plain fingerprint of those."""
+    own = np.unique(hashes)
+    return np.concatenate([2 * votes(mixed(own, k)) > len(own) for k in range(WIDE)])
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -157,9 +180,59 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def wide_prints(df: DataFrame, words: int, sampled: int) -> DataFrame:
+    """doc_id, text_key, w (the wide fingerprint) and slots: in each table, the table and `sampled` bits of the fingerprint."""
+    picks = np.stack([np.random.default_rng(t).permutation(64 * WIDE)[:sampled] for t in range(TABLES)])
+    powers = np.int64(1) << np.arange(sampled, dtype=np.int64)
+    heads = np.arange(TABLES, dtype=np.int64) << 48
+
+    def run(batches):
+        for batch in batches:
+            w, slots = [], []
+            for text in batch.column(2):
+                bits = wide_bits(hashes_of(text.as_py(), words))
+                w.append(np.packbits(bits, bitorder="little").view(np.int64))
+                slots.append(heads + (bits[picks] * powers).sum(1))
+            ends = lambda n: pa.array(np.arange(len(w) + 1, dtype=np.int32) * n)
+            flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends(WIDE), flat(w)), pa.ListArray.from_arrays(ends(TABLES), flat(slots))], ["doc_id", "text_key", "w", "slots"])
+
+    return df.selectExpr("cast(doc_id as long) doc_id", "xxhash64(coalesce(text, '')) text_key", "text").mapInArrow(run, "doc_id long, text_key long, w array<long>, slots array<long>")
+
+
+def similar_classes(df: DataFrame, words: int = 5) -> DataFrame:
+    """doc_id, text_key and root of every row: components of texts whose shingle sets are alike, about 0.8 or more.
+
+    At that similarity, plain fingerprints differ in 5 to 13 bits, where bounds by popcount
+    no longer tell texts apart. So beside the grid join over the plain fingerprints, tables
+    of sampled bits of a wide fingerprint give candidates: all that share a table's slot are
+    compared with its least, its greatest and its middle one (by a hash), never with each
+    other, so a slot costs as many rows as it has. Candidates of either kind are links if
+    their wide fingerprints differ in FAR bits or fewer.
+    """
+    sampled = min(40, max(12, df.count().bit_length() + 2))
+    prints = written(wide_prints(df, words, sampled).withColumn("node", F.xxhash64("w")), "wide")
+    nodes = written(prints.groupBy("node").agg(F.first("w").alias("w"), F.first("slots").alias("slots")), "nodes")
+    filed = nodes.select("node", F.explode("slots").alias("slot"))
+    turned = F.lit(0x5DEECE66D1234567)
+    heads = filed.groupBy("slot").agg(F.count("*").alias("n"), F.min("node").alias("x"), F.max("node").alias("y"), F.min(F.col("node").bitwiseXOR(turned)).bitwiseXOR(turned).alias("z")).where("n > 1").drop("n")
+    pairs = filed.join(heads, "slot").select(F.col("node").alias("p"), F.explode(F.array("x", "y", "z")).alias("q")).where("p <> q")
+    # the grid join works on first words; a node of each stands for it
+    firsts = nodes.groupBy(F.get("w", F.lit(0)).alias("fp")).agg(F.min("node").alias("stand"))
+    plain = links(firsts.select("fp"))
+    stood = plain.join(firsts.select(F.col("fp").alias("a"), F.col("stand").alias("p")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("stand").alias("q")), "b").select("p", "q")
+    alike = nodes.join(firsts, F.get("w", F.lit(0)) == F.col("fp")).where("node <> stand").select(F.col("node").alias("p"), F.col("stand").alias("q"))
+    every = pairs.union(stood).union(alike).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    bits = nodes.select("node", "w")
+    both = every.join(bits.select(F.col("node").alias("a"), F.col("w").alias("wa")), "a").join(bits.select(F.col("node").alias("b"), F.col("w").alias("wb")), "b")
+    differ = sum((F.bit_count(F.get("wa", F.lit(i)).bitwiseXOR(F.get("wb", F.lit(i)))) for i in range(1, WIDE)), F.bit_count(F.get("wa", F.lit(0)).bitwiseXOR(F.get("wb", F.lit(0)))))
+    roots = components(both.where(differ <= FAR).select("a", "b")).withColumnRenamed("node", "_node")
+    return prints.join(roots, prints.node == roots._node, "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
+
+
 def kept_documents(df: DataFrame, words: int = 5) -> DataFrame:
     """The rows of df that stay: one of each component, that of the least id (null is the greatest), then the least text key."""
-    found = classed(df, words=words)
+    found = written(similar_classes(df, words), "classes")
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_key")).alias("w")).select("root", "w.doc_id", "w.text_key")
     stay = written(found.join(best.select("root", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "root").where("doc_id <=> _id and text_key = _key").groupBy("_id", "_key").agg(F.count("*").alias("_n")), "stay")
     own = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_key"))

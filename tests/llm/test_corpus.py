@@ -359,3 +359,26 @@ def test_scorer_is_normalised_and_learns(lm_rows):
     even = lm.Scorer(classes, {})
     texts = [np.array(classes.classify(t.split()), np.int64) for _, t in lm_rows[:50]]
     assert sum(map(s.score, texts)) > sum(map(even.score, texts)) + 1000
+
+
+def test_similar_documents_share_a_class(spark):
+    rng = random.Random(21)
+    fresh = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    rows, near, far = [], [], []
+    for i in range(60):
+        text = fresh(200)
+        words = text.split()
+        a, b = words[:], words[:]
+        for j in rng.sample(range(200), 2):
+            a[j] = "edited"
+        for j in rng.sample(range(200), 40):
+            b[j] = "other" + str(j)
+        rows += [(3 * i, text), (3 * i + 1, " ".join(a)), (3 * i + 2, " ".join(b))]
+        near.append((3 * i, 3 * i + 1))
+        far.append((3 * i, 3 * i + 2))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    root = {r.doc_id: r.root for r in neardup.similar_classes(df).collect()}
+    assert sum(root[a] == root[b] for a, b in near) >= 58
+    assert all(root[a] != root[b] for a, b in far)
+    stay = {r.doc_id for r in neardup.kept_documents(df).collect()}
+    assert len(stay) <= 122 and all(3 * i in stay and 3 * i + 2 in stay for i in range(60))
