@@ -83,7 +83,6 @@ def digest(message: bytes) -> bytes:
     return digests([message])[0]
 
 
-@F.pandas_udf("binary")
 def _batch(raw: pd.Series) -> pd.Series:
     values = [None if r is None else bytes(r) for r in raw]
     got = iter(digests([v for v in values if v is not None]))
@@ -92,4 +91,4 @@ def _batch(raw: pd.Series) -> pd.Series:
 
 def keccak256(raw: Column) -> Column:
     """Of a binary column; null stays null."""
-    return _batch(raw)
+    return F.pandas_udf(_batch, "binary")(raw)

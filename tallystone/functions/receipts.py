@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallystone.functions import keccak, rlp
@@ -62,8 +63,15 @@ def unpack(raw: bytes) -> dict:
     return {"status": head[0], "gas_used": head[1], "cumulative": head[2], "logs": logs}
 
 
-@F.pandas_udf("status long, gas_used long, cumulative long, logs array<struct<address:binary,topics:array<binary>,data:binary>>")
-def decode_receipt(raw: pd.Series) -> pd.DataFrame:
+RECEIPT = "status long, gas_used long, cumulative long, logs array<struct<address:binary,topics:array<binary>,data:binary>>"
+
+
+def decode_receipt(raw: Column | str) -> Column:
+    """The fields of RECEIPT of a binary column; null stays null."""
+    return F.pandas_udf(_receipts, RECEIPT)(raw)
+
+
+def _receipts(raw: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([dict.fromkeys(("status", "gas_used", "cumulative", "logs")) if r is None else unpack(bytes(r)) for r in raw], columns=["status", "gas_used", "cumulative", "logs"])
 
 

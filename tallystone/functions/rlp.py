@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -87,8 +88,12 @@ def transaction(raw: bytes) -> dict:
     return {"type": kind, "nonce": number(nonce), "gas": number(gas), "gas_price": None if kind == 2 else _word(price), "fee_cap": _word(cap), "tip_cap": _word(tip), "to": to or None, "value": _word(value), "input": data}
 
 
-@F.pandas_udf(TX)
-def decode_transaction(raw: pd.Series) -> pd.DataFrame:
+def decode_transaction(raw: Column | str) -> Column:
+    """The fields of TX of a binary column; null stays null."""
+    return F.pandas_udf(_transactions, TX)(raw)
+
+
+def _transactions(raw: pd.Series) -> pd.DataFrame:
     names = [f.split()[0] for f in TX.split(", ")]
     return pd.DataFrame([dict.fromkeys(names) if r is None else transaction(bytes(r)) for r in raw], columns=names)
 
@@ -96,9 +101,12 @@ def decode_transaction(raw: pd.Series) -> pd.DataFrame:
 ACCOUNT = "nonce long, balance binary, root binary, code_hash binary"
 
 
-@F.pandas_udf(ACCOUNT)
-def decode_account(raw: pd.Series) -> pd.DataFrame:
-    """Of account rows; an empty row (a deleted account) gives nulls."""
+def decode_account(raw: Column | str) -> Column:
+    """The fields of ACCOUNT of account rows; an empty row (a deleted account) gives nulls."""
+    return F.pandas_udf(_accounts, ACCOUNT)(raw)
+
+
+def _accounts(raw: pd.Series) -> pd.DataFrame:
     rows = []
     for r in raw:
         if not r:
