@@ -69,3 +69,16 @@ def suggestions(price: DataFrame, base_fee: int, next_base: int) -> DataFrame:
     capped = F.least(tip, F.lit(TIP_CAP))
     picks = {"slow": F.greatest(F.floor(capped * 95 / 100), F.lit(1)), "normal": capped, "fast": F.floor(tip * 105 / 100)}
     return price.select("price", *(c.cast("long").alias(f"{k}_tip") for k, c in picks.items()), *((c + 2 * next_base).cast("long").alias(f"{k}_cap") for k, c in picks.items()))
+
+
+def least_passing(low: int, high: int, passes) -> int | None:
+    """The least number in (low, high] that passes, for a test that stays passed; None if high fails. Errors of the test end the search."""
+    if not passes(high):
+        return None
+    while low + 1 < high:
+        middle = (low + high) // 2
+        if passes(middle):
+            high = middle
+        else:
+            low = middle
+    return high

@@ -68,3 +68,17 @@ def recovered(versions: DataFrame, roll: int, head: int) -> DataFrame:
 def modified(versions: DataFrame, first: int, last: int) -> DataFrame:
     """Accounts written in a range (an extension: there is no index of them elsewhere)."""
     return versions.where(F.col("txnum").between(first, last)).select("addr").distinct()
+
+
+def overridden(view: DataFrame, replaced: DataFrame, changed: DataFrame) -> DataFrame:
+    """A view (addr, slot, val) under overrides: `replaced` accounts keep only the slots given, `changed` slots win.
+
+    An account in both is an error, as the two exclude each other.
+    """
+    twice = replaced.select("addr").distinct().join(changed.select("addr").distinct(), "addr")
+    if not twice.isEmpty():
+        raise ValueError("an account has both a full state and a difference")
+    base = view.join(replaced.select("addr").distinct(), "addr", "left_anti").withColumn("level", F.lit(0))
+    over = replaced.unionByName(changed).withColumn("level", F.lit(1))
+    best = base.unionByName(over).groupBy("addr", "slot").agg(F.max_by("val", "level").alias("val"))
+    return best.where("val is not null")
