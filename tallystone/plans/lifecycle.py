@@ -173,3 +173,96 @@ def a15_transaction_roots(spark, d):
 def topic_counts(spark, d):
     logs = B.logs(spark, d, multi=True)
     return L.elog(logs.where("false")).selectExpr("topic0", "cast(null as int) topics").union(logs.select(F.get("topics", F.lit(0)), F.size("topics"))).distinct()
+
+
+@query("SELECT b.height, b.first_tx, CASE WHEN e.tx_count = 0 THEN e.first_tx - 1 ELSE e.boundary_tx - 1 END last_tx FROM blocks b JOIN blocks e ON e.height = b.height + 9 WHERE b.height % 100 = 0", **one)
+def q3_block_ranges(spark, d):
+    """The slots of transactions of ten blocks from every hundredth on; an empty last block ends one below."""
+    b = B.blocks(spark, d)
+    ends = b.select((F.col("height") - 9).alias("height"), F.when(F.col("tx_count") == 0, F.col("first_tx") - 1).otherwise(F.col("boundary_tx") - 1).alias("last_tx"))
+    return b.where("height % 100 = 0").join(ends, "height").select("height", "first_tx", "last_tx")
+
+
+@query("SELECT emitter, upper(printf('%064x', emitter)) topic, emitter address FROM (SELECT DISTINCT emitter FROM logs)", **many)
+def p7_f5_address_topics(spark, d):
+    own = B.logs(spark, d).select("emitter").distinct()
+    topic = encoding.address_topic(F.unhex(F.lpad(F.hex("emitter"), 40, "0")))
+    return own.select("emitter", F.hex(topic).alias("topic"), F.conv(F.hex(encoding.topic_address(topic)), 16, 10).cast("long").alias("address"))
+
+
+@query("SELECT height, sha256(concat('block ', height)) id, upper(printf('%016x', height)) key, CASE WHEN height = 0 THEN '' ELSE upper(CASE WHEN length(to_hex(height)) % 2 = 1 THEN concat('0', to_hex(height)) ELSE to_hex(height) END) END trimmed FROM blocks", **one)
+def f3_f4_f6_ids_and_keys(spark, d):
+    h = F.col("height")
+    return B.blocks(spark, d).select("height", F.sha2(F.concat(F.lit("block "), h.cast("string")), 256).alias("id"), F.hex(encoding.number_key(h)).alias("key"), F.hex(encoding.trimmed(encoding.number_key(h))).alias("trimmed"))
+
+
+@query("SELECT event_id, epoch_ms(ts) // 1000 AS secs, epoch_ms(ts) % 1000 AS millis FROM events")
+def f19_block_time(spark, d):
+    """Header seconds, refined by milliseconds."""
+    ts = F.to_utc_timestamp("ts", "UTC").cast("timestamp_ntz")
+    whole = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+    return B.table(spark, d, "events").select("event_id", F.floor(whole / 1000).alias("secs"), (whole % 1000).alias("millis"))
+
+
+@query("SELECT c_custkey addr, c_acctbal balance, coalesce(n, 0) nonce, n_name code FROM customer LEFT JOIN (SELECT sender, count(*) n FROM txs WHERE txnum <= 3000 GROUP BY 1) ON sender = c_custkey LEFT JOIN nation ON n_nationkey = c_nationkey", **one)
+def j7_q24_state_bundle(spark, d):
+    """Balance, nonce at a slot and code of every account, the code joined by its hash (here a nation's key)."""
+    nonces = B.txs(spark, d).where("txnum <= 3000").groupBy(F.col("sender").alias("addr")).agg(F.count("*").alias("nonce"))
+    codes = B.table(spark, d, "nation").select(F.col("n_nationkey").alias("code_hash"), F.col("n_name").alias("code"))
+    own = B.table(spark, d, "customer").select(F.col("c_custkey").alias("addr"), F.col("c_acctbal").alias("balance"), F.col("c_nationkey").alias("code_hash"))
+    return own.join(nonces, "addr", "left").join(codes, "code_hash", "left").select("addr", "balance", F.coalesce("nonce", F.lit(0)).alias("nonce"), "code")
+
+
+@query("SELECT token, standard, row_number() OVER (ORDER BY CASE standard WHEN 'erc20' THEN 0 WHEN 'erc721' THEN 1 ELSE 2 END, token) - 1 place FROM (SELECT DISTINCT emitter token, CASE WHEN t0 = 'error' THEN 'erc1155' WHEN n = 3 THEN 'erc20' ELSE 'erc721' END standard FROM logs WHERE emitter < 12 AND ((t0 IN ('click', 'purchase') AND n IN (3, 4)) OR (t0 = 'error' AND n = 4)))", **many)
+def k7_sorted_tokens(spark, d):
+    named = B.logs(spark, d, multi=True).where("emitter < 12").withColumn("standard", L.standard_of(B.TRANSFER, B.MULTI)).where("standard is not null")
+    rank = F.when(F.col("standard") == "erc20", 0).when(F.col("standard") == "erc721", 1).otherwise(2)
+    from pyspark.sql import Window
+
+    listed = named.select(F.col("emitter").alias("token"), "standard").distinct()
+    return listed.withColumn("place", F.row_number().over(Window.orderBy(rank, "token")) - 1)  # tokens of one holder
+
+
+@query("SELECT user_id category, count(*) queries, count(*) FILTER (WHERE event_type = 'error') mismatches, count(*) FILTER (WHERE event_type = 'signup') skipped FROM events GROUP BY 1")
+def a25_tally(spark, d):
+    return B.table(spark, d, "events").groupBy(F.col("user_id").alias("category")).agg(F.count("*").alias("queries"), F.count_if(F.col("event_type") == "error").alias("mismatches"), F.count_if(F.col("event_type") == "signup").alias("skipped"))
+
+
+@query("SELECT height, hash, parent_hash FROM blocks", **one)
+def t1_new_heads(spark, d):
+    """Every block's head out of a stream of landed blocks."""
+    landing = shared_uri(spark, "blocks")
+    rows = B.blocks(spark, d).select("height", "hash", "parent_hash")
+    rows.repartitionByRange(4, "height").write.parquet(landing)
+    return _drained(spark, follow.new_heads(follow.landed(spark, landing, rows.schema)), "heads")
+
+
+@query("SELECT txnum, height FROM txs", **one)
+def s10_window_and_runs(spark, d):
+    """Rows of the runs and of the window that isn't flushed yet, as every read sees them."""
+    rows = written(B.txs(spark, d).select("txnum", "height"), "txs")
+    blocks = written(B.blocks(spark, d), "blocks")
+    corpus = runs.Corpus(spark, shared_uri(spark, "corpus"), "root")
+    cuts = _cuts(blocks, 4 * SLOTS, 4 * BLOCKS)
+    if not cuts:
+        return rows
+    corpus.flush(rows, cuts[0])
+    return corpus.read().unionByName(rows.where(F.col("txnum") >= cuts[0][1]))
+
+
+@query("SELECT true tiled, true counted, true same", **one)
+def v8_v9_v10_runs_verified(spark, d):
+    """Tiling, row counts and contents of the merged corpus against the rows that went in."""
+    corpus = _corpus(spark, d)
+    kept = corpus.runs()
+    runs.check_tiling(kept)
+    name, n = runs.content_name(corpus.read().select("txnum", "height", "tx_hash"))
+    want, total = runs.content_name(B.txs(spark, d).select("txnum", "height", "tx_hash"))
+    return spark.createDataFrame([(True, n == total == sum(r.rows for r in kept), name == want)], "tiled boolean, counted boolean, same boolean")
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) n, cast(sum(tx_count) AS bigint) txs FROM blocks JOIN orders ON o_orderkey = height GROUP BY ROLLUP (o_orderstatus, o_orderpriority)", **one)
+def extension_rollup(spark, d):
+    """An extension: the canonical tables answer what relational queries ask."""
+    joined = B.blocks(spark, d).join(B.table(spark, d, "orders"), F.col("o_orderkey") == F.col("height"))
+    return joined.rollup("o_orderstatus", "o_orderpriority").agg(F.count("*").alias("n"), F.sum("tx_count").alias("txs"))

@@ -167,3 +167,21 @@ def test_poll_filters():
     assert f.uninstall(name) and not f.uninstall(name)
     with pytest.raises(KeyError):
         f.changes(name)
+
+
+def test_elias_fano():
+    from tallystone.functions import eliasfano
+
+    rng = random.Random(4)
+    for n in (0, 1, 2, 100, 4096):
+        for top in (n + 1, 10 * n + 5, 2**40):
+            numbers = sorted(rng.sample(range(top), n))
+            payload = [rng.randrange(32) for _ in numbers]
+            assert eliasfano.decode(eliasfano.encode(numbers, payload)) == (numbers, payload)
+            assert eliasfano.decode(eliasfano.encode(numbers)) == (numbers, [0] * n)
+    whole = eliasfano.encode([1, 5, 9], [1, 2, 3])
+    for bad in (whole[:-1], whole + b"x"):
+        with pytest.raises(ValueError):
+            eliasfano.decode(bad)
+    with pytest.raises(ValueError):
+        eliasfano.encode([3, 3])
