@@ -196,7 +196,7 @@ def f3_f4_f6_ids_and_keys(spark, d):
     return B.blocks(spark, d).select("height", F.sha2(F.concat(F.lit("block "), h.cast("string")), 256).alias("id"), F.hex(encoding.number_key(h)).alias("key"), F.hex(encoding.trimmed(encoding.number_key(h))).alias("trimmed"))
 
 
-@query("SELECT event_id, epoch_ms(ts) // 1000 AS secs, epoch_ms(ts) % 1000 AS millis FROM events")
+@query("SELECT event_id, epoch_us(ts) // 1000000 AS secs, epoch_us(ts) // 1000 % 1000 AS millis FROM events")
 def f19_block_time(spark, d):
     """Header seconds, refined by milliseconds."""
     ts = F.to_utc_timestamp("ts", "UTC").cast("timestamp_ntz")
