@@ -3,27 +3,49 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 LONGEST = 64  # characters of a chunk that is worth keeping
-KEPT = 400_000  # chunks kept at most; beyond, the memory starts anew
+KEPT = 400_000  # chunks of a generation; two generations are kept at most
 
 
 class ChunkMemory:
-    """chunk -> value, where `make` gives the values of a list of new chunks at once."""
+    """chunk -> value, where `make` gives the values of a list of new chunks at once.
+
+    A full generation becomes the old one; what is met again moves from it to the new one,
+    so that frequent chunks stay and rare ones go.
+    """
 
     def __init__(self, make: Callable[[list[str]], list]) -> None:
-        self.make, self.known = make, {}
+        self.make, self.known, self.old, self.long = make, {}, {}, []
 
     def learn(self, chunks: set[str]) -> dict:
         """The memory, holding a value for each of these chunks until the next call."""
         if len(self.known) > KEPT:
-            self.known = {}
-        if new := [c for c in chunks if c not in self.known]:
-            self.known.update(zip(new, self.make(new), strict=True))
-            self.long = [c for c in new if len(c) > LONGEST]
-        else:
-            self.long = []
-        return self.known
+            self.old, self.known = self.known, {}
+        known, old, new = self.known, self.old, []
+        for c in chunks.difference(known):
+            value = old.get(c)
+            if value is None:
+                new.append(c)
+            else:
+                known[c] = value
+        if new:
+            known.update(zip(new, self.make(new), strict=True))
+        self.long = [c for c in new if len(c) > LONGEST]
+        return known
+
+    def lists(self, texts: list[list[str]]) -> list[list]:
+        """The values of the chunks of each text; what is new among all of them is made at once."""
+        known = self.learn(set(chain.from_iterable(texts)))
+        got = [list(map(known.__getitem__, chunks)) for chunks in texts]
+        self.forget()
+        return got
+
+    def value(self, chunk: str):
+        """What is known of a chunk, or None."""
+        got = self.known.get(chunk)
+        return self.old.get(chunk) if got is None else got
 
     def forget(self) -> None:
         """Drop the long chunks of the last call."""

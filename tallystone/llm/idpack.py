@@ -15,9 +15,11 @@ rows with equal ids keep an order by their contents; an empty table gives no row
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallystone.llm.chunks import ChunkMemory
+from tallystone.llm.chunks import LONGEST, ChunkMemory
 from tallystone.llm.common import partitions, range_of, shared_uri, split_points
 
 MAGIC = b"TLYIDS01"
@@ -140,17 +142,82 @@ class Reader:
             yield key, start, self.ids(start, stop)
 
 
-_READY: dict[str, ChunkMemory] = {}
-SPACES = str.maketrans("\t\n\r", "   ")
+_READY: dict[tuple[str, str], ChunkMemory] = {}
+#: letters, then marks: the tokenizer looks at them apart (not at an apostrophe, nor at "<")
+WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:;=-@\[-`{-~]+)")
+DOTTED = "\u0130"  # the letter whose lower case ends in a mark
+TOGETHER = 256  # plain words encoded as one text
 
 
-def _memory(path: str) -> ChunkMemory:
-    if path not in _READY:
+class WordEncoder:
+    """Ids, packed by `code`, of chunks without blanks.
+
+    Plain words are encoded many at a time: each ends where a token with the model's word
+    end stands. Should a text not give as many ends as it has words, its words are encoded
+    one by one, like all other chunks.
+    """
+
+    def __init__(self, path: str, code: str) -> None:
         from tokenizers import Tokenizer
 
-        model = Tokenizer.from_file(path)
-        _READY[path] = ChunkMemory(lambda chunks: [np.array(e.ids, "<u4").tobytes() for e in model.encode_batch_fast(chunks, add_special_tokens=False)])
-    return _READY[path]
+        self.model, self.code = Tokenizer.from_file(path), code
+        self.size = array(code).itemsize
+        vocabulary = self.model.get_vocab()
+        mark = getattr(self.model.model, "end_of_word_suffix", None) or ""
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if mark:
+            self.ends[[i for w, i in vocabulary.items() if w.endswith(mark)]] = True
+
+    def _each(self, chunks: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.model.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def __call__(self, chunks: list[str]) -> list[bytes]:
+        plain, other, found = [], [], {}
+        for c in chunks:
+            (plain if c.isalpha() else other).append(c)
+        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        for words, e in zip(groups, self.model.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, np.int64)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(words) or stops[-1] != len(ids):
+                other += words
+                continue
+            flat, at = ids.astype(self.code).tobytes(), (stops * self.size).tolist()
+            found.update((w, flat[a:b]) for w, a, b in zip(words, [0, *at[:-1]], at, strict=True))
+        found.update(zip(other, self._each(other), strict=True))
+        return [found[c] for c in chunks]
+
+
+def _memory(path: str, code: str = "I") -> ChunkMemory:
+    if (path, code) not in _READY:
+        encode = WordEncoder(path, code)
+
+        def make(chunks: list[str]) -> list[bytes]:
+            known, old, parts, new = memory.known, memory.old, {}, {}
+            for c in chunks:
+                if c and not c[-1].isalnum() and (m := WORD_AND_MARKS.fullmatch(c)) and m[1].isalpha() and m[1][-1] != DOTTED:
+                    parts[c] = m.groups()
+                    for p in parts[c]:
+                        if p not in known and p not in old:
+                            new[p] = None
+                else:
+                    new[c] = None
+            own = dict(zip(new, encode(list(new)), strict=True))
+            for p in {p for pair in parts.values() for p in pair}:
+                if p not in own:
+                    own[p] = known[p] if p in known else old[p]
+                if len(p) <= LONGEST:
+                    known[p] = own[p]
+            return [own[parts[c][0]] + own[parts[c][1]] if c in parts else own[c] for c in chunks]
+
+        memory = _READY[path, code] = ChunkMemory(make)
+    return _READY[path, code]
+
+
+def chunks_of(text: str) -> list[str]:
+    """What stands between blanks; ASCII is lower-cased, as the tokenizer does, but for special tokens' names."""
+    text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
+    return (text.lower() if text.isascii() and "<" not in text else text).split(" ")
 
 
 def encode_ids(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 1 << 16) -> DataFrame:
@@ -159,21 +226,18 @@ def encode_ids(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "d
     The tokenizer drops white space before it looks at words, so chunks between blanks are
     encoded once and remembered within a bound.
     """
-    kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    code = "H" if vocabulary <= 1 << 16 else "I"
 
     def run(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        memory, end = _memory(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        memory, end = _memory(tokenizer_path, code), array(code, [end_id]).tobytes()
         for batch in batches:
             out = []
-            for text in batch.column(1):
-                chunks = (text.as_py() or "").translate(SPACES).split(" ")
-                known = memory.learn(set(chunks))
-                flat = b"".join([known[c] for c in chunks]) + end
-                out.append(np.frombuffer(flat, "<u4").astype(kind).tobytes())
-                memory.forget()
+            for at in range(0, batch.num_rows, 256):
+                texts = [chunks_of(t.as_py() or "") for t in batch.column(1).slice(at, 256)]
+                out += [b"".join(values) + end for values in memory.lists(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["key", "ids"])
 
     return df.selectExpr(f"cast(`{id_col}` as long) key", f"`{text_col}` text").mapInArrow(run, "key long, ids binary")
