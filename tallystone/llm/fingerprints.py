@@ -37,16 +37,15 @@ def text_keys(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("key"), F.xxhash64(F.lit(1), text).alias("key2")]
 
 
-def terms(text: Column) -> Column:
-    """Hashes of the pairs of neighbouring words, of the word itself if there is but one."""
-    words = F.filter(F.split(F.lower(text), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    pair = lambda w: F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: F.xxhash64(a, b))
-    return F.aggregate(F.array(words), F.array().cast("array<bigint>"), lambda _, w: F.when(F.size(w) > 1, pair(w)).otherwise(F.transform(w, lambda x: F.xxhash64(x))))
-
-
 def prints_of(texts: DataFrame) -> DataFrame:
     """key, key2, fp of each distinct value of the column `text` of texts, nulls excepted."""
-    votes = texts.select(*text_keys(F.col("text")), F.explode_outer(terms(F.col("text"))).alias("h"))
+    words = F.split(F.btrim(F.lower("text"), F.lit(" \t\n\x0b\x0c\r")), r"[\x20\x09-\x0D]+")
+    cut = texts.select(*text_keys(F.col("text")), words.alias("w"))
+    # each word after the first with the one before it; of a text without words nothing
+    pairs = F.transform(F.slice("w", F.lit(2), F.size("w")), lambda b, i: F.xxhash64(F.get("w", i), b))
+    alone = F.filter(F.array(F.get("w", F.lit(0))), lambda x: x != "")
+    terms = F.when(F.size("w") > 1, pairs).otherwise(F.transform(alone, lambda x: F.xxhash64(x)))
+    votes = cut.select("key", "key2", F.explode_outer(terms).alias("h"))
     lanes = [F.sum(F.shiftrightunsigned("h", i).bitwiseAND(F.lit(LANES))).alias(f"v{i}") for i in range(32)]
     sums = votes.groupBy("key", "key2").agg(F.count("h").alias("n"), *lanes)
     low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
@@ -71,11 +70,14 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(range_of(F.col("doc_id"), points)))
     tops = {r[0]: r[1] for r in rows.groupBy("bucket").agg(F.max("doc_id")).collect()}  # one number a range
     order = sorted(tops)
-    home = F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("ghost"))
-    to = F.lit(None).cast("int")
+    # by bucket, from -1 on: its first id, and the bucket before it in the order of ids
+    first, to = {}, {}
     for k, b in enumerate(order):
-        first = F.col("doc_id").isNull() if tops[b] is None else F.col("doc_id") == F.lit(tops[b])
-        to = F.when((F.col("bucket") == b) & first, F.lit(order[(k + 1) % len(order)])).otherwise(to)
+        first[b], to[b] = tops[b], order[(k + 1) % len(order)]
+    listed = lambda values: F.expr(f"cast(array({','.join('null' if values.get(b) is None else str(values[b]) for b in range(-1, len(points) + 1))}) as array<bigint>)")
+    at = F.col("bucket") + 1
+    home = F.struct(F.col("bucket").cast("long").alias("bucket"), F.lit(False).alias("ghost"))
+    to = F.when(F.col("doc_id").eqNullSafe(F.get(listed(first), at)), F.get(listed(to), at))
     away = F.struct(to.alias("bucket"), F.lit(True).alias("ghost"))
     dealt = rows.withColumn("to", F.explode(F.filter(F.array(home, away), lambda x: x["bucket"].isNotNull()))).select("doc_id", "text", "to.bucket", "to.ghost")
     by = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
@@ -136,9 +138,12 @@ def compared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ever
     """
     rows = edited(with_next(df, id_col, text_col))
     own = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    prints = written(prints_of(own.union(rows.select("edited"))), "fingerprints")
     digest = lambda c, a, b: [F.xxhash64(c).alias(a), F.xxhash64(F.lit(1), c).alias(b)]
     facts = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), *digest(F.col("text"), "t1", "t2"), *digest(F.col("edited"), "e1", "e2"), *digest(F.col("next_text"), "x1", "x2"))
+    # written together, so that the ordered texts are shuffled once for both
+    prints = prints_of(own.union(rows.select("edited")))
+    both = written(prints.unionByName(facts, allowMissingColumns=True), "fingerprints")
+    prints, facts = both.where("fp is not null").select("key", "key2", "fp"), both.where("fp is null").drop("key", "key2", "fp")
     for a, b, name in (("t1", "t2", "fp"), ("e1", "e2", "edited_fp"), ("x1", "x2", "next_fp")):
         known = prints.select(F.col("key").alias(a), F.col("key2").alias(b), F.col("fp").alias(name))
         facts = facts.join(known, [a, b]).drop(a, b)
