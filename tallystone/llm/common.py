@@ -28,7 +28,7 @@ def shared_uri(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: later stages don't depend on executors."""
     spark, path = df.sparkSession, shared_uri(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
