@@ -2,7 +2,7 @@
 
 Counts of every training word come from one grouped aggregation over all whole texts. The
 HEAD most frequent words, the end and TAILS groups of the other words (by a hash of their
-last characters) are the model's classes. The class after two classes of context is
+last bytes) are the model's classes. The class after two classes of context is
 predicted by score(w | h) = (R[h1] C1 + R[h2] C2) . Q[w] + b[w]; a word of a tail group
 then takes its smoothed share of the group's count, so that probabilities add up to 1.
 
@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -32,19 +33,18 @@ from pyspark.sql import functions as F
 
 from tallystone.llm.common import written
 
-END = ""  # the end token; no word is empty
+END = b""  # the end token; no word is empty
 HEAD = 2047
 TAILS = 512
-TAIL_CHARS = 3
+TAIL_BYTES = 3
 WIDTH = 32
 STRIDE = 6
-BATCH = 2048
-NOISE = 96
-ROUNDS = 1
-RATE = 0.15
+BATCH = 128
+NOISE = 64
+ROUNDS = 2
+RATE = 0.08
 ADD = 0.1
 HELD_OUT = 10
-KEPT = 400_000
 UNTIL = 1 << 20  # words counted before a task hands on what it has
 
 
@@ -52,16 +52,17 @@ def held_out(key: int | None) -> bool:
     return zlib.crc32(("" if key is None else str(key)).encode()) % HELD_OUT == 0
 
 
-def words_of(text: str | None) -> list[str]:
-    """Runs of anything but ASCII white space, A-Z lower-cased."""
-    return (text or "").encode().lower().decode().translate(BLANKS).split(" ")
+def words_of(text: str | None) -> list[bytes]:
+    """Runs of anything but ASCII white space, A-Z lower-cased, in UTF-8."""
+    return (text or "").encode().lower().split()
 
 
-BLANKS = str.maketrans("\t\n\v\f\r", "     ")
+def tail_of(word: bytes) -> int:
+    return zlib.crc32(word[-TAIL_BYTES:]) % TAILS
 
 
-def tail_of(word: str) -> int:
-    return zlib.crc32(word[-TAIL_CHARS:].encode()) % TAILS
+def _text_array(words: list[bytes]) -> pa.Array:
+    return pa.array(words, pa.binary()).cast(pa.string())
 
 
 def training_counts(df: DataFrame) -> DataFrame:
@@ -73,25 +74,54 @@ def training_counts(df: DataFrame) -> DataFrame:
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if held_out(key):
                     continue
-                words = words_of(text.as_py())
-                count.update(words)
-                count[END] += 1 - words.count(END)  # blanks in a row and at the ends leave empty strings
+                count.update(words_of(text.as_py()))
+                count[END] += 1
                 if len(count) > UNTIL:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(count)), pa.array(list(count.values()), pa.int64())], ["word", "n"])
+                    yield pa.RecordBatch.from_arrays([_text_array(list(count)), pa.array(list(count.values()), pa.int64())], ["word", "n"])
                     count.clear()
         if count:
-            yield pa.RecordBatch.from_arrays([pa.array(list(count)), pa.array(list(count.values()), pa.int64())], ["word", "n"])
+            yield pa.RecordBatch.from_arrays([_text_array(list(count)), pa.array(list(count.values()), pa.int64())], ["word", "n"])
 
     return df.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
 
 
+class _Tails(dict):
+    """Class by a word's last bytes, remembered within a bound."""
+
+    def __init__(self, first: int) -> None:
+        self.first = first
+
+    def __missing__(self, last: bytes) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        self[last] = found = self.first + tail_of(last)
+        return found
+
+    def __reduce__(self):
+        return _Tails, (self.first,)
+
+
+class _Ids(dict):
+    """Class by word: that of a head word, else that of its last bytes."""
+
+    def __init__(self, head: dict, tails: _Tails) -> None:
+        super().__init__(head)
+        self.tails = tails
+
+    def __missing__(self, word: bytes) -> int:
+        return self.tails[word[-TAIL_BYTES:]]
+
+    def __reduce__(self):
+        return _Ids, (dict(self), self.tails)
+
+
 class Classes:
     """The model's classes: head words, the end, tail groups; sizes of all by training counts."""
 
     def __init__(self, head: list[tuple[str, int]], tails: dict[int, tuple[int, int]], ends: int) -> None:
-        self.ids = {w: i for i, (w, _) in enumerate(head)}
         self.end = len(head)
         self.first_tail = self.end + 1
+        self.ids = _Ids({w.encode(): i for i, (w, _) in enumerate(head)}, _Tails(self.first_tail))
         self.size = self.first_tail + TAILS
         self.start = self.size  # a context only
         self.counts = np.array([n for _, n in head] + [ends] + [tails.get(k, (0, 0))[0] for k in range(TAILS)], np.float64)
@@ -99,9 +129,8 @@ class Classes:
         self.mass = self.counts + ADD * kinds
         self.share = self.mass / self.mass.sum()
 
-    def classify(self, words: list[str]) -> list[int]:
-        ids, first = self.ids, self.first_tail
-        return [ids[w] if w in ids else first + tail_of(w) for w in words]
+    def classify(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
 
 
 class Parameters:
@@ -110,7 +139,9 @@ class Parameters:
     def __init__(self, classes: Classes, rows: dict[int, list[float]] | None = None) -> None:
         n, d = classes.size, WIDTH
         rng = np.random.default_rng(17)
-        self.rows = rng.normal(0, 0.1, (2 * n + 1 + 2 * d, d + 1)).astype(np.float32)
+        # predicted rows start at zero: the untrained model is the smoothed unigram model
+        self.rows = np.zeros((2 * n + 1 + 2 * d, d + 1), np.float32)
+        self.rows[: n + 1] = rng.normal(0, 0.3, (n + 1, d + 1))
         self.rows[n + 1 + n :, :d] = np.concatenate([np.eye(d), np.eye(d) * 0.5])
         self.rows[:, d] = 0
         self.rows[n + 1 : n + 1 + n, d] = np.log(classes.share)
@@ -131,7 +162,7 @@ class Trainer:
     """Noise-contrastive estimation over minibatches of (previous, the one before it, word)."""
 
     def __init__(self, classes: Classes, start: Parameters, seed: int) -> None:
-        self.p, self.rng = start, np.random.default_rng(seed)
+        self.p, self.rng, self.classes = start, np.random.default_rng(seed), classes
         self.cum = np.cumsum(classes.share)
         self.log_noise = np.log(NOISE * classes.share).astype(np.float32)
         self.squares = np.full(start.rows.shape[0], 1e-2, np.float32)
@@ -139,14 +170,23 @@ class Trainer:
         self.n, self.held = classes.size, []
         self.waiting = 0
 
-    def add(self, ids: np.ndarray, start: int, end: int) -> None:
-        """Places of one text, one in STRIDE from a random one on."""
-        full = np.concatenate([[start, start], ids, [end]])
-        at = np.arange(2 + self.rng.integers(STRIDE), len(full), STRIDE)
-        if len(at):
-            self.held.append(np.stack([full[at - 1], full[at - 2], full[at]]))
-            self.waiting += len(at)
-        if self.waiting >= 16 * BATCH:
+    def add(self, words: list[bytes]) -> None:
+        """Places of one text, one in STRIDE from a random one on; only the words that they need are looked up."""
+        first = int(self.rng.integers(STRIDE))
+        c, n = self.classes, len(words) + 1
+        if first >= n:
+            return
+        w = c.classify(words[first::STRIDE])
+        if (n - 1 - first) % STRIDE == 0:
+            w = np.append(w, c.end)
+        context = []
+        for back in (1, 2):
+            at = first - back
+            own = c.classify(words[at % STRIDE :: STRIDE] if at < 0 else words[at::STRIDE])
+            context.append((np.concatenate([[c.start], own]) if at < 0 else own)[: len(w)])
+        self.held.append(np.stack([*context, w]))
+        self.waiting += len(w)
+        if self.waiting >= 32_768:
             self.flush()
 
     def flush(self) -> None:
@@ -194,8 +234,7 @@ def _trained(df: DataFrame, classes: Classes, rows: dict[int, list[float]] | Non
                     from pyspark import TaskContext
 
                     trainer = Trainer(classes, Parameters(classes, rows), TaskContext.get().partitionId())
-                words = [w for w in words_of(text.as_py()) if w]
-                trainer.add(np.array(classes.classify(words), np.int64), classes.start, classes.end)
+                trainer.add(words_of(text.as_py()))
         if trainer is not None:
             trainer.flush()
             at = np.flatnonzero(trainer.touched)
@@ -243,56 +282,55 @@ def scored_words(df: DataFrame, classes: Classes, rows: dict[int, list[float]],
             _READY.clear()
             _READY[tag] = Scorer(classes, rows)
         scorer, part, made = _READY[tag], TaskContext.get().partitionId(), 0
-        ids, first, end = classes.ids, classes.first_tail, classes.end
+        first, end = classes.first_tail, classes.end
         known = classes.counts[:first] > 0
         for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
+            # the texts' own rows, then those of their tail words
+            texts, rids, words, times = [], [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                words = [w for w in words_of(text.as_py()) if w]
+                own_words = words_of(text.as_py())
                 made += 1
                 rid = (part << 40) + made
-                own = np.array([ids[w] if w in ids else -1 for w in words], np.int64)
-                tail = Counter(w for w in words if w not in ids)
-                where = {w: first + tail_of(w) for w in tail}
-                if tail:
-                    own[own < 0] = [where[w] for w in words if w in where]
+                own = classes.classify(own_words)
+                tail = Counter(compress(own_words, (own >= first).tolist()))
                 bins = np.bincount(own, minlength=classes.size)
                 bins[end] += 1
                 score = (scorer.score(own) - float((bins[first:] * log_mass[first:]).sum())) / np.log(10)
-                base = float((bins[:first] * head_log[:first]).sum())
-                for column, x in zip(out, (rid, f" {rid}", key, len(words) + 1, int(bins[:first][known].sum()), base, score, 0), strict=True):
-                    column.append(x)
-                if tail:
-                    n = len(tail)
-                    for column, x in zip(out, ([rid] * n, list(tail), [None] * n, [None] * n, [None] * n, [None] * n, [None] * n, list(tail.values())), strict=True):
-                        column += x
-                if len(out[0]) > 200_000:
-                    yield _batch(out)
-                    out = [[] for _ in range(8)]
-            yield _batch(out)
+                texts.append((rid, key, len(own_words) + 1, int(bins[:first][known].sum()), float((bins[:first] * head_log[:first]).sum()), score))
+                rids.append(np.full(len(tail), rid))
+                words += tail
+                times += tail.values()
+                if len(words) > 200_000:
+                    yield _batch(texts, rids, words, times)
+                    texts, rids, words, times = [], [], [], []
+            yield _batch(texts, rids, words, times)
 
     return df.mapInArrow(run, SCORED)
 
 
-SCORED = "rid long, word string, doc_id long, n_tokens long, n_known long, base double, score double, times long"
-KINDS = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
+SCORED = "rid long, word string, times long, doc struct<doc_id:long,n_tokens:long,n_known:long,base:double,score:double>"
+DOC = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
 
-def _batch(columns: list[list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, KINDS, strict=True)], [x.split()[0] for x in SCORED.split(", ")])
+def _batch(texts: list[tuple], rids: list[np.ndarray], words: list[bytes], times: list[int]) -> pa.RecordBatch:
+    doc = pa.StructArray.from_arrays([pa.array([t[i + 1] for t in texts], f.type) for i, f in enumerate(DOC)], fields=list(DOC))
+    # a text's own row has a word that no text has, so that such rows are spread
+    rid = np.concatenate([np.array([t[0] for t in texts], np.int64), *rids])
+    own = pa.array([f" {t[0]}" for t in texts], pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(rid.astype(np.int64)), pa.concat_arrays([own, _text_array(words)]), pa.array(np.array([0] * len(texts) + times, np.int64)), pa.concat_arrays([doc, pa.nulls(len(words), DOC)])], ["rid", "word", "times", "doc"])
 
 
 def model_of(texts: DataFrame, counts: DataFrame) -> tuple[Classes, dict[int, list[float]], int, int]:
     """Classes, trained rows, training tokens and distinct tokens."""
-    head = [tuple(r) for r in counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(HEAD).collect()]
-    group = F.pmod(F.crc32(F.substring("word", -TAIL_CHARS, TAIL_CHARS).cast("binary")), F.lit(TAILS))
-    sums = counts.where(F.col("word") != END).groupBy(group.cast("int").alias("k")).agg(F.sum("n"), F.count("*"))
+    head = [tuple(r) for r in counts.where(F.col("word") != "").orderBy(F.desc("n"), "word").limit(HEAD).collect()]
+    group = F.pmod(F.crc32(F.substring(F.col("word").cast("binary"), -TAIL_BYTES, TAIL_BYTES)), F.lit(TAILS))
+    sums = counts.where(F.col("word") != "").groupBy(group.cast("int").alias("k")).agg(F.sum("n"), F.count("*"))
     tails = {r[0]: [r[1], r[2]] for r in sums.collect()}
     for w, n in head:
-        tails[tail_of(w)][0] -= n
-        tails[tail_of(w)][1] -= 1
+        tails[tail_of(w.encode())][0] -= n
+        tails[tail_of(w.encode())][1] -= 1
     tokens, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
-    ends = counts.where(F.col("word") == END).agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    ends = counts.where(F.col("word") == "").agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     classes = Classes(head, {k: tuple(v) for k, v in tails.items()}, ends)
     rows: dict[int, list[float]] = {}
     for _ in range(ROUNDS if tokens else 0):
@@ -308,9 +346,9 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     counts = written(training_counts(texts), "word-counts")
     classes, rows, tokens, kinds = model_of(texts, counts)
     parts = scored_words(texts, classes, rows, uuid.uuid4().hex)
-    found = parts.join(counts.where(F.col("word") != END).hint("shuffle_hash"), "word", "left")
+    found = parts.join(counts.where(F.col("word") != "").hint("shuffle_hash"), "word", "left")
     gain = F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + ADD)
-    summed = found.groupBy("rid").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), (F.max("n_known") + F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0))).alias("n_known"), F.sum(gain).alias("gain"), F.max("base").alias("base"), F.max("score").alias("score"))
+    summed = found.groupBy("rid").agg(F.max("doc.doc_id").alias("doc_id"), F.max("doc.n_tokens").alias("n_tokens"), (F.max("doc.n_known") + F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0))).alias("n_known"), F.sum(gain).alias("gain"), F.max("doc.base").alias("base"), F.max("doc.score").alias("score"))
     floor = float(np.log10(tokens + ADD * (kinds + 1)))
     is_held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(HELD_OUT)) == 0
     # the doc row's own gain is 0 times a logarithm
