@@ -52,10 +52,13 @@ def split_points(df: DataFrame, key: str, parts: int) -> list[int]:
     return sorted(set((got and got["q"]) or []))
 
 
-def range_of(key: Column, points: list[int]) -> Column:
-    """Index of the range that holds key, 0 for null; a pure function of the key."""
-    if not points:
-        return F.lit(0)
-    below = F.expr("array(" + ",".join(f"{int(p)}L" for p in points) + ")")
-    # array_position style search: the number of points at or below the key
-    return F.coalesce(F.size(F.filter(below, lambda p: p <= key)), F.lit(0))
+def range_of(key: str, points: list[int]) -> Column:
+    """Index of the range that holds column `key`, 0 for null; a pure function of it, found by halving."""
+
+    def within(low: int, high: int) -> str:
+        if low == high:
+            return str(low)
+        middle = (low + high) // 2
+        return f"if({key} < {int(points[middle])}L, {within(low, middle)}, {within(middle + 1, high)})"
+
+    return F.expr(f"if({key} is null, 0, {within(0, len(points))})")

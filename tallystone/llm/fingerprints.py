@@ -67,7 +67,7 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = df.sparkSession
     points = split_points(df, id_col, 2 * partitions(spark))
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(range_of(F.col("doc_id"), points)))
+    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(range_of("doc_id", points)))
     tops = {r[0]: r[1] for r in rows.groupBy("bucket").agg(F.max("doc_id")).collect()}  # one number a range
     order = sorted(tops)
     # by bucket, from -1 on: its first id, and the bucket before it in the order of ids

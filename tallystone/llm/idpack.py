@@ -261,7 +261,7 @@ def write_shards(encoded: DataFrame, keys: DataFrame, folder: str, vocabulary: i
             docs, n = out.close()
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([out.uri]), pa.array([docs], pa.int64()), pa.array([n], pa.int64())], ["shard", "uri", "docs", "ids"])
 
-    placed = encoded.repartitionById(len(points) + 1, range_of(F.col("key"), points).cast("int"))
+    placed = encoded.repartitionById(len(points) + 1, range_of("key", points).cast("int"))
     return placed.sortWithinPartitions("key", "ids").mapInArrow(run, "shard int, uri string, docs long, ids long")
 
 

@@ -20,10 +20,13 @@ table gives none.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallystone.llm.common import written
 
@@ -34,10 +37,16 @@ WEIGHT = 40.0  # trigrams that a text's evidence counts as, at most
 NONE = "und"
 EVEN = 0.02  # prior belief in "und"
 
+DIGIT = re.compile(b"[0-9]")
+
 
 def trigrams(text: str | None) -> np.ndarray:
-    """Buckets of the text's byte trigrams, A-Z lower-cased and white space as one blank."""
-    raw = b" ".join((text or "").encode().lower().split())
+    """Buckets of the byte trigrams of the words without digits, A-Z lower-cased and white space as one blank."""
+    raw = (text or "").encode().lower()
+    words = raw.split()
+    if DIGIT.search(raw):
+        words = [w for w in words if not DIGIT.search(w)]
+    raw = b" ".join(words)
     if not raw:
         return np.zeros(0, np.int64)
     b = np.frombuffer(b" " + raw + b" ", np.uint8).astype(np.uint32)
@@ -57,9 +66,7 @@ class TextModel:
         counts = np.full((len(languages) + 1, BUCKETS), 0.05)
         for lang, text in rows:
             counts[languages.index(lang)] += np.bincount(trigrams(text), minlength=BUCKETS)
-        # "und": the share of buckets that texts use at all, evenly
-        used = (counts[:-1] > 1).any(0)
-        counts[-1] = np.where(used, 1.0, 1.0)
+        counts[-1] = 1.0  # "und": all buckets alike
         return cls(languages, np.log(counts / counts.sum(1, keepdims=True)).T.astype(np.float32))
 
     def score(self, text: str | None) -> tuple[list[float], int]:
@@ -86,16 +93,17 @@ def fitted(df: DataFrame, label_col: str = "lang", text_col: str = "text", id_co
     return TextModel.fit([tuple(r) for r in rows])
 
 
-def text_scores(df: DataFrame, model: TextModel, keep: list[str], text_col: str) -> DataFrame:
-    """Beside `keep`: means, the mean log-likelihood of each class, and n, the trigrams."""
+def text_scores(df: DataFrame, model: TextModel, text_col: str) -> DataFrame:
+    """df with means, the mean log-likelihood of each class, and n, the trigrams, in place of the text."""
+    keep = [c for c in df.columns if c != text_col]
 
     def run(batches):
         for batch in batches:
             scored = [model.score(t.as_py()) for t in batch.column(text_col)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array([s[0] for s in scored], pa.list_(pa.float64())), pa.array([s[1] for s in scored], pa.int64())], [*keep, "means", "n"])
 
-    kept = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep)
-    return df.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, f"{kept}, means array<double>, n long")
+    kept = T.StructType([df.schema[c] for c in keep] + [T.StructField("means", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())])
+    return df.mapInArrow(run, kept)
 
 
 def _normal(logs: Column) -> Column:
@@ -110,16 +118,22 @@ def _sums(df: DataFrame, key: str, size: int) -> DataFrame:
     return got.select(key, F.array(*(f"b{i}" for i in range(size))).alias("mix"))
 
 
-def identify(df: DataFrame, model: TextModel, keep: list[str], text_col: str = "text", declared: Column | None = None, suffix: Column | None = None, host: Column | None = None, host_strength: float = 5.0, suffix_strength: float = 20.0, trust: float = 0.8) -> DataFrame:
-    """Beside `keep`: lang, belief, text_lang, declared, host, suffix and accepted.
+def identify(df: DataFrame, model: TextModel, keep: list[str], text_col: str = "text", **evidence) -> DataFrame:
+    """The columns in `keep` beside lang, probability, text_lang, declared, host, suffix and accepted; see `fused`."""
+    return fused(df, model, keep, text_col, **evidence).select("row.*", "lang", "probability", "text_lang", "declared", "host", "suffix", "accepted")
+
+
+def fused(df: DataFrame, model: TextModel, keep: list[str], text_col: str = "text", declared: Column | None = None, suffix: Column | None = None, host: Column | None = None, host_strength: float = 5.0, suffix_strength: float = 20.0, trust: float = 0.8) -> DataFrame:
+    """row (a struct of the columns in `keep`, whatever their names), lang, probability, text_lang, declared, host, suffix and accepted.
 
     trust: belief, before any count, that a declared code names the text's language.
     """
     classes = [*model.languages, NONE]
     size = len(classes)
     none = F.lit(None).cast("string")
-    named = df.withColumns({"_declared": F.lower(F.substring_index(F.coalesce(declared, none) if declared is not None else none, "-", 1)), "_suffix": suffix if suffix is not None else none, "_host": host if host is not None else none})
-    scored = text_scores(named, model, [*keep, "_declared", "_suffix", "_host"], text_col)
+    given = lambda c: (none if c is None else c.cast("string"))
+    named = df.select(F.struct(*keep).alias("row"), F.col(text_col).alias("text"), F.lower(F.substring_index(given(declared), "-", 1)).alias("declared"), given(suffix).alias("suffix"), given(host).alias("host"))
+    scored = text_scores(named, model, "text")
     logs = F.transform(F.col("means"), lambda m: m * F.least(F.col("n"), F.lit(WEIGHT)))
     scored = written(scored.withColumn("belief", _normal(logs)).drop("means"), "languages")
 
@@ -130,28 +144,27 @@ def identify(df: DataFrame, model: TextModel, keep: list[str], text_col: str = "
     overall = F.array(*(F.lit(x / sum(overall)) for x in overall))
 
     # what is declared: rows of a class are counted by code; without counts `trust` rules
-    codes = {r[0]: r[1] for r in _sums(scored.where(F.col("_declared").isin(classes[:-1])).withColumn("code", F.col("_declared")), "code", size).collect()} if size > 1 else {}
+    codes = {r[0]: r[1] for r in _sums(scored.where(F.col("declared").isin(classes[:-1])).withColumn("code", F.col("declared")), "code", size).collect()} if size > 1 else {}
     seen = [sum(m[k] for m in codes.values()) for k in range(size)]
     said = F.create_map(*(x for c in classes[:-1] for x in (F.lit(c), F.array(*(F.lit(float(np.log((codes.get(c, [0.0] * size)[k] + 10.0 * (trust if classes[k] == c else (1 - trust) / max(1, size - 2)) + 0.01) / (seen[k] + 10.0 + 0.01 * size)))) for k in range(size)))))) if size > 1 else None
-    by_code = F.coalesce(F.element_at(said, F.col("_declared")), F.array_repeat(F.lit(0.0), size)) if said is not None else F.array_repeat(F.lit(0.0), size)
+    by_code = F.coalesce(F.element_at(said, F.col("declared")), F.array_repeat(F.lit(0.0), size)) if said is not None else F.array_repeat(F.lit(0.0), size)
 
     def smoothed(mix: Column, parent: Column, strength: float) -> Column:
         whole = F.aggregate(mix, F.lit(0.0), lambda a, b: a + b)
         return F.coalesce(F.zip_with(mix, parent, lambda m, p: (m + strength * p) / (whole + strength)), parent)
 
-    suffixes = _sums(scored, "_suffix", size).withColumnRenamed("mix", "suffix_mix")
-    hosts = _sums(scored, "_host", size).withColumnRenamed("mix", "host_mix")
-    joined = scored.join(suffixes, "_suffix", "left").join(hosts, "_host", "left")
+    suffixes = _sums(scored, "suffix", size).withColumnRenamed("mix", "suffix_mix")
+    hosts = _sums(scored, "host", size).withColumnRenamed("mix", "host_mix")
+    joined = scored.join(suffixes, "suffix", "left").join(hosts, "host", "left")
     joined = joined.withColumn("parent", smoothed(F.col("suffix_mix"), overall, suffix_strength))
     joined = joined.withColumn("prior", smoothed(F.col("host_mix"), F.col("parent"), host_strength))
     # a suffix counts by how it shifts the whole mix, unless the host has carried it already
-    shift = F.when(F.col("_host").isNull() & F.col("_suffix").isNotNull(), F.col("parent")).otherwise(F.col("prior"))
+    shift = F.when(F.col("host").isNull() & F.col("suffix").isNotNull(), F.col("parent")).otherwise(F.col("prior"))
     total = F.zip_with(F.zip_with(F.transform("belief", lambda b: F.log(b + 1e-12)), by_code, lambda a, b: a + b), shift, lambda a, p: a + F.log(p + 1e-9))
-    fused = joined.withColumn("fused", _normal(total))
     names = F.array(*(F.lit(c) for c in classes))
-    best = fused.withColumn("at", F.array_position("fused", F.array_max("fused")).cast("int")).withColumn("text_at", F.array_position("belief", F.array_max("belief")).cast("int"))
+    best = joined.withColumn("fused", _normal(total)).withColumn("at", F.array_position("fused", F.array_max("fused")).cast("int")).withColumn("text_at", F.array_position("belief", F.array_max("belief")).cast("int"))
     found = best.withColumn("lang", F.element_at(names, F.col("at"))).withColumn("probability", F.round(F.array_max("fused"), 6))
-    return found.select(*keep, "lang", "probability", F.when(F.col("n") > 0, F.element_at(names, F.col("text_at"))).alias("text_lang"), F.col("_declared").alias("declared"), F.col("_host").alias("host"), F.col("_suffix").alias("suffix"), ((F.col("lang") != NONE) & (F.col("probability") >= 0.5)).alias("accepted"))
+    return found.select("row", "lang", "probability", F.when(F.col("n") > 0, F.element_at(names, F.col("text_at"))).alias("text_lang"), "declared", "host", "suffix", ((F.col("lang") != NONE) & (F.col("probability") >= 0.5)).alias("accepted"))
 
 
 def document_languages(df: DataFrame, keep: list[str], id_col: str = "doc_id") -> DataFrame:
@@ -159,6 +172,11 @@ def document_languages(df: DataFrame, keep: list[str], id_col: str = "doc_id") -
     return identify(df, fitted(df, "lang", "text", id_col), keep, declared=F.col("lang"), host=F.col("source"))
 
 
+def accepted_documents(df: DataFrame) -> DataFrame:
+    """The rows of a documents table whose language is accepted, as they are."""
+    return fused(df, fitted(df), df.columns, declared=F.col("lang"), host=F.col("source")).where("accepted").select("row.*")
+
+
 #: fixed values: what of a page isn't prose
 NOT_PROSE = r"(?is)<!--.*?-->|<(script|style|nav)\b.*?</\1\s*>|<[^>]*>|&[a-zA-Z#0-9]{1,8};"
 
@@ -168,4 +186,4 @@ def page_languages(pages: DataFrame, documents: DataFrame) -> DataFrame:
     host = F.lower(F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1))
     read = pages.select("page_id", "url", F.regexp_replace("html", NOT_PROSE, " ").alias("prose"), F.regexp_extract("html", r"""(?i)<html[^>]*\blang=["']?([A-Za-z-]+)""", 1).alias("markup"), F.when(host != "", host).alias("host"))
     named = lambda c: F.when(F.col(c) != "", F.col(c))
-    return identify(read, fitted(documents), ["page_id"], "prose", named("markup"), F.substring_index("host", ".", -1), F.col("host"))
+    return identify(read, fitted(documents), ["page_id"], "prose", declared=named("markup"), suffix=F.substring_index("host", ".", -1), host=F.col("host"))

@@ -226,17 +226,17 @@ def similar_classes(df: DataFrame, words: int = 5) -> DataFrame:
     bits = nodes.select("node", "w")
     both = every.join(bits.select(F.col("node").alias("a"), F.col("w").alias("wa")), "a").join(bits.select(F.col("node").alias("b"), F.col("w").alias("wb")), "b")
     differ = sum((F.bit_count(F.get("wa", F.lit(i)).bitwiseXOR(F.get("wb", F.lit(i)))) for i in range(1, WIDE)), F.bit_count(F.get("wa", F.lit(0)).bitwiseXOR(F.get("wb", F.lit(0)))))
-    roots = components(both.where(differ <= FAR).select("a", "b")).withColumnRenamed("node", "_node")
-    return prints.join(roots, prints.node == roots._node, "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
+    roots = components(both.where(differ <= FAR).select("a", "b")).withColumnRenamed("node", "_tally_node")
+    return prints.join(roots, prints.node == roots._tally_node, "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
 
 
 def kept_documents(df: DataFrame, words: int = 5) -> DataFrame:
     """The rows of df that stay: one of each component, that of the least id (null is the greatest), then the least text key."""
     found = written(similar_classes(df, words), "classes")
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_key")).alias("w")).select("root", "w.doc_id", "w.text_key")
-    stay = written(found.join(best.select("root", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")), "root").where("doc_id <=> _id and text_key = _key").groupBy("_id", "_key").agg(F.count("*").alias("_n")), "stay")
-    own = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_key"))
-    kept = df.join(stay.where("_n = 1"), own).select(*df.columns)
-    if stay.where("_n > 1").isEmpty():
+    stay = written(found.join(best.select("root", F.col("doc_id").alias("_tally_id"), F.col("text_key").alias("_tally_key")), "root").where("doc_id <=> _tally_id and text_key = _tally_key").groupBy("_tally_id", "_tally_key").agg(F.count("*").alias("_tally_n")), "stay")
+    own = F.col("doc_id").cast("long").eqNullSafe(F.col("_tally_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_tally_key"))
+    kept = df.join(stay.where("_tally_n = 1"), own).select(*df.columns)
+    if stay.where("_tally_n > 1").isEmpty():
         return kept
-    return kept.union(df.join(stay.where("_n > 1"), own).dropDuplicates(["_id", "_key"]).select(*df.columns))
+    return kept.union(df.join(stay.where("_tally_n > 1"), own).dropDuplicates(["_tally_id", "_tally_key"]).select(*df.columns))

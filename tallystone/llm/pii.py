@@ -147,8 +147,8 @@ def personal_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = near.join(sure, "ctx", "left").join(believed, "inst", "left").withColumn("kind", F.coalesce("pk", "ik")).where("kind is not null and (k < 0 or k = kind)")
     free = ~F.exists("spans", lambda b: (b["start"] < F.col("end")) & (b["end"] > F.col("start")))
     new = near.where(free).groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", F.col("kind").alias("k"), "end", F.lit(None).cast("long").alias("ctx"), F.lit(None).cast("string").alias("inst"))).alias("new"))
-    new = new.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "new")
-    joined = seen.join(new, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")
+    new = new.select(F.col("doc_id").alias("_tally_id"), F.col("text_key").alias("_tally_key"), "new")
+    joined = seen.join(new, F.col("doc_id").eqNullSafe(F.col("_tally_id")) & (F.col("text_key") == F.col("_tally_key")), "left")
     return joined.select("doc_id", "text_key", F.col("spans").alias("base"), F.array_sort(F.concat("spans", F.coalesce("new", F.array().cast(SPAN)))).alias("all"))
 
 
@@ -165,18 +165,18 @@ def masked_documents(df: DataFrame) -> DataFrame:
 
     Overlapping spans are masked together, under the name of the first.
     """
-    spans = personal_spans(df).where(F.size("all") > 0).groupBy("doc_id", "text_key").agg(F.first("all").alias("_all"))
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "_all")
+    spans = personal_spans(df).where(F.size("all") > 0).groupBy("doc_id", "text_key").agg(F.first("all").alias("_tally_all"))
+    spans = spans.select(F.col("doc_id").alias("_tally_id"), F.col("text_key").alias("_tally_key"), "_tally_all")
     names = F.array(*(F.lit(f"<{k}>") for k in KINDS))
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    joined = df.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (key == F.col("_key")), "left")
+    joined = df.join(spans, F.col("doc_id").eqNullSafe(F.col("_tally_id")) & (key == F.col("_tally_key")), "left")
 
     def step(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["pos"]
         upto = F.substr(F.col("text"), acc["pos"] + 1, F.greatest(s["start"] - acc["pos"], F.lit(0)))
         return F.struct(F.greatest(acc["pos"], s["end"]).alias("pos"), F.when(fresh, F.concat(acc["out"], upto, F.element_at(names, s["k"] + 1))).otherwise(acc["out"]).alias("out"))
 
-    walk = F.aggregate("_all", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substr(F.col("text"), a["pos"] + 1, F.length("text"))))
-    text = F.when(F.col("_all").isNull(), F.col("text")).otherwise(walk)
+    walk = F.aggregate("_tally_all", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substr(F.col("text"), a["pos"] + 1, F.length("text"))))
+    text = F.when(F.col("_tally_all").isNull(), F.col("text")).otherwise(walk)
     size = {"n_chars": F.length(text).cast(df.schema["n_chars"].dataType)} if "n_chars" in df.columns else {}
     return joined.withColumns({"text": text} | size).select(*df.columns)

@@ -160,3 +160,16 @@ def test_stored_texts(spark, docs):
         raw = ("no id" if r.doc_id is None else TEXTS[r.doc_id] or "").encode()
         want = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-64:]))
+
+
+def test_ranges_hold_their_keys(spark):
+    from tallystone.llm import common
+
+    points = [-5, 0, 3, 100, 1 << 62]
+    df = spark.createDataFrame([(k,) for k in (-9, -5, -1, 0, 2, 3, 99, 100, 1 << 62, None)], "k long")
+    got = [r.r for r in df.select(common.range_of("k", points).alias("r")).collect()]
+    assert got == [0, 1, 1, 2, 2, 3, 3, 4, 5, 0]
+    assert df.select(common.range_of("k", []).alias("r")).distinct().count() == 1
+    many = common.split_points(spark.range(10_000), "id", 300)
+    sizes = [r["count"] for r in spark.range(10_000).groupBy(common.range_of("id", many)).count().collect()]
+    assert len(sizes) > 250 and max(sizes) < 80

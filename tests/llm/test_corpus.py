@@ -298,7 +298,7 @@ def test_declared_and_host_decide_without_text(spark):
     rows = [(i, "alpha gamma", "aa", "h1", "xx") for i in range(40)] + [(100 + i, "kilo mike", "zz", "h2", "yy") for i in range(40)]
     rows += [(200, None, "zz", None, None), (201, None, None, "h1", "xx"), (202, None, None, "new", "yy"), (203, "alpha", None, "h2", "yy")]
     df = spark.createDataFrame(rows, "id long, text string, d string, h string, s string")
-    got = {r.id: r.lang for r in langid.identify(df, model, ["id"], "text", F.col("d"), F.col("s"), F.col("h")).collect()}
+    got = {r.id: r.lang for r in langid.identify(df, model, ["id"], "text", declared=F.col("d"), suffix=F.col("s"), host=F.col("h")).collect()}
     assert (got[200], got[201], got[202]) == ("zz", "aa", "zz")
 
 
@@ -349,7 +349,7 @@ def test_scorer_is_normalised_and_learns(lm_rows):
     trainer = lm.Trainer(classes, lm.Parameters(classes), 1)
     for _ in range(30):
         for _, t in lm_rows[:900]:
-            trainer.add(np.array(classes.classify(t.split()), np.int64), classes.start, classes.end)
+            trainer.add(t.encode().split())
     trainer.flush()
     rows = dict(enumerate(trainer.p.rows))
     s = lm.Scorer(classes, rows)
@@ -357,7 +357,7 @@ def test_scorer_is_normalised_and_learns(lm_rows):
         p = np.exp(s.one[h1].astype(np.float64) + s.two[h2] - s.log_z[h1, h2])
         assert abs(p.sum() - 1) < 1e-3
     even = lm.Scorer(classes, {})
-    texts = [np.array(classes.classify(t.split()), np.int64) for _, t in lm_rows[:50]]
+    texts = [classes.classify(t.encode().split()) for _, t in lm_rows[:50]]
     assert sum(map(s.score, texts)) > sum(map(even.score, texts)) + 1000
 
 
