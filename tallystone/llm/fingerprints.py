@@ -127,7 +127,8 @@ def within(queries: DataFrame, prints: DataFrame, radius: int = RADIUS, blocks:
         first = F.when(all_same, F.lit(t)).otherwise(first)
     right = right.withColumnRenamed("table", "t").withColumnRenamed("slot", "s")
     on = (F.col("table") == F.col("t")) & (F.col("slot") == F.col("s")) & (F.bit_count(differ) <= radius) & (first == F.col("table"))
-    return left.join(right, on).select("q", "fp", F.bit_count(differ).alias("bits"))
+    # both sides are many times what their statistics say: never broadcast them
+    return left.join(right.hint("merge"), on).select("q", "fp", F.bit_count(differ).alias("bits"))
 
 
 def compared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 20) -> DataFrame:
