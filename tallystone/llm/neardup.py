@@ -133,7 +133,8 @@ def links(prints: DataFrame) -> DataFrame:
     bound = apart(counts_of(ah), counts_of(bh)) + apart(counts_of(al), counts_of(bl))
     exact = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     once = (F.col("home") != F.col("cell")) | (F.col("a") < F.col("b"))
-    lone = near.join(filed, (F.col("half") == F.col("side")) & (F.col("cell") == F.col("place")) & once & (bound <= RADIUS) & (exact <= RADIUS)).select("a", "b")
+    # both sides are many times what their statistics say: never broadcast them
+    lone = near.join(filed.hint("merge"), (F.col("half") == F.col("side")) & (F.col("cell") == F.col("place")) & once & (bound <= RADIUS) & (exact <= RADIUS)).select("a", "b")
     busy = looks.join(crowded, ["half", "cell"], "left_semi").select("fp").distinct()
     flips = F.array(*(F.lit(x).cast("long") for x in (0, *(1 << i for i in range(63)), -(1 << 63))))
     stars = busy.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
