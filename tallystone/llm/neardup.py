@@ -33,9 +33,9 @@ from tallystone.llm.common import written
 SEED = 42
 CROWD = 48
 RADIUS = 2
-WIDE = 4  # words of a wide fingerprint
-FAR = 42  # of its 256 bits may differ: 0.16 of them, what shingle sets of similarity 0.8 differ in and a little
-TABLES = 40
+WIDE = 8  # words of a wide fingerprint
+FAR = 88  # of its 512 bits may differ: 0.172 of them; shingle sets of similarity 0.8 differ in 0.152, give or take 0.016
+TABLES = 64
 #: bits of a byte, each in a byte of its own
 SPREAD = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.uint64) << (8 * np.arange(8, dtype=np.uint64))).sum(1).astype(np.uint64)
 
