@@ -155,8 +155,8 @@ class Engine:
             "debug_traceTransaction": self.trace, "ots_getTransactionBySenderAndNonce": self.by_nonce, "ots_getContractCreator": self.creator,
             "ots_getInternalOperations": lambda txnum: traces.internal_operations(self.frames(txnum)), "ots_getBlockDetails": self.details, "ots_getBlockTransactions": self.transactions_of,
             "ots_searchTransactionsBefore": lambda a, b, n: self.search_beside(a, b, n, True), "ots_searchTransactionsAfter": lambda a, b, n: self.search_beside(a, b, n, False),
-            "edb_getLogsByEmitter": self.logs_by_emitter, "edb_getLogsByTopicValue": self.logs_by_value, "edb_getTopicGroups": self.topic_groups,
-            "edb_getTokenTransfersByHolder": lambda holder, **k: self.transfers(holder=holder, **k), "edb_getTokenTransfersByContract": lambda token, **k: self.transfers(token=token, **k), "edb_getTokenContracts": self.token_contracts,
+            "tally_getLogsByEmitter": self.logs_by_emitter, "tally_getLogsByTopicValue": self.logs_by_value, "tally_getTopicGroups": self.topic_groups,
+            "tally_getTokenTransfersByHolder": lambda holder, **k: self.transfers(holder=holder, **k), "tally_getTokenTransfersByContract": lambda token, **k: self.transfers(token=token, **k), "tally_getTokenContracts": self.token_contracts,
         }
         return named | {name: (lambda *_, value=value: value) for name, value in CONSTANTS.items()}
 

@@ -47,7 +47,7 @@ def test_tokens_logs_and_fees(engine):
     listed = engine.token_contracts("h:3").collect()
     order = {"erc20": 0, "erc721": 1, "erc1155": 2}
     assert listed and [(order[r.standard], r.token) for r in listed] == sorted((order[r.standard], r.token) for r in listed)
-    assert engine.ask("edb_getTokenTransfersByHolder", "h:3", limit=5).count() <= 5
+    assert engine.ask("tally_getTokenTransfersByHolder", "h:3", limit=5).count() <= 5
     assert engine.logs_by_emitter(3, limit=4).select("txnum").distinct().count() == 4
     assert engine.get_logs(1, 50, topics=["click"]).count() == engine.logs.where("height between 1 and 50 and get(topics, 0) = 'click'").count()
     assert engine.fee_history(10, 100, [50.0]).count() == 10 and engine.price().count() == engine.tip().count() == 1
