@@ -155,7 +155,14 @@ def fused(df: DataFrame, model: TextModel, keep: list[str], text_col: str = "tex
 
     suffixes = _sums(scored, "suffix", size).withColumnRenamed("mix", "suffix_mix")
     hosts = _sums(scored, "host", size).withColumnRenamed("mix", "host_mix")
-    joined = scored.join(suffixes, "suffix", "left").join(hosts, "host", "left")
+    joined = scored
+    for key, mixes, given in (("suffix", suffixes, suffix), ("host", hosts, host)):
+        if given is None:
+            joined = joined.withColumn(f"{key}_mix", F.lit(None).cast("array<double>"))
+            continue
+        # rows that lack the key are spread by what stands in for it: a blank and their number
+        spread = F.concat(F.lit(" "), F.pmod(F.xxhash64("belief", "n", "row"), F.lit(1 << 20)).cast("string"))
+        joined = joined.withColumn("_on", F.coalesce(key, spread)).join(mixes.withColumnRenamed(key, "_key"), F.col("_on") == F.col("_key"), "left").drop("_on", "_key")
     joined = joined.withColumn("parent", smoothed(F.col("suffix_mix"), overall, suffix_strength))
     joined = joined.withColumn("prior", smoothed(F.col("host_mix"), F.col("parent"), host_strength))
     # a suffix counts by how it shifts the whole mix, unless the host has carried it already
@@ -173,8 +180,18 @@ def document_languages(df: DataFrame, keep: list[str], id_col: str = "doc_id") -
 
 
 def accepted_documents(df: DataFrame) -> DataFrame:
-    """The rows of a documents table whose language is accepted, as they are."""
-    return fused(df, fitted(df), df.columns, declared=F.col("lang"), host=F.col("source")).where("accepted").select("row.*")
+    """The rows of a documents table whose language is accepted, as they are.
+
+    Decisions are made on small rows, and what is rejected is taken away: texts stay in
+    place as long as the rejected are few. Rows of equal id and text stay or go together,
+    and stay if one of them is accepted.
+    """
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    keyed = df.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("text_key"), "text", "lang", "source")
+    found = fused(keyed, fitted(df), ["doc_id", "text_key"], declared=F.col("lang"), host=F.col("source")).select("row.*", "accepted")
+    gone = found.groupBy("doc_id", "text_key").agg(F.bool_or("accepted").alias("stays")).where("not stays")
+    gone = written(gone.select(F.col("doc_id").alias("_tally_id"), F.col("text_key").alias("_tally_key")), "rejected")
+    return df.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_tally_id")) & (key == F.col("_tally_key")), "left_anti")
 
 
 #: fixed values: what of a page isn't prose
