@@ -166,7 +166,7 @@ def masked_documents(df: DataFrame) -> DataFrame:
     Overlapping spans are masked together, under the name of the first.
     """
     spans = personal_spans(df).where(F.size("all") > 0).groupBy("doc_id", "text_key").agg(F.first("all").alias("_tally_all"))
-    spans = spans.select(F.col("doc_id").alias("_tally_id"), F.col("text_key").alias("_tally_key"), "_tally_all")
+    spans = written(spans.select(F.col("doc_id").alias("_tally_id"), F.col("text_key").alias("_tally_key"), "_tally_all"), "masks")
     names = F.array(*(F.lit(f"<{k}>") for k in KINDS))
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     joined = df.join(spans, F.col("doc_id").eqNullSafe(F.col("_tally_id")) & (key == F.col("_tally_key")), "left")
