@@ -35,6 +35,7 @@ LANGUAGES = 32
 BUCKETS = 1 << 16
 WEIGHT = 40.0  # trigrams that a text's evidence counts as, at most
 NONE = "und"
+SALTS = 16
 EVEN = 0.02  # prior belief in "und"
 
 DIGIT = re.compile(b"[0-9]")
@@ -160,9 +161,13 @@ def fused(df: DataFrame, model: TextModel, keep: list[str], text_col: str = "tex
         if given is None:
             joined = joined.withColumn(f"{key}_mix", F.lit(None).cast("array<double>"))
             continue
-        # rows that lack the key are spread by what stands in for it: a blank and their number
-        spread = F.concat(F.lit(" "), F.pmod(F.xxhash64("belief", "n", "row"), F.lit(1 << 20)).cast("string"))
-        joined = joined.withColumn("_on", F.coalesce(key, spread)).join(mixes.withColumnRenamed(key, "_key"), F.col("_on") == F.col("_key"), "left").drop("_on", "_key")
+        # rows that lack the key are spread by what stands in for it, a blank and their number;
+        # a key's mix is copied to SALTS, so that the rows of a large host meet it in many tasks
+        turn = F.xxhash64("belief", "n", "row")
+        spread = F.concat(F.lit(" "), F.pmod(turn, F.lit(1 << 20)).cast("string"))
+        copies = mixes.select(F.col(key).alias("_key"), f"{key}_mix", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_copy"))
+        salted = joined.withColumn("_on", F.coalesce(key, spread)).withColumn("_salt", F.pmod(turn, F.lit(SALTS)).cast("int"))
+        joined = salted.join(copies, (F.col("_on") == F.col("_key")) & (F.col("_salt") == F.col("_copy")), "left").drop("_on", "_key", "_salt", "_copy")
     joined = joined.withColumn("parent", smoothed(F.col("suffix_mix"), overall, suffix_strength))
     joined = joined.withColumn("prior", smoothed(F.col("host_mix"), F.col("parent"), host_strength))
     # a suffix counts by how it shifts the whole mix, unless the host has carried it already
