@@ -35,7 +35,8 @@ CROWD = 48
 RADIUS = 2
 WIDE = 8  # words of a wide fingerprint
 FAR = 88  # of its 512 bits may differ: 0.172 of them; shingle sets of similarity 0.8 differ in 0.152, give or take 0.016
-TABLES = 64
+TABLES = 32
+ROWS = 6  # least hashes of a table's slot: texts of similarity j share one of the slots with chance 1 - (1 - j^ROWS)^TABLES, 0.9999 at 0.8, whatever else the table holds
 #: bits of a byte, each in a byte of its own
 SPREAD = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.uint64) << (8 * np.arange(8, dtype=np.uint64))).sum(1).astype(np.uint64)
 
@@ -181,22 +182,35 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def wide_prints(df: DataFrame, words: int, sampled: int) -> DataFrame:
-    """doc_id, text_key, w (the wide fingerprint) and slots: in each table, the table and `sampled` bits of the fingerprint."""
-    picks = np.stack([np.random.default_rng(t).permutation(64 * WIDE)[:sampled] for t in range(TABLES)])
-    powers = np.int64(1) << np.arange(sampled, dtype=np.int64)
-    heads = np.arange(TABLES, dtype=np.int64) << 48
+def slots_of(own: np.ndarray, tables: int, rows: int) -> np.ndarray:
+    """One number a table, of the least values that `rows` hash functions take on the distinct shingles; nothing of none."""
+    if not len(own):
+        return np.zeros(0, np.int64)
+    rng = np.random.default_rng([SEED, tables, rows])
+    flip, odd = (rng.integers(0, 1 << 32, (tables * rows, 1), dtype=np.uint32) for _ in range(2))
+    odd |= np.uint32(1)
+    short, least = own.astype(np.uint32), np.full(tables * rows, (1 << 32) - 1, np.uint32)
+    for i in range(0, len(short), 2048):
+        x = short[i : i + 2048] ^ flip
+        x *= odd
+        np.minimum(least, x.min(1), out=least)
+    slot = np.arange(tables, dtype=np.uint64)
+    for column in least.reshape(tables, rows).T:
+        slot = mixed(slot ^ column, 1)
+    return slot.view(np.int64)
+
+
+def wide_prints(df: DataFrame, words: int) -> DataFrame:
+    """doc_id, text_key, w (the wide fingerprint) and slots (of TABLES tables)."""
 
     def run(batches):
         for batch in batches:
             w, slots = [], []
             for text in batch.column(2):
-                bits = wide_bits(hashes_of(text.as_py(), words))
-                w.append(np.packbits(bits, bitorder="little").view(np.int64))
-                slots.append(heads + (bits[picks] * powers).sum(1))
-            ends = lambda n: pa.array(np.arange(len(w) + 1, dtype=np.int32) * n)
-            flat = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends(WIDE), flat(w)), pa.ListArray.from_arrays(ends(TABLES), flat(slots))], ["doc_id", "text_key", "w", "slots"])
+                hashes = hashes_of(text.as_py(), words)
+                w.append(np.packbits(wide_bits(hashes), bitorder="little").view(np.int64).tolist())
+                slots.append(slots_of(np.unique(hashes), TABLES, ROWS).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(w, pa.list_(pa.int64())), pa.array(slots, pa.list_(pa.int64()))], ["doc_id", "text_key", "w", "slots"])
 
     return df.selectExpr("cast(doc_id as long) doc_id", "xxhash64(coalesce(text, '')) text_key", "text").mapInArrow(run, "doc_id long, text_key long, w array<long>, slots array<long>")
 
@@ -206,13 +220,12 @@ def similar_classes(df: DataFrame, words: int = 5) -> DataFrame:
 
     At that similarity, plain fingerprints differ in 5 to 13 bits, where bounds by popcount
     no longer tell texts apart. So beside the grid join over the plain fingerprints, tables
-    of sampled bits of a wide fingerprint give candidates: all that share a table's slot are
+    of least hashes of the shingles give candidates: all that share a table's slot are
     compared with its least, its greatest and its middle one (by a hash), never with each
     other, so a slot costs as many rows as it has. Candidates of either kind are links if
     their wide fingerprints differ in FAR bits or fewer.
     """
-    sampled = min(40, max(12, df.count().bit_length() + 2))
-    prints = written(wide_prints(df, words, sampled).withColumn("node", F.xxhash64("w")), "wide")
+    prints = written(wide_prints(df, words).withColumn("node", F.xxhash64("w")), "wide")
     nodes = written(prints.groupBy("node").agg(F.first("w").alias("w"), F.first("slots").alias("slots")), "nodes")
     filed = nodes.select("node", F.explode("slots").alias("slot"))
     turned = F.lit(0x5DEECE66D1234567)

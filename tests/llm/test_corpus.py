@@ -382,3 +382,18 @@ def test_similar_documents_share_a_class(spark):
     assert all(root[a] != root[b] for a, b in far)
     stay = {r.doc_id for r in neardup.kept_documents(df).collect()}
     assert len(stay) <= 122 and all(3 * i in stay and 3 * i + 2 in stay for i in range(60))
+
+
+def test_slots_hold_similar_sets_at_any_row_count(spark):
+    """A pair's slots depend on the pair alone; by the formula 0.9999 of pairs at 0.8 share one."""
+    rng = np.random.default_rng(3)
+    for shared, alone in ((40, 5), (4, 1), (320, 40)):
+        for _ in range(150):
+            common, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (shared, alone, alone if shared > 4 else 0))
+            x, y = (neardup.slots_of(np.concatenate([common, own]), neardup.TABLES, neardup.ROWS) for own in (a, b))
+            assert (x == y).any()
+    pair = [(i, " ".join(f"w{j + (i == 1 and j % 50 == 7)}" for j in range(150))) for i in range(2)]
+    few = spark.createDataFrame(pair, "doc_id long, text string")
+    many = few.union(spark.range(100, 3100).selectExpr("id", "concat('other ', id)"))
+    got = [{r.doc_id: list(r.slots) for r in neardup.wide_prints(df, 5).where("doc_id < 2").collect()} for df in (few, many)]
+    assert got[0] == got[1] and set(got[0][0]) & set(got[0][1])
