@@ -43,7 +43,6 @@ OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
 CONTEXT = r"(\p{L}+)[^\p{L}]+(\p{L}+)[^\p{L}\p{N}]*$"
 SUPPORT = 3  # distinct seeds that a pattern needs at least,
-SHARE = 2000  # and one in so many of all seeds: no more patterns than this, whatever the corpus
 SURE = 0.5  # confidence that a pattern needs
 BELIEF = 0.8  # belief that an instance needs away from such patterns
 ROUNDS = 2
@@ -116,10 +115,11 @@ def patterns(df: DataFrame, seen: DataFrame, text_col: str) -> tuple[DataFrame,
     """(ctx, k) of patterns above their thresholds, and (inst, k) of such instances."""
     seeds = seen.select(F.explode("spans").alias("s")).select("s.ctx", "s.inst", "s.k").where("ctx is not null")
     seeds = seeds.groupBy("ctx", "inst", "k").agg(F.count("*").alias("n"))
-    # every context of a seed counts, so at most SHARE contexts reach their share
-    least = max(SUPPORT, -(-(seeds.count()) // SHARE))
-    supported = written(seeds.groupBy("ctx").agg(F.count_distinct("inst").alias("support")).where(F.col("support") >= least).select("ctx"), "contexts")
     loose = seen.select(F.explode("others").alias("s")).select("s.ctx", "s.inst").where("ctx is not null").groupBy("ctx", "inst").agg(F.count("*").alias("n"))
+    # a context that precedes no loose instance finds nothing and lends no belief
+    leading = loose.select("ctx").distinct()
+    supported = seeds.groupBy("ctx").agg(F.count_distinct("inst").alias("support")).where(F.col("support") >= SUPPORT).select("ctx")
+    supported = written(supported.join(leading, "ctx", "left_semi"), "contexts")
     # how often the two words occur at all
     words = F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}]+")
     pairs = F.zip_with(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", F.lit(2), F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.xxhash64(a, b))

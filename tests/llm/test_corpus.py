@@ -397,3 +397,13 @@ def test_slots_hold_similar_sets_at_any_row_count(spark):
     many = few.union(spark.range(100, 3100).selectExpr("id", "concat('other ', id)"))
     got = [{r.doc_id: list(r.slots) for r in neardup.wide_prints(df, 5).where("doc_id < 2").collect()} for df in (few, many)]
     assert got[0] == got[1] and set(got[0][0]) & set(got[0][1])
+
+
+def test_a_frequent_kind_hides_no_rare_pattern(spark):
+    """Support is three seeds at any table size: 20 phones are enough beside 60,000 other seeds."""
+    rows = [(i, f"some words then mobile number: +1 (212) 555-{1000 + i} and more") for i in range(20)]
+    rows.append((100, "her mobile number: 0212 555 7788 is new"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    many = spark.range(1000, 4000).selectExpr("id doc_id", "array_join(transform(sequence(1, 20), i -> concat('w x u', id, 'v', i, '@example.org')), ' ') text")
+    got = {r.doc_id: r.spans for r in pii.personal_data(df.union(many)).where("doc_id < 1000").collect()}
+    assert got[100] == "phone:19:32"
