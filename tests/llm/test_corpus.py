@@ -407,3 +407,11 @@ def test_a_frequent_kind_hides_no_rare_pattern(spark):
     many = spark.range(1000, 4000).selectExpr("id doc_id", "array_join(transform(sequence(1, 20), i -> concat('w x u', id, 'v', i, '@example.org')), ' ') text")
     got = {r.doc_id: r.spans for r in pii.personal_data(df.union(many)).where("doc_id < 1000").collect()}
     assert got[100] == "phone:19:32"
+
+
+def test_small_sources_of_a_large_mix_meet_their_targets(spark):
+    """Blocks don't grow with the whole: 40 million words beside sources of 60 words."""
+    large = spark.range(400).selectExpr("id doc_id", "repeat('w ', 100000) text", "'a' source")
+    small = spark.range(1000, 1080).selectExpr("id doc_id", "repeat('w ', 15) text", "concat('b', id div 4) source")
+    got = mixing.mixed(large.union(small)).where("source <> 'a'").groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("target")).collect()
+    assert len(got) == 20 and all(abs(r.n - r.target) <= 2 * 16 for r in got)
