@@ -33,10 +33,10 @@ from tallystone.llm.common import written
 SEED = 42
 CROWD = 48
 RADIUS = 2
-WIDE = 8  # words of a wide fingerprint
-FAR = 88  # of its 512 bits may differ: 0.172 of them; shingle sets of similarity 0.8 differ in 0.152, give or take 0.016
 TABLES = 32
 ROWS = 6  # least hashes of a table's slot: texts of similarity j share one of the slots with chance 1 - (1 - j^ROWS)^TABLES, 0.9999 at 0.8, whatever else the table holds
+FINE_TABLES = 128  # of slots with over CROWD nodes: 1 - (1 - 0.8^12)^128 is 0.9999 as well
+FINE_ROWS = 12
 #: bits of a byte, each in a byte of its own
 SPREAD = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.uint64) << (8 * np.arange(8, dtype=np.uint64))).sum(1).astype(np.uint64)
 
@@ -86,12 +86,6 @@ def mixed(hashes: np.ndarray, turn: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def wide_bits(hashes: np.ndarray) -> np.ndarray:
-    """The bits of a fingerprint of WIDE words, of distinct shingles; its first word is the plain fingerprint of those."""
-    own = np.unique(hashes)
-    return np.concatenate([2 * votes(mixed(own, k)) > len(own) for k in range(WIDE)])
-
-
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """doc_id, text_key and fp, the fingerprint as a signed 64-bit number, of every row."""
 
@@ -200,48 +194,104 @@ def slots_of(own: np.ndarray, tables: int, rows: int) -> np.ndarray:
     return slot.view(np.int64)
 
 
-def wide_prints(df: DataFrame, words: int) -> DataFrame:
-    """doc_id, text_key, w (the wide fingerprint) and slots (of TABLES tables)."""
+def sets_of(df: DataFrame, words: int) -> DataFrame:
+    """doc_id, text_key, shingles (their distinct hashes) and slots (of TABLES tables) of every row."""
+
+    def run(batches):
+        for batch in batches:
+            own = [np.unique(hashes_of(t.as_py(), words)) for t in batch.column(2)]
+            lists = ([x.view(np.int64) for x in own], [slots_of(x, TABLES, ROWS) for x in own])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], ["doc_id", "text_key", "shingles", "slots"])
+
+    return df.selectExpr("cast(doc_id as long) doc_id", "xxhash64(coalesce(text, '')) text_key", "text").mapInArrow(run, "doc_id long, text_key long, shingles array<long>, slots array<long>")
+
+
+def fine_slots(sets: DataFrame) -> DataFrame:
+    """node and slots (of FINE_TABLES tables) of every set."""
 
     def run(batches):
         for batch in batches:
-            w, slots = [], []
-            for text in batch.column(2):
-                hashes = hashes_of(text.as_py(), words)
-                w.append(np.packbits(wide_bits(hashes), bitorder="little").view(np.int64).tolist())
-                slots.append(slots_of(np.unique(hashes), TABLES, ROWS).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(w, pa.list_(pa.int64())), pa.array(slots, pa.list_(pa.int64()))], ["doc_id", "text_key", "w", "slots"])
+            slots = [slots_of(x.values.to_numpy().view(np.uint64), FINE_TABLES, FINE_ROWS) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots, pa.list_(pa.int64()))], ["node", "slots"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "node long, slots array<long>")
+
 
-    return df.selectExpr("cast(doc_id as long) doc_id", "xxhash64(coalesce(text, '')) text_key", "text").mapInArrow(run, "doc_id long, text_key long, w array<long>, slots array<long>")
+def shared_slots(nodes: DataFrame, name: str) -> DataFrame:
+    """slot and all (its nodes) of every slot that two nodes share."""
+    filed = nodes.select("node", F.explode("slots").alias("slot"))
+    return written(filed.groupBy("slot").agg(F.collect_list("node").alias("all")).where("size(all) > 1"), name)
+
+
+def sets_by_node(df: DataFrame, prints: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
+    """node and shingles of the wanted nodes, made anew from one text of each: sets of all rows are larger than the texts."""
+    own = prints.join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("text_key", "doc_id")).alias("w")).select(F.col("w.doc_id").alias("_tally_id"), F.col("w.text_key").alias("_tally_key"))
+    texts = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    same = F.col("doc_id").eqNullSafe(F.col("_tally_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_tally_key"))
+    made = sets_of(texts.join(own, same, "left_semi"), words).withColumn("node", F.xxhash64("shingles"))
+    return written(made.select("node", "shingles").dropDuplicates(["node"]), "sets")
+
+
+def alike(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
+    """Those of the pairs a < b whose shingle sets have a Jaccard similarity of 0.8 or more, exactly."""
+    # sets are many times what their statistics say: never broadcast them
+    one, two = (sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s{c}")).hint("merge") for c in "ab")
+    n = F.size("sa") + F.size("sb")
+    # the share of the smaller in the larger bounds the similarity
+    bound = 5 * F.least(F.size("sa"), F.size("sb")) >= 4 * F.greatest(F.size("sa"), F.size("sb"))
+    return written(pairs.join(one, "a").join(two, "b").where(bound & (9 * F.size(F.array_intersect("sa", "sb")) >= 4 * n)).select("a", "b"), name)
+
+
+def starred(shared: DataFrame) -> DataFrame:
+    """a < b: every node of a slot with the least of it."""
+    return shared.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a < b").distinct()
+
+
+def crossing(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """a < b: all pairs of nodes that share a slot and aren't in one component yet."""
+    filed = shared.select("slot", F.explode("all").alias("node")).join(roots, "node", "left").select("slot", "node", F.coalesce("root", "node").alias("root"))
+    groups = filed.groupBy("slot", "root").agg(F.collect_list("node").alias("all"))
+    mixed_slots = groups.groupBy("slot").count().where("count > 1").select("slot")
+    groups = written(groups.join(mixed_slots, "slot", "left_semi"), "groups")
+    other = groups.select("slot", F.col("root").alias("root2"), F.col("all").alias("all2"))
+    both = groups.join(other.hint("merge"), "slot").where("root < root2").select(F.explode("all").alias("p"), "all2")
+    both = both.select("p", F.explode("all2").alias("q"))
+    return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
 def similar_classes(df: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, text_key and root of every row: components of texts whose shingle sets are alike, about 0.8 or more.
-
-    At that similarity, plain fingerprints differ in 5 to 13 bits, where bounds by popcount
-    no longer tell texts apart. So beside the grid join over the plain fingerprints, tables
-    of least hashes of the shingles give candidates: all that share a table's slot are
-    compared with its least, its greatest and its middle one (by a hash), never with each
-    other, so a slot costs as many rows as it has. Candidates of either kind are links if
-    their wide fingerprints differ in FAR bits or fewer.
+    """doc_id, text_key and root of every row: components of texts whose shingle sets have a similarity of 0.8 or more.
+
+    Candidates share a slot of TABLES tables of least hashes. First the nodes of each slot
+    are compared with its least, which joins groups of near-copies by as many pairs as they
+    have nodes. What shares a slot and isn't in one component after that is compared pair
+    by pair, in slots of up to CROWD nodes. Nodes of fuller slots that are still of more
+    than one component go by FINE_TABLES tables of FINE_ROWS least hashes in the same two
+    steps, without a bound on the slot. Every candidate is decided by its exact similarity.
     """
-    prints = written(wide_prints(df, words).withColumn("node", F.xxhash64("w")), "wide")
-    nodes = written(prints.groupBy("node").agg(F.first("w").alias("w"), F.first("slots").alias("slots")), "nodes")
-    filed = nodes.select("node", F.explode("slots").alias("slot"))
-    turned = F.lit(0x5DEECE66D1234567)
-    heads = filed.groupBy("slot").agg(F.count("*").alias("n"), F.min("node").alias("x"), F.max("node").alias("y"), F.min(F.col("node").bitwiseXOR(turned)).bitwiseXOR(turned).alias("z")).where("n > 1").drop("n")
-    pairs = filed.join(heads, "slot").select(F.col("node").alias("p"), F.explode(F.array("x", "y", "z")).alias("q")).where("p <> q")
-    # the grid join works on first words; a node of each stands for it
-    firsts = nodes.groupBy(F.get("w", F.lit(0)).alias("fp")).agg(F.min("node").alias("stand"))
-    plain = links(firsts.select("fp"))
-    stood = plain.join(firsts.select(F.col("fp").alias("a"), F.col("stand").alias("p")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("stand").alias("q")), "b").select("p", "q")
-    alike = nodes.join(firsts, F.get("w", F.lit(0)) == F.col("fp")).where("node <> stand").select(F.col("node").alias("p"), F.col("stand").alias("q"))
-    every = pairs.union(stood).union(alike).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    bits = nodes.select("node", "w")
-    both = every.join(bits.select(F.col("node").alias("a"), F.col("w").alias("wa")), "a").join(bits.select(F.col("node").alias("b"), F.col("w").alias("wb")), "b")
-    differ = sum((F.bit_count(F.get("wa", F.lit(i)).bitwiseXOR(F.get("wb", F.lit(i)))) for i in range(1, WIDE)), F.bit_count(F.get("wa", F.lit(0)).bitwiseXOR(F.get("wb", F.lit(0)))))
-    roots = components(both.where(differ <= FAR).select("a", "b")).withColumnRenamed("node", "_tally_node")
-    return prints.join(roots, prints.node == roots._tally_node, "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
+    prints = sets_of(df, words).withColumn("node", F.xxhash64("shingles"))
+    prints = written(prints.drop("shingles"), "prints")
+    nodes = prints.groupBy("node").agg(F.first("slots").alias("slots"))
+    shared = shared_slots(nodes, "shared")
+    sets = sets_by_node(df, prints, shared.select(F.explode("all").alias("node")).distinct(), words)
+    links_found = tried = None
+    for fine in (False, True):
+        if fine:
+            full = shared.where(F.size("all") > CROWD).select("slot", F.explode("all").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))  # noqa: F821
+            split = full.groupBy("slot").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("slot")
+            wanted = written(full.join(split, "slot", "left_semi").select("node").distinct(), "crowded")
+            if wanted.isEmpty():
+                break
+            shared = shared_slots(fine_slots(sets.join(wanted, "node", "left_semi")), "shared")
+        for pick in (starred, lambda at: crossing(at if fine else at.where(F.size("all") <= CROWD), roots)):  # noqa: B023, F821
+            pairs = pick(shared)
+            pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+            tried = pairs if tried is None else tried.union(pairs)
+            found = alike(pairs, sets, "alike")
+            links_found = found if links_found is None else links_found.union(found)
+            roots = written(components(links_found), "roots")
+    last = roots.withColumnRenamed("node", "_tally_node")
+    return prints.select("doc_id", "text_key", "node").join(last, F.col("node") == F.col("_tally_node"), "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
 
 
 def kept_documents(df: DataFrame, words: int = 5) -> DataFrame:

@@ -395,10 +395,49 @@ def test_slots_hold_similar_sets_at_any_row_count(spark):
     pair = [(i, " ".join(f"w{j + (i == 1 and j % 50 == 7)}" for j in range(150))) for i in range(2)]
     few = spark.createDataFrame(pair, "doc_id long, text string")
     many = few.union(spark.range(100, 3100).selectExpr("id", "concat('other ', id)"))
-    got = [{r.doc_id: list(r.slots) for r in neardup.wide_prints(df, 5).where("doc_id < 2").collect()} for df in (few, many)]
+    got = [{r.doc_id: list(r.slots) for r in neardup.sets_of(df, 5).where("doc_id < 2").collect()} for df in (few, many)]
     assert got[0] == got[1] and set(got[0][0]) & set(got[0][1])
 
 
+def classes_by_hand(texts, words=5):
+    sets = {}
+    for i, t in texts:
+        w = t.lower().split()
+        sets[i] = {tuple(w[j : j + words]) for j in range(max(1, len(w) - words + 1))}
+    root = {i: i for i in sets}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in combinations(sets, 2):
+        if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+            root[max(top(a), top(b))] = min(top(a), top(b))
+    return {i: top(i) for i in sets}
+
+
+def test_crowded_slots_and_the_exact_bound(spark, monkeypatch):
+    """Texts around one passage crowd the slots; pairs among them are found, and nothing below 0.8."""
+    monkeypatch.setattr(neardup, "CROWD", 6)
+    rng = random.Random(8)
+    fresh = lambda n: [f"v{rng.randrange(10**9)}" for _ in range(n)]
+    passage, rows = fresh(200), []
+    for _ in range(50):
+        text = passage + fresh(34)
+        rows += [text, text[:-12] + fresh(12)]  # 0.74 to the others, 0.90 to each other
+    rows.append(fresh(9))
+    rows.append(rows[-1][:8])  # 4 of 5 shingles: 0.8
+    base = fresh(104)
+    rows += [base, base[:94] + fresh(10), fresh(4) + base[:85]]
+    texts = [(i, " ".join(t)) for i, t in enumerate(rows)]
+    want = classes_by_hand(texts)
+    got = {r.doc_id: r.root for r in neardup.similar_classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    groups = lambda of: {frozenset(i for i in of if of[i] == r) for r in set(of.values())}
+    assert groups(got) == groups(want)
+    assert got[100] == got[101] and len(groups(got)) > 50
+
+
 def test_a_frequent_kind_hides_no_rare_pattern(spark):
     """Support is three seeds at any table size: 20 phones are enough beside 60,000 other seeds."""
     rows = [(i, f"some words then mobile number: +1 (212) 555-{1000 + i} and more") for i in range(20)]
