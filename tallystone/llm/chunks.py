@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import chain
 
 LONGEST = 64  # characters of a chunk that is worth keeping
 KEPT = 400_000  # chunks of a generation; two generations are kept at most
@@ -23,30 +22,23 @@ class ChunkMemory:
         """The memory, holding a value for each of these chunks until the next call."""
         if len(self.known) > KEPT:
             self.old, self.known = self.known, {}
-        known, old, new = self.known, self.old, []
-        for c in chunks.difference(known):
-            value = old.get(c)
-            if value is None:
-                new.append(c)
-            else:
-                known[c] = value
+        known, old = self.known, self.old
+        new = list(chunks.difference(known))
+        if old:
+            again = [c for c in new if c in old]
+            known.update((c, old[c]) for c in again)
+            new = [c for c in new if c not in old] if again else new
         if new:
             known.update(zip(new, self.make(new), strict=True))
         self.long = [c for c in new if len(c) > LONGEST]
         return known
 
-    def lists(self, texts: list[list[str]]) -> list[list]:
-        """The values of the chunks of each text; what is new among all of them is made at once."""
-        known = self.learn(set(chain.from_iterable(texts)))
-        got = [list(map(known.__getitem__, chunks)) for chunks in texts]
+    def values(self, chunks: list[str]) -> list:
+        """The values of distinct chunks."""
+        got = list(map(self.learn(set(chunks)).__getitem__, chunks))
         self.forget()
         return got
 
-    def value(self, chunk: str):
-        """What is known of a chunk, or None."""
-        got = self.known.get(chunk)
-        return self.old.get(chunk) if got is None else got
-
     def forget(self) -> None:
         """Drop the long chunks of the last call."""
         for c in self.long:

@@ -40,6 +40,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def stated_bytes(df: DataFrame) -> int:
+    """The size of a table as its plan states it, without a job; 0 if the plan doesn't know."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 55 else 0
+
+
 def split_points(df: DataFrame, key: str, parts: int) -> list[int]:
     """Distinct ascending quantiles that cut a numeric key into at most `parts` even ranges.
 

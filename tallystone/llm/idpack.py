@@ -10,11 +10,13 @@ task writes under a name of its own and renames at the end, so a task that runs
 leaves one whole file. Files go through pyarrow.fs to the shared folder, never to a local one.
 
 Defined results: a null text counts as empty and has only the end id; null ids come first;
-rows with equal ids keep an order by their contents; an empty table gives no row.
+rows with equal ids keep an order by their contents; very long texts are encoded whole, a
+slice of their own; other columns don't matter; an empty table gives no row.
 """
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import uuid
@@ -27,12 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallystone.llm.chunks import LONGEST, ChunkMemory
-from tallystone.llm.common import partitions, range_of, shared_uri, split_points
+from tallystone.llm.chunks import ChunkMemory
+from tallystone.llm.common import partitions, range_of, shared_uri, split_points, stated_bytes
 
 MAGIC = b"TLYIDS01"
 HEAD = struct.Struct("<8sHHIQQ")
 BLOCK = 1 << 14  # ids in a block; a multiple of 8, so that blocks end on a byte
+SHARD = 1 << 26  # bytes of texts, as the plan states them, that a shard holds about
+NO_KEY = 1 << 62  # set in the first id of a document without a key
 
 
 def width_for(vocabulary: int) -> int:
@@ -80,8 +84,8 @@ class Writer:
         self.out.write(raw)
         self.place += len(raw)
 
-    def add(self, key: int, ids: np.ndarray) -> None:
-        self.docs.append((key, self.n))
+    def add(self, key: int | None, ids: np.ndarray) -> None:
+        self.docs.append((0, self.n | NO_KEY) if key is None else (key, self.n))
         self.held.append(ids)
         self.n += len(ids)
         self.n_held += len(ids)
@@ -135,110 +139,185 @@ class Reader:
         got = [self._block(k)[max(0, start - k * self.block) : stop - k * self.block] for k in range(start // self.block, -(-stop // self.block))]
         return np.concatenate(got) if got else np.zeros(0, np.uint32)
 
-    def documents(self) -> Iterator[tuple[int, int, np.ndarray]]:
+    def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """Id, first id's place and ids of each document, in order."""
-        ends = [*self.docs[1:, 1].tolist(), self.n]
-        for (key, start), stop in zip(self.docs.tolist(), ends, strict=True):
-            yield key, start, self.ids(start, stop)
-
-
-_READY: dict[tuple[str, str], ChunkMemory] = {}
-#: letters, then marks: the tokenizer looks at them apart (not at an apostrophe, nor at "<")
-WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!-&(-/:;=-@\[-`{-~]+)")
-DOTTED = "\u0130"  # the letter whose lower case ends in a mark
-TOGETHER = 256  # plain words encoded as one text
-
-
-class WordEncoder:
-    """Ids, packed by `code`, of chunks without blanks.
-
-    Plain words are encoded many at a time: each ends where a token with the model's word
-    end stands. Should a text not give as many ends as it has words, its words are encoded
-    one by one, like all other chunks.
+        starts = self.docs[:, 1] & ~NO_KEY
+        for (key, mark), start, stop in zip(self.docs.tolist(), starts.tolist(), [*starts[1:].tolist(), self.n], strict=True):
+            yield None if mark & NO_KEY else key, start, self.ids(start, stop)
+
+
+#: fixed values: the normaliser and the pre-tokenizer that chunks between blanks rely on
+NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+#: what a byte is to a chunk: blank, ASCII letter, mark, part of another letter, or more than that
+BLANK, LETTER, MARK, HIGH, ODD = range(5)
+KINDS = np.full(256, ODD, np.uint8)
+KINDS[[9, 10, 13, 32]] = BLANK
+KINDS[[*range(65, 91), *range(97, 123)]] = LETTER
+#: marks: ASCII punctuation, but for the apostrophe and "<", with which special cases start
+KINDS[[c for c in [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)] if chr(c) not in "'<"]] = MARK
+#: two bytes of U+00C0 to U+024F, Latin letters that don't combine with one another
+KINDS[0x80:0xC0] = HIGH
+KINDS[0xC3:0xCA] = HIGH
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+TOGETHER = 256  # words encoded as one text
+SLICE = 1 << 23  # bytes of text worked on at once, or one text
+
+
+def pieces_of(raw: np.ndarray, rows: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """What the texts between `rows` consist of, in order, and which pieces each has.
+
+    A chunk between blanks is a piece as it is; but one of Latin letters and marks after
+    them is two, the word (A-Z lower-cased) and its marks: the tokenizer looks at them
+    apart, and normalisation gives the word's lower case.
+    """
+    kind = KINDS[raw]
+    before = np.concatenate([[BLANK], kind[:-1]]).astype(np.uint8)[: len(kind)]
+    before[rows[:-1][rows[:-1] < len(kind)]] = BLANK
+    kept = kind != BLANK
+    starts = kept & (before == BLANK)
+    chunk = np.cumsum(starts, dtype=np.int32)
+    odd = (kind == ODD) | ((before == MARK) & ((kind == LETTER) | (kind == HIGH)))
+    lead = np.flatnonzero((raw >= 0xC3) & (raw < 0xCA))
+    after = raw[lead + 1]  # texts are whole UTF-8
+    # not letters: the signs of multiplication and division; not of one lower case: I with a dot; letters past U+024F
+    odd[lead[((raw[lead] == 0xC3) & ((after == 0x97) | (after == 0xB7))) | ((raw[lead] == 0xC4) & (after == 0xB0)) | ((raw[lead] == 0xC9) & (after > 0x8F))]] = True
+    whole = np.zeros(int(chunk[-1]) + 1 if len(chunk) else 1, bool)
+    whole[chunk[odd & kept]] = True
+    whole = whole[chunk] & kept if len(chunk) else kept
+    starts |= (kind == MARK) & ((before == LETTER) | (before == HIGH)) & ~whole
+    text = LOWER[raw]
+    text[whole] = raw[whole]
+    place = np.concatenate([[0], np.cumsum(kept, dtype=np.int32)]).astype(np.int32)
+    bounds = np.append(place[np.flatnonzero(starts)], place[-1]).astype(np.int32)
+    counted = np.concatenate([[0], np.cumsum(starts, dtype=np.int32)])
+    return pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds), pa.py_buffer(text[kept])), counted[rows].astype(np.int64)
+
+
+#: a word in the sense of pieces_of
+LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+
+
+def letters_of_bytes() -> str:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else one from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = [b for b in range(256) if b not in shown]
+    return "".join(chr(b if b in shown else 256 + other.index(b)) for b in range(256))
+
+
+class TextEncoder:
+    """Ids, packed by `code`, of texts: what the library's encode gives.
+
+    The tokenizer drops white space before it looks at words, so texts are cut into pieces,
+    each distinct one is encoded once and remembered within a bound. Words of Latin letters
+    go straight to the library's byte-pair model, many at a time: each ends where a token
+    with the model's word end stands. Should a text not give as many ends as it has words,
+    and for all other pieces, the whole tokenizer is asked. So it is for whole texts if its
+    normaliser and pre-tokenizer aren't the ones that this holds for.
     """
 
     def __init__(self, path: str, code: str) -> None:
-        from tokenizers import Tokenizer
-
-        self.model, self.code = Tokenizer.from_file(path), code
-        self.size = array(code).itemsize
-        vocabulary = self.model.get_vocab()
-        mark = getattr(self.model.model, "end_of_word_suffix", None) or ""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole, self.code = Tokenizer.from_file(path), code
+        self.kind, self.size = np.dtype(code).newbyteorder("<"), array(code).itemsize
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.cut = spec.get("normalizer") == NORMAL and spec.get("pre_tokenizer") == SPLIT and not any(" " in t["content"] for t in spec.get("added_tokens", []))
+        self.words = Tokenizer(self.whole.model)
+        self.words.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        self.letters = {b: c for b, c in enumerate(letters_of_bytes()) if b != 32}
+        vocabulary = self.whole.get_vocab()
+        mark = getattr(self.whole.model, "end_of_word_suffix", None)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        if mark:
-            self.ends[[i for w, i in vocabulary.items() if w.endswith(mark)]] = True
+        self.ends[[i for w, i in vocabulary.items() if mark and w.endswith(mark)]] = True
+        self.memory = ChunkMemory(self._made)
 
     def _each(self, chunks: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.model.encode_batch_fast(chunks, add_special_tokens=False)]
-
-    def __call__(self, chunks: list[str]) -> list[bytes]:
-        plain, other, found = [], [], {}
-        for c in chunks:
-            (plain if c.isalpha() else other).append(c)
-        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
-        for words, e in zip(groups, self.model.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        return [array(self.code, e.ids).tobytes() for e in self.whole.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _of_words(self, words: list[str]) -> dict[str, bytes]:
+        """Values of lower-case words of Latin letters."""
+        found, other = {}, []
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        lines = [" ".join(g) for g in groups]
+        lines = [x if x.isascii() else x.encode().decode("latin-1").translate(self.letters) for x in lines]
+        for group, e in zip(groups, self.words.encode_batch_fast(lines, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, np.int64)
             stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) != len(words) or stops[-1] != len(ids):
-                other += words
+            if len(stops) != len(group) or stops[-1] != len(ids):
+                other += group
                 continue
-            flat, at = ids.astype(self.code).tobytes(), (stops * self.size).tolist()
-            found.update((w, flat[a:b]) for w, a, b in zip(words, [0, *at[:-1]], at, strict=True))
+            flat, at = ids.astype(self.kind).tobytes(), (stops * self.size).tolist()
+            found.update((w, flat[a:b]) for w, a, b in zip(group, [0, *at[:-1]], at, strict=True))
         found.update(zip(other, self._each(other), strict=True))
-        return [found[c] for c in chunks]
-
-
-def _memory(path: str, code: str = "I") -> ChunkMemory:
+        return found
+
+    def _made(self, pieces: list[str]) -> list[bytes]:
+        words = {c: c if c.isascii() else c.lower() for c in pieces if c.isalpha() and (c.isascii() or LATIN.fullmatch(c))}
+        other = [c for c in pieces if c not in words]
+        found = self._of_words(list(dict.fromkeys(words.values())))
+        own = dict(zip(other, self._each(other), strict=True))
+        return [found[words[c]] if c in words else own[c] for c in pieces]
+
+    def _slice(self, texts: pa.Array, end: bytes) -> pa.Array:
+        n = len(texts)
+        offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + n + 1]
+        if self.cut:
+            raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+            pieces, at = pieces_of(raw, (offsets - offsets[0]).astype(np.int64))
+        else:
+            pieces, at = texts, np.arange(n + 1)
+        coded = pieces.dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        values = [*(self.memory.values(chunks) if self.cut else self._each(chunks)), end]
+        # a text's chunks, then the end, which is the last value
+        stops = at[1:] + np.arange(n)
+        order = np.full(at[-1] + n, len(chunks))
+        inner = np.ones(len(order), bool)
+        inner[stops] = False
+        order[inner] = coded.indices.to_numpy()
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.size
+        wide = sizes[order]
+        upto = np.cumsum(wide)
+        source = np.repeat((np.cumsum(sizes) - sizes)[order] - (upto - wide), wide) + np.arange(upto[-1])
+        ids = np.frombuffer(b"".join(values), self.kind)[source]
+        bounds = np.concatenate([[0], upto[stops] * self.size]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(ids)])
+
+    def encode(self, texts: pa.Array, end: int) -> Iterator[tuple[int, pa.Array]]:
+        """Place of the first text and packed ids of slices of the texts; nulls count as empty."""
+        texts = texts.cast(pa.string()).fill_null("")
+        upto = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        at, last = 0, array(self.code, [end]).tobytes()
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(upto, upto[at] + SLICE, "right")) - 1)
+            yield at, self._slice(texts.slice(at, stop - at), last)
+            at = stop
+
+
+_READY: dict[tuple[str, str], TextEncoder] = {}
+
+
+def encoder(path: str, code: str) -> TextEncoder:
     if (path, code) not in _READY:
-        encode = WordEncoder(path, code)
-
-        def make(chunks: list[str]) -> list[bytes]:
-            known, old, parts, new = memory.known, memory.old, {}, {}
-            for c in chunks:
-                if c and not c[-1].isalnum() and (m := WORD_AND_MARKS.fullmatch(c)) and m[1].isalpha() and m[1][-1] != DOTTED:
-                    parts[c] = m.groups()
-                    for p in parts[c]:
-                        if p not in known and p not in old:
-                            new[p] = None
-                else:
-                    new[c] = None
-            own = dict(zip(new, encode(list(new)), strict=True))
-            for p in {p for pair in parts.values() for p in pair}:
-                if p not in own:
-                    own[p] = known[p] if p in known else old[p]
-                if len(p) <= LONGEST:
-                    known[p] = own[p]
-            return [own[parts[c][0]] + own[parts[c][1]] if c in parts else own[c] for c in chunks]
-
-        memory = _READY[path, code] = ChunkMemory(make)
+        _READY[path, code] = TextEncoder(path, code)
     return _READY[path, code]
 
 
-def chunks_of(text: str) -> list[str]:
-    """What stands between blanks; ASCII is lower-cased, as the tokenizer does, but for special tokens' names."""
-    text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-    return (text.lower() if text.isascii() and "<" not in text else text).split(" ")
-
-
 def encode_ids(df: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = 1 << 16) -> DataFrame:
-    """key and ids (binary, 2 or 4 bytes each) of every text, the end id last.
-
-    The tokenizer drops white space before it looks at words, so chunks between blanks are
-    encoded once and remembered within a bound.
-    """
+    """key and ids (binary, 2 or 4 bytes each) of every text, the end id last."""
     code = "H" if vocabulary <= 1 << 16 else "I"
 
     def run(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        memory, end = _memory(tokenizer_path, code), array(code, [end_id]).tobytes()
+        own = encoder(tokenizer_path, code)
         for batch in batches:
-            out = []
-            for at in range(0, batch.num_rows, 256):
-                texts = [chunks_of(t.as_py() or "") for t in batch.column(1).slice(at, 256)]
-                out += [b"".join(values) + end for values in memory.lists(texts)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["key", "ids"])
+            for at, ids in own.encode(batch.column(1), end_id):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), ids], ["key", "ids"])
 
     return df.selectExpr(f"cast(`{id_col}` as long) key", f"`{text_col}` text").mapInArrow(run, "key long, ids binary")
 
@@ -256,7 +335,7 @@ def write_shards(encoded: DataFrame, keys: DataFrame, folder: str, vocabulary: i
         for batch in batches:
             for key, ids in zip(batch.column("key").to_pylist(), batch.column("ids"), strict=True):
                 out = out or Writer(f"{folder}/shard-{shard:06d}.ids", vocabulary)
-                out.add(-(1 << 63) if key is None else key, np.frombuffer(ids.as_buffer(), kind).astype(np.uint32))
+                out.add(key, np.frombuffer(ids.as_buffer(), kind).astype(np.uint32))
         if out:
             docs, n = out.close()
             yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([out.uri]), pa.array([docs], pa.int64()), pa.array([n], pa.int64())], ["shard", "uri", "docs", "ids"])
@@ -277,7 +356,7 @@ def read_shards(spark, manifest: list[tuple[int, str, int, int]]) -> DataFrame:
             for uri, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 held = []
                 for key, start, ids in Reader(uri).documents():
-                    held.append((None if key == -(1 << 63) else key, base + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    held.append((key, base + start, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     if len(held) == 20_000:
                         yield _documents(held)
                         held = []
@@ -296,5 +375,6 @@ def packed_texts(df: DataFrame, tokenizer_path: str, end_id: int = 1, vocabulary
     """Encode, write the shard files to the shared folder, and read every document back from them."""
     spark = df.sparkSession
     folder = shared_uri(spark, "token-ids")
-    manifest = write_shards(encode_ids(df, tokenizer_path, end_id, id_col, text_col, vocabulary), df.selectExpr(f"cast(`{id_col}` as long) key"), folder, vocabulary, partitions(spark)).collect()
+    shards = max(partitions(spark), -(-stated_bytes(df) // SHARD))
+    manifest = write_shards(encode_ids(df, tokenizer_path, end_id, id_col, text_col, vocabulary), df.selectExpr(f"cast(`{id_col}` as long) key"), folder, vocabulary, shards).collect()
     return read_shards(spark, [tuple(r) for r in manifest])
