@@ -5,8 +5,10 @@ strips or tiles stored raw or as PackBits, LZW or deflate, undoes horizontal pre
 and hands back each page's samples. The writer stores payload bytes as 8-bit grey rows.
 
 Defined results: a null or empty media value has no page; a damaged file gives one row
-with page null and the reason in `error`, after the pages that could be read. Repeated
-rows give repeated pages. Columns other than the ones named are carried untouched.
+with page null and the reason in `error`, after the pages that could be read: counts of
+strips or tiles that don't fit the size, and sizes that the stored bytes can't fill, are
+damage. Repeated rows give repeated pages. Columns other than the ones named are carried
+untouched; an empty table gives no row.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ from pyspark.sql import types as T
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, ROWS_PER_STRIP, STRIP_LEN, PLANAR, PREDICTOR, TILE_W, TILE_H, TILE_AT, TILE_LEN = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325
 TYPES = {1: "B", 3: "H", 4: "I"}
 RAW, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
+#: bytes that a stored byte gives at most, by compression
+MOST = {RAW: 1, LZW: 3640, DEFLATE: 1040, OLD_DEFLATE: 1040, PACKBITS: 64}
 
 ROW = 64  # samples in a row
 PAGE_ROWS = 4096  # rows of a page at most: 256 KiB, longer payloads take more pages
@@ -238,31 +242,34 @@ def samples_of(data: bytes, fields: dict[int, list[int]]) -> np.ndarray:
     one = lambda tag, default=None: fields[tag][0] if tag in fields else default
     cols, rows, n = one(WIDTH), one(HEIGHT), one(SAMPLES, 1)
     code, predictor = one(COMPRESSION, RAW), one(PREDICTOR, 1)
-    if cols is None or rows is None:
+    if not cols or not rows or not n:
         raise ValueError("a directory has no size")
     if set(fields.get(BITS, [1])) != {8} or one(PLANAR, 1) != 1 or predictor not in (1, 2):
         raise ValueError("only 8-bit interleaved samples with predictor 1 or 2 are read")
-    out = np.zeros((rows, cols, n), np.uint8)
-
-    def part(at: int, length: int, h: int, w: int) -> np.ndarray:
-        if at + length > len(data):
-            raise ValueError("a strip or tile lies outside the file")
-        block = np.frombuffer(expand(data[at : at + length], code, h * w * n), np.uint8).reshape(h, w, n)
-        return np.cumsum(block, axis=1, dtype=np.uint8) if predictor == 2 else block
-
-    if TILE_AT in fields:
-        w, h = one(TILE_W), one(TILE_H)
-        places = iter(zip(fields[TILE_AT], fields[TILE_LEN], strict=True))
-        for y in range(0, rows, h):
-            for x in range(0, cols, w):
-                block = part(*next(places), h, w)
-                out[y : y + h, x : x + w] = block[: rows - y, : cols - x]
+    if code not in MOST:
+        raise ValueError(f"compression {code} isn't supported")
+    tiled = TILE_AT in fields
+    if tiled:
+        w, h, at, lengths = one(TILE_W), one(TILE_H), fields[TILE_AT], fields.get(TILE_LEN, [])
     else:
-        high = min(one(ROWS_PER_STRIP, rows), rows)
-        for k, (at, length) in enumerate(zip(fields.get(STRIP_AT, []), fields.get(STRIP_LEN, []), strict=True)):
-            y = k * high
-            h = min(high, rows - y)
-            out[y : y + h] = part(at, length, h, cols)
+        w, h, at, lengths = cols, min(one(ROWS_PER_STRIP, rows), rows), fields.get(STRIP_AT, []), fields.get(STRIP_LEN, [])
+    if not w or not h:
+        raise ValueError("strips or tiles have no size")
+    grid = [(y, x) for y in range(0, rows, h) for x in range(0, cols, w)] if -(-rows // h) * -(-cols // w) == len(at) == len(lengths) else None
+    if grid is None:
+        raise ValueError("the count of strips or tiles doesn't fit the size")
+    if any(a + size > len(data) for a, size in zip(at, lengths, strict=True)):
+        raise ValueError("a strip or tile lies outside the file")
+    # no data of this length expands to that size: found out before memory is taken
+    if any((h if tiled else min(h, rows - y)) * w * n > MOST[code] * size for (y, _), size in zip(grid, lengths, strict=True)):
+        raise ValueError("a strip or tile is short")
+    out = np.empty((rows, cols, n), np.uint8)
+    for (y, x), a, size in zip(grid, at, lengths, strict=True):
+        high = h if tiled else min(h, rows - y)
+        block = np.frombuffer(expand(data[a : a + size], code, high * w * n), np.uint8).reshape(high, w, n)
+        if predictor == 2:
+            block = np.cumsum(block, axis=1, dtype=np.uint8)
+        out[y : y + high, x : x + w] = block[: rows - y, : cols - x]
     return out
 
 
@@ -298,7 +305,7 @@ def read_pages(data: bytes | None) -> Iterator[tuple]:
         for k, (_, fields) in enumerate(directories(data) if data else ()):
             px = samples_of(data, fields)
             yield k, px.shape[1], px.shape[0], px.shape[2], fields.get(COMPRESSION, [RAW])[0], px.tobytes(), feature(px), None
-    except (ValueError, struct.error, zlib.error, IndexError, StopIteration) as e:
+    except (ValueError, LookupError, ArithmeticError, MemoryError, struct.error, zlib.error) as e:
         yield (*[None] * 7, f"after page {k}: {e}")
 
 
@@ -331,13 +338,24 @@ def _rows(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
 
-STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pages int"
+STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pages int, compression int"
+
+
+#: compression, predictor, tile side and byte order of a stored text, dealt by its bytes
+LAYOUTS = [(code, predictor, tile, order) for tile in (0, ROW) for code, predictor in ((DEFLATE, 2), (LZW, 2), (PACKBITS, 1), (RAW, 1)) for order in ("<" if tile else ">",)]
+
+
+def layout_of(payload: bytes) -> tuple[int, int, int, str]:
+    return LAYOUTS[zlib.crc32(payload) % len(LAYOUTS)]
 
 
-def stored_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", compression: int = DEFLATE, predictor: int = 2) -> DataFrame:
+def stored_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", layout: tuple[int, int, int, str] | None = None) -> DataFrame:
     """Store each text as a TIFF, read the stored bytes back page by page and describe both.
 
-    A null text counts as empty: one row of zeros. One row out per row in.
+    layout: one of LAYOUTS for all texts; otherwise each text has the one that its bytes deal
+    it, so that equal texts are stored alike. A null text counts as empty: one row of zeros.
+    One row out per row in, whatever other columns there are; very long texts take as many
+    pages as they need; an empty table gives no row.
     """
 
     def run(batches):
@@ -345,12 +363,12 @@ def stored_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 size, payload = payload_of(text.as_py())
-                media = encode(pages_for(payload), compression, predictor)
+                media = encode(pages_for(payload), *(layout or layout_of(payload)))
                 back = list(read_pages(media))
                 if any(r[-1] for r in back):
                     raise ValueError(f"document {key}: {back[-1][-1]}")
                 got = b"".join(r[5] for r in back)
-                rows.append((key, size, len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), "|".join(r[6] for r in back), len(back)))
+                rows.append((key, size, len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-ROW:]), len(media), hashlib.sha256(media).hexdigest(), "|".join(r[6] for r in back), len(back), back[0][4]))
             yield _rows(rows, arrow)
 
     from pyspark.sql.types import _parse_datatype_string
