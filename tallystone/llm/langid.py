@@ -7,15 +7,19 @@ Four kinds of evidence are multiplied for every language:
 - the address suffix: how often addresses of a language end so;
 - the host: its mix of languages, smoothed towards its suffix's mix and that towards the
   mix of the whole table.
-The last three come from grouped aggregations of what the text alone says, over all rows.
+The last three come from grouped aggregations of what the text alone says, over all rows; a
+row's own part is left out of the mixes that speak for it.
 
-The trigram tables are fitted on a bounded sample of labelled rows: about TRAIN_ROWS rows of
-each of the LANGUAGES most frequent labels, chosen by a hash of the id. Nothing else is sampled.
+Classes: every label of two or three letters that LEAST_ROWS rows or more have. The trigram
+tables are fitted on a bounded sample of labelled rows: about TRAIN_ROWS rows of each of
+them, chosen by a hash of the id; their trigrams are counted where the rows are, and only
+the counts come to the driver. Nothing else is sampled.
 
 Defined results: null, empty and wordless texts have no text evidence and fall to the other
-kinds; missing evidence of a kind counts for no language; a row is accepted if its best
-language isn't "und" and holds half of the belief or more. One row out per row in; an empty
-table gives none.
+kinds; missing evidence of a kind counts for no language; of languages with equal belief the
+first in the order of codes wins, "und" last; a row is accepted if its best language isn't
+"und" and holds half of the belief or more. Very long texts count whole. One row out per row
+in, whatever other columns are called; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ from pyspark.sql import types as T
 from tallystone.llm.common import written
 
 TRAIN_ROWS = 400
-LANGUAGES = 32
+LEAST_ROWS = 5
 BUCKETS = 1 << 16
 WEIGHT = 40.0  # trigrams that a text's evidence counts as, at most
 NONE = "und"
@@ -61,14 +65,19 @@ class TextModel:
     def __init__(self, languages: list[str], tables: np.ndarray) -> None:
         self.languages, self.tables = languages, tables
 
+    @classmethod
+    def of_counts(cls, languages: list[str], counts: np.ndarray) -> TextModel:
+        """From the trigram counts, a row a language."""
+        counts = np.concatenate([counts + 0.05, np.ones((1, BUCKETS))])  # "und": all buckets alike
+        return cls(languages, np.log(counts / counts.sum(1, keepdims=True)).T.astype(np.float32))
+
     @classmethod
     def fit(cls, rows: list[tuple[str, str]]) -> TextModel:
         languages = sorted({lang for lang, _ in rows})
-        counts = np.full((len(languages) + 1, BUCKETS), 0.05)
+        counts = np.zeros((len(languages), BUCKETS))
         for lang, text in rows:
             counts[languages.index(lang)] += np.bincount(trigrams(text), minlength=BUCKETS)
-        counts[-1] = 1.0  # "und": all buckets alike
-        return cls(languages, np.log(counts / counts.sum(1, keepdims=True)).T.astype(np.float32))
+        return cls.of_counts(languages, counts)
 
     def score(self, text: str | None) -> tuple[list[float], int]:
         """Mean log-likelihood by class, and the number of trigrams."""
@@ -83,15 +92,31 @@ class TextModel:
 
 def fitted(df: DataFrame, label_col: str = "lang", text_col: str = "text", id_col: str = "doc_id") -> TextModel:
     """A model of the labelled rows of df; see the module's bound."""
-    labels = df.where(F.col(label_col).isNotNull() & (F.length(label_col) > 0)).groupBy(label_col).count().orderBy(F.desc("count"), label_col).limit(LANGUAGES).collect()
+    label = F.lower(F.substring_index(label_col, "-", 1))
+    code = label.rlike("^[a-z]{2,3}$")
+    labels = {r[0]: r[1] for r in df.where(code).groupBy(label.alias("label")).count().where(F.col("count") >= LEAST_ROWS).collect()}  # a row for each code of two or three letters
+    languages = sorted(labels)
     if not labels:
         return TextModel([], np.zeros((BUCKETS, 1), np.float32))
     turn = F.pmod(F.xxhash64(F.lit(11), F.col(id_col)), F.lit(1 << 30))
-    picked = F.lit(False)
-    for label, count in labels:
-        picked = picked | ((F.col(label_col) == label) & (turn < int((1 << 30) * min(1.0, TRAIN_ROWS / count))))
-    rows = df.where(picked).select(label_col, text_col).limit(3 * TRAIN_ROWS * len(labels)).collect()
-    return TextModel.fit([tuple(r) for r in rows])
+    below = F.element_at(F.create_map(*(F.lit(x) for lang, n in labels.items() for x in (lang, int((1 << 30) * min(1.0, TRAIN_ROWS / n))))), label)
+    at = {lang: i for i, lang in enumerate(languages)}
+
+    def run(batches):
+        counts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                own = counts.setdefault(at[lang], np.zeros(BUCKETS, np.int64))
+                own += np.bincount(trigrams(text.as_py()), minlength=BUCKETS)
+        for k, own in counts.items():
+            seen = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seen), k), pa.int32()), pa.array(seen, pa.int32()), pa.array(own[seen])], ["k", "bucket", "n"])
+
+    sample = df.where(code & label.isin(languages) & (turn < below)).select(label.alias("label"), F.col(text_col))
+    counted = sample.mapInArrow(run, "k int, bucket int, n long").groupBy("k", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((len(languages), BUCKETS))
+    counts[counted.column("k").to_numpy(), counted.column("bucket").to_numpy()] = counted.column("n").to_numpy()
+    return TextModel.of_counts(languages, counts)
 
 
 def text_scores(df: DataFrame, model: TextModel, text_col: str) -> DataFrame:
@@ -147,16 +172,18 @@ def fused(df: DataFrame, model: TextModel, keep: list[str], text_col: str = "tex
     # what is declared: rows of a class are counted by code; without counts `trust` rules
     codes = {r[0]: r[1] for r in _sums(scored.where(F.col("declared").isin(classes[:-1])).withColumn("code", F.col("declared")), "code", size).collect()} if size > 1 else {}
     seen = [sum(m[k] for m in codes.values()) for k in range(size)]
-    said = F.create_map(*(x for c in classes[:-1] for x in (F.lit(c), F.array(*(F.lit(float(np.log((codes.get(c, [0.0] * size)[k] + 10.0 * (trust if classes[k] == c else (1 - trust) / max(1, size - 2)) + 0.01) / (seen[k] + 10.0 + 0.01 * size)))) for k in range(size)))))) if size > 1 else None
-    by_code = F.coalesce(F.element_at(said, F.col("declared")), F.array_repeat(F.lit(0.0), size)) if said is not None else F.array_repeat(F.lit(0.0), size)
+    log_said = lambda c, k: float(np.log((codes.get(c, [0.0] * size)[k] + 10.0 * (trust if classes[k] == c else (1 - trust) / max(1, size - 2)) + 0.01) / (seen[k] + 10.0 + 0.01 * size)))
+    said = df.sparkSession.createDataFrame([(c, [log_said(c, k) for k in range(size)]) for c in classes[:-1]], "code string, said array<double>")  # a row a class
+    joined = scored.join(F.broadcast(said), F.col("declared") == F.col("code"), "left").drop("code")
+    by_code = F.coalesce("said", F.array_repeat(F.lit(0.0), size))
 
-    def smoothed(mix: Column, parent: Column, strength: float) -> Column:
+    def smoothed(total: Column, parent: Column, strength: float) -> Column:
+        mix = F.zip_with(total, F.col("belief"), lambda m, own: F.greatest(m - own, F.lit(0.0)))
         whole = F.aggregate(mix, F.lit(0.0), lambda a, b: a + b)
         return F.coalesce(F.zip_with(mix, parent, lambda m, p: (m + strength * p) / (whole + strength)), parent)
 
     suffixes = _sums(scored, "suffix", size).withColumnRenamed("mix", "suffix_mix")
     hosts = _sums(scored, "host", size).withColumnRenamed("mix", "host_mix")
-    joined = scored
     for key, mixes, given in (("suffix", suffixes, suffix), ("host", hosts, host)):
         if given is None:
             joined = joined.withColumn(f"{key}_mix", F.lit(None).cast("array<double>"))
