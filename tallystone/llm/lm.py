@@ -6,10 +6,11 @@ last bytes) are the model's classes. The class after two classes of context is
 predicted by score(w | h) = (R[h1] C1 + R[h2] C2) . Q[w] + b[w]; a word of a tail group
 then takes its smoothed share of the group's count, so that probabilities add up to 1.
 
-Training: every task trains a copy on its own training texts in numpy, a minibatch of
-places at a time against shared noise words (one place in STRIDE of every whole text, the
-ordinary draw of stochastic gradients); the copies' rows are averaged by how often they
-were touched, in a grouped aggregation, for ROUNDS rounds.
+Training: every place of every training text is visited once. Each task trains a copy on
+its own texts in numpy, a minibatch of places at a time against shared noise words; the
+copies' rows are averaged by how often they were touched, in a grouped aggregation. This is
+done in ROUNDS rounds: the first takes every ROUNDS-th place of a text, each of the others
+the next ones, from the averages that the round before has left.
 
 Scoring: for two words of context the normaliser of all pairs of contexts is one matrix
 product, Z = exp(R C1 Q' + b) exp(R C2 Q')', so each token's normalised log-probability
@@ -17,17 +18,20 @@ is a look-up in three matrices.
 
 Defined results: a null text counts as empty and has the end token only; repeated rows are
 scored one by one and count as often in training; without training rows the probabilities
-are those of the smoothing; an empty table gives no rows.
+are those of the smoothing; an empty table gives no rows. Very long texts count whole; other
+columns don't matter. Of words with equal counts the first in byte order is a head word.
+Counts and base scores are exact whatever the layout; the trained score depends on which
+rows share a task, as stochastic gradients do.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import Counter
-from itertools import compress
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,49 +42,55 @@ HEAD = 2047
 TAILS = 512
 TAIL_BYTES = 3
 WIDTH = 32
-STRIDE = 6
-BATCH = 128
+BATCH = 512
 NOISE = 64
+LOCAL = 200_000  # most frequent words, whose counts every task knows; those of the others are joined
+SLICE = 1 << 23  # bytes of text worked on at once, or one text
 ROUNDS = 2
 RATE = 0.08
 ADD = 0.1
 HELD_OUT = 10
-UNTIL = 1 << 20  # words counted before a task hands on what it has
+#: bytes as words have them: A-Z lower-cased, white space as a blank
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
+FOLD[9:14] = 32
 
 
 def held_out(key: int | None) -> bool:
     return zlib.crc32(("" if key is None else str(key)).encode()) % HELD_OUT == 0
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Runs of anything but ASCII white space, A-Z lower-cased, in UTF-8."""
-    return (text or "").encode().lower().split()
+def tokenised(texts: pa.Array) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
+    """Slices of the texts: place of the first, its distinct words, each token's place among them, and how many each text has."""
+    texts = texts.cast(pa.string()).fill_null("")
+    upto = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64) if len(texts) else np.zeros(1, np.int64)
+    raw, first = np.frombuffer(texts.buffers()[2] or b"", np.uint8), 0
+    while first < len(texts):
+        stop = max(first + 1, int(np.searchsorted(upto, upto[first] + SLICE, "right")) - 1)
+        n, own = stop - first, (upto[first : stop + 1] - upto[first]).astype(np.int32)
+        rows = pc.split_pattern(pa.StringArray.from_buffers(n, pa.py_buffer(own), pa.py_buffer(FOLD[raw[upto[first] : upto[stop]]])), " ")
+        coded = rows.flatten().dictionary_encode()
+        words, tokens = coded.dictionary, coded.indices.to_numpy()
+        some = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+        at = np.concatenate([[0], np.cumsum(some[tokens])])[rows.offsets.to_numpy()]
+        yield first, words, tokens[some[tokens]], np.diff(at)
+        first = stop
 
 
 def tail_of(word: bytes) -> int:
     return zlib.crc32(word[-TAIL_BYTES:]) % TAILS
 
 
-def _text_array(words: list[bytes]) -> pa.Array:
-    return pa.array(words, pa.binary()).cast(pa.string())
-
-
 def training_counts(df: DataFrame) -> DataFrame:
     """word, n over the training rows of (doc_id, text); the end token is the empty word."""
 
     def run(batches):
-        count: Counter = Counter()
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if held_out(key):
-                    continue
-                count.update(words_of(text.as_py()))
-                count[END] += 1
-                if len(count) > UNTIL:
-                    yield pa.RecordBatch.from_arrays([_text_array(list(count)), pa.array(list(count.values()), pa.int64())], ["word", "n"])
-                    count.clear()
-        if count:
-            yield pa.RecordBatch.from_arrays([_text_array(list(count)), pa.array(list(count.values()), pa.int64())], ["word", "n"])
+            own = pa.array([not held_out(k) for k in batch.column(0).to_pylist()], pa.bool_())
+            for _, words, tokens, sizes in tokenised(batch.column(1).filter(own)):
+                n = np.bincount(tokens, minlength=len(words))
+                seen = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array([""]), words.take(pa.array(seen))]), pa.array(np.concatenate([[len(sizes)], n[seen]]))], ["word", "n"])
 
     return df.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
 
@@ -132,6 +142,21 @@ class Classes:
     def classify(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
 
+    def sequence(self, words: pa.Array, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of texts laid end to end, each with its end: class, the one before, the one before that, each token's word (-1 the end), and where texts start."""
+        ends = np.cumsum(sizes + 1) - 1
+        starts = ends - sizes
+        word = np.full(len(tokens) + len(sizes), -1)
+        inner = np.ones(len(word), bool)
+        inner[ends] = False
+        word[inner] = tokens
+        w = np.append(self.classify(words.cast(pa.binary()).to_pylist()), self.end)[word]
+        h1 = np.concatenate([[self.start], w[:-1]])
+        h1[starts] = self.start
+        h2 = np.concatenate([[self.start], h1[:-1]])
+        h2[starts] = self.start
+        return w, h1, h2, word, starts
+
 
 class Parameters:
     """R (contexts), Q (predicted classes), C1, C2 and b, as one matrix of rows."""
@@ -170,23 +195,10 @@ class Trainer:
         self.n, self.held = classes.size, []
         self.waiting = 0
 
-    def add(self, words: list[bytes]) -> None:
-        """Places of one text, one in STRIDE from a random one on; only the words that they need are looked up."""
-        first = int(self.rng.integers(STRIDE))
-        c, n = self.classes, len(words) + 1
-        if first >= n:
-            return
-        w = c.classify(words[first::STRIDE])
-        if (n - 1 - first) % STRIDE == 0:
-            w = np.append(w, c.end)
-        context = []
-        for back in (1, 2):
-            at = first - back
-            own = c.classify(words[at % STRIDE :: STRIDE] if at < 0 else words[at::STRIDE])
-            context.append((np.concatenate([[c.start], own]) if at < 0 else own)[: len(w)])
-        self.held.append(np.stack([*context, w]))
+    def add(self, h1: np.ndarray, h2: np.ndarray, w: np.ndarray) -> None:
+        self.held.append(np.stack([h1, h2, w]))
         self.waiting += len(w)
-        if self.waiting >= 32_768:
+        if self.waiting >= 1 << 16:
             self.flush()
 
     def flush(self) -> None:
@@ -221,20 +233,21 @@ class Trainer:
             self.touched[rows] += 1
 
 
-def _trained(df: DataFrame, classes: Classes, rows: dict[int, list[float]] | None) -> dict[int, list[float]]:
-    """Averaged rows after a pass of every task over its training rows of (doc_id, text)."""
+def _trained(df: DataFrame, classes: Classes, rows: dict[int, list[float]] | None, turn: int) -> dict[int, list[float]]:
+    """Averaged rows after a round of every task over its training rows of (doc_id, text): places turn, turn + ROUNDS, ... of each."""
 
     def run(batches):
         trainer = None
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if held_out(key):
-                    continue
+            own = pa.array([not held_out(k) for k in batch.column(0).to_pylist()], pa.bool_())
+            for _, words, tokens, sizes in tokenised(batch.column(1).filter(own)):
                 if trainer is None:
                     from pyspark import TaskContext
 
-                    trainer = Trainer(classes, Parameters(classes, rows), TaskContext.get().partitionId())
-                trainer.add(words_of(text.as_py()))
+                    trainer = Trainer(classes, Parameters(classes, rows), TaskContext.get().partitionId() * ROUNDS + turn)
+                w, h1, h2, _, starts = classes.sequence(words, tokens, sizes)
+                mine = (np.arange(len(w)) - np.repeat(starts, sizes + 1)) % ROUNDS == turn
+                trainer.add(h1[mine], h2[mine], w[mine])
         if trainer is not None:
             trainer.flush()
             at = np.flatnonzero(trainer.touched)
@@ -259,21 +272,16 @@ class Scorer:
         self.log_z = (np.log(np.maximum(z, 1e-37)) + top1 + top2.T).astype(np.float32)
         self.start, self.end = classes.start, classes.end
 
-    def score(self, ids: np.ndarray) -> float:
-        """Of a text's classes and the end."""
-        w = np.concatenate([ids, [self.end]])
-        h1 = np.concatenate([[self.start], w[:-1]])
-        h2 = np.concatenate([[self.start], h1[:-1]])
-        return float((self.one[h1, w].astype(np.float64) + self.two[h2, w] - self.log_z[h1, h2]).sum())
+    def score(self, w: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Of each class after the two."""
+        return self.one[h1, w].astype(np.float64) + self.two[h2, w] - self.log_z[h1, h2]
 
 
 _READY: dict[str, Scorer] = {}
 
 
-def scored_words(df: DataFrame, classes: Classes, rows: dict[int, list[float]], tag: str) -> DataFrame:
-    """A row per text with what head words and classes give, and one per tail word of it with its count."""
-    log_mass = np.log(classes.mass)
-    head_log = np.log10(classes.counts + ADD)
+def scored_words(df: DataFrame, classes: Classes, rows: dict[int, list[float]], local: dict[bytes, int], tag: str) -> DataFrame:
+    """A row per text with what classes and local words give, and one per other word of it with its count."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -281,29 +289,30 @@ def scored_words(df: DataFrame, classes: Classes, rows: dict[int, list[float]],
         if tag not in _READY:
             _READY.clear()
             _READY[tag] = Scorer(classes, rows)
-        scorer, part, made = _READY[tag], TaskContext.get().partitionId(), 0
-        first, end = classes.first_tail, classes.end
-        known = classes.counts[:first] > 0
+        scorer, made = _READY[tag], TaskContext.get().partitionId() << 40
+        log_mass = np.log(classes.mass)
+        end_log, end_known = np.log10(classes.counts[classes.end] + ADD), int(classes.counts[classes.end] > 0)
         for batch in batches:
-            # the texts' own rows, then those of their tail words
-            texts, rids, words, times = [], [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own_words = words_of(text.as_py())
-                made += 1
-                rid = (part << 40) + made
-                own = classes.classify(own_words)
-                tail = Counter(compress(own_words, (own >= first).tolist()))
-                bins = np.bincount(own, minlength=classes.size)
-                bins[end] += 1
-                score = (scorer.score(own) - float((bins[first:] * log_mass[first:]).sum())) / np.log(10)
-                texts.append((rid, key, len(own_words) + 1, int(bins[:first][known].sum()), float((bins[:first] * head_log[:first]).sum()), score))
-                rids.append(np.full(len(tail), rid))
-                words += tail
-                times += tail.values()
-                if len(words) > 200_000:
-                    yield _batch(texts, rids, words, times)
-                    texts, rids, words, times = [], [], [], []
-            yield _batch(texts, rids, words, times)
+            keys = batch.column(0)
+            for first, words, tokens, sizes in tokenised(batch.column(1)):
+                w, h1, h2, word, starts = classes.sequence(words, tokens, sizes)
+                n = np.append(np.fromiter((local.get(x, -1) for x in words.cast(pa.binary()).to_pylist()), np.float64, len(words)), 0.0)
+                here = n[word] >= 0  # of the end, too
+                gain = np.append(np.where(n[:-1] >= 0, np.log10(np.maximum(n[:-1], 0) + ADD), 0.0), end_log)[word]
+                tail = w >= classes.first_tail
+                score = scorer.score(w, h1, h2) - np.where(tail, log_mass[w], 0.0)
+                score = score / np.log(10) + np.where(tail, gain, 0.0)
+                known = np.add.reduceat((here & (word >= 0)).astype(np.int64), starts) + end_known
+                rid = made + np.arange(1, len(sizes) + 1)
+                made += len(sizes)
+                doc = pa.StructArray.from_arrays([keys.slice(first, len(sizes)).cast(pa.int64()), pa.array(sizes + 1), pa.array(known), pa.array(np.add.reduceat(gain, starts)), pa.array(np.add.reduceat(score, starts))], fields=list(DOC))
+                # words that aren't known here, each once a text
+                far = np.flatnonzero(~here)
+                pairs, times = np.unique(np.repeat(np.arange(len(sizes)), sizes + 1)[far] * len(words) + word[far], return_counts=True)
+                # a text's own row has a word that no text has, so that such rows are spread
+                own = pa.array([f" {r}" for r in rid.tolist()], pa.string())
+                other = words.take(pa.array(pairs % max(1, len(words))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([rid, rid[pairs // max(1, len(words))]])), pa.concat_arrays([own, other]), pa.array(np.concatenate([np.zeros(len(sizes), np.int64), times])), pa.concat_arrays([doc, pa.nulls(len(pairs), DOC)])], ["rid", "word", "times", "doc"])
 
     return df.mapInArrow(run, SCORED)
 
@@ -312,17 +321,10 @@ SCORED = "rid long, word string, times long, doc struct<doc_id:long,n_tokens:lon
 DOC = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
 
 
-def _batch(texts: list[tuple], rids: list[np.ndarray], words: list[bytes], times: list[int]) -> pa.RecordBatch:
-    doc = pa.StructArray.from_arrays([pa.array([t[i + 1] for t in texts], f.type) for i, f in enumerate(DOC)], fields=list(DOC))
-    # a text's own row has a word that no text has, so that such rows are spread
-    rid = np.concatenate([np.array([t[0] for t in texts], np.int64), *rids])
-    own = pa.array([f" {t[0]}" for t in texts], pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(rid.astype(np.int64)), pa.concat_arrays([own, _text_array(words)]), pa.array(np.array([0] * len(texts) + times, np.int64)), pa.concat_arrays([doc, pa.nulls(len(words), DOC)])], ["rid", "word", "times", "doc"])
-
-
-def model_of(texts: DataFrame, counts: DataFrame) -> tuple[Classes, dict[int, list[float]], int, int]:
-    """Classes, trained rows, training tokens and distinct tokens."""
-    head = [tuple(r) for r in counts.where(F.col("word") != "").orderBy(F.desc("n"), "word").limit(HEAD).collect()]
+def model_of(texts: DataFrame, counts: DataFrame) -> tuple[Classes, dict[int, list[float]], dict[bytes, int], int, int]:
+    """Classes, trained rows, counts of local words, training tokens and distinct tokens."""
+    most = [tuple(r) for r in counts.where(F.col("word") != "").orderBy(F.desc("n"), "word").limit(LOCAL).collect()]
+    head = most[:HEAD]
     group = F.pmod(F.crc32(F.substring(F.col("word").cast("binary"), -TAIL_BYTES, TAIL_BYTES)), F.lit(TAILS))
     sums = counts.where(F.col("word") != "").groupBy(group.cast("int").alias("k")).agg(F.sum("n"), F.count("*"))
     tails = {r[0]: [r[1], r[2]] for r in sums.collect()}
@@ -333,9 +335,9 @@ def model_of(texts: DataFrame, counts: DataFrame) -> tuple[Classes, dict[int, li
     ends = counts.where(F.col("word") == "").agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
     classes = Classes(head, {k: tuple(v) for k, v in tails.items()}, ends)
     rows: dict[int, list[float]] = {}
-    for _ in range(ROUNDS if tokens else 0):
-        rows = {**rows, **_trained(texts, classes, rows)}
-    return classes, rows, tokens, kinds
+    for turn in range(ROUNDS if tokens else 0):
+        rows = {**rows, **_trained(texts, classes, rows, turn)}
+    return classes, rows, {w.encode(): n for w, n in most}, tokens, kinds
 
 
 def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -344,9 +346,9 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counts = written(training_counts(texts), "word-counts")
-    classes, rows, tokens, kinds = model_of(texts, counts)
-    parts = scored_words(texts, classes, rows, uuid.uuid4().hex)
-    found = parts.join(counts.where(F.col("word") != "").hint("shuffle_hash"), "word", "left")
+    classes, rows, local, tokens, kinds = model_of(texts, counts)
+    parts = scored_words(texts, classes, rows, local, uuid.uuid4().hex)
+    found = parts.join(counts.where(F.col("word") != "").hint("merge"), "word", "left")
     gain = F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + ADD)
     summed = found.groupBy("rid").agg(F.max("doc.doc_id").alias("doc_id"), F.max("doc.n_tokens").alias("n_tokens"), (F.max("doc.n_known") + F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0))).alias("n_known"), F.sum(gain).alias("gain"), F.max("doc.base").alias("base"), F.max("doc.score").alias("score"))
     floor = float(np.log10(tokens + ADD * (kinds + 1)))
