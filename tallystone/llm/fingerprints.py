@@ -15,7 +15,8 @@ that has it; the exact distance is part of the join.
 
 Defined results: null and empty texts have fingerprint zero, and so equal ones; equal texts
 have equal fingerprints; rows without an id come last in the order; rows of equal id are
-ordered by their texts; the only row is its own next; an empty table gives no rows.
+ordered by their texts' hash, then their texts; the only row is its own next; an empty
+table gives no rows. Very long texts count whole, and other columns don't matter.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallystone.llm.common import partitions, range_of, split_points, written
+from tallystone.llm.common import partitions, range_of, split_points, stated_bytes, written
 
 RADIUS = 3
 BLOCKS = 6
+RANGE = 1 << 24  # bytes of a range of ids, as the plan states them
 LANES = 0x0000000100000001
 
 
@@ -61,26 +63,29 @@ def prints_of(texts: DataFrame) -> DataFrame:
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, next_text: the text of the next row by descending id, after the last that of the first.
 
-    Ids are cut into even ranges; the first row of each range is dealt to the range before
-    it as well, behind all its own rows, so that no range is ordered with another.
+    Ids are cut into even ranges, rows without an id by ranges of their texts' hash, by
+    which they are ordered; the first row of each range is dealt to the range before it as
+    well, behind all its own rows, so that no range is ordered with another.
     """
-    spark = df.sparkSession
-    points = split_points(df, id_col, 2 * partitions(spark))
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(range_of("doc_id", points)))
-    tops = {r[0]: r[1] for r in rows.groupBy("bucket").agg(F.max("doc_id")).collect()}  # one number a range
+    parts = max(2 * partitions(df.sparkSession), -(-stated_bytes(df) // RANGE))
+    points = split_points(df, id_col, parts)
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    of_hash = F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * parts)
+    bucket = F.when(F.col("doc_id").isNull(), len(points) + 1 + F.least(of_hash, F.lit(parts - 1))).otherwise(F.lit(len(points)) - range_of("doc_id", points))
+    rows = rows.withColumn("bucket", bucket.cast("int"))
+    least = F.min(F.struct(F.bitwise_not("doc_id").alias("back"), "h"))
+    tops = {r[0]: (None if r[1]["back"] is None else ~r[1]["back"], r[1]["h"]) for r in rows.groupBy("bucket").agg(least).collect()}  # a row for each range
     order = sorted(tops)
-    # by bucket, from -1 on: its first id, and the bucket before it in the order of ids
+    # by bucket: its first row's id and hash, and the bucket before it
     first, to = {}, {}
     for k, b in enumerate(order):
-        first[b], to[b] = tops[b], order[(k + 1) % len(order)]
-    listed = lambda values: F.expr(f"cast(array({','.join('null' if values.get(b) is None else str(values[b]) for b in range(-1, len(points) + 1))}) as array<bigint>)")
-    at = F.col("bucket") + 1
-    home = F.struct(F.col("bucket").cast("long").alias("bucket"), F.lit(False).alias("ghost"))
-    to = F.when(F.col("doc_id").eqNullSafe(F.get(listed(first), at)), F.get(listed(to), at))
-    away = F.struct(to.alias("bucket"), F.lit(True).alias("ghost"))
-    dealt = rows.withColumn("to", F.explode(F.filter(F.array(home, away), lambda x: x["bucket"].isNotNull()))).select("doc_id", "text", "to.bucket", "to.ghost")
-    by = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"), "text")
+        first[b], to[b] = tops[b], order[k - 1]
+    listed = lambda values: F.get(F.expr(f"cast(array({','.join('null' if values.get(b) is None else str(values[b]) for b in range(len(points) + 1 + parts))}) as array<bigint>)"), F.col("bucket"))
+    home = F.struct("bucket", F.lit(False).alias("ghost"))
+    leads = F.col("doc_id").eqNullSafe(listed({b: f[0] for b, f in first.items()})) & (F.col("h") == listed({b: f[1] for b, f in first.items()}))
+    away = F.struct(F.when(leads, listed(to)).cast("int").alias("bucket"), F.lit(True).alias("ghost"))
+    dealt = rows.withColumn("at", F.explode(F.filter(F.array(home, away), lambda x: x["bucket"].isNotNull()))).select("doc_id", "text", "h", "at.bucket", "at.ghost")
+    by = Window.partitionBy("bucket").orderBy("ghost", F.col("doc_id").desc_nulls_last(), "h", "text")
     return dealt.withColumn("next_text", F.lead("text").over(by)).where("not ghost").select("doc_id", "text", "next_text")
 
 
@@ -151,7 +156,8 @@ def compared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ever
     facts = written(facts, "facts")
     asked = facts.where(F.col("doc_id") % every == 0).select("fp")
     rows_of = facts.groupBy("fp").agg(F.count("*").alias("rows"))
-    near = within(asked, facts.select("fp")).join(rows_of, "fp").groupBy("q").agg(F.sum("rows").alias("n_within"))
+    # written, so that the join below can split the rows of a fingerprint that many texts have
+    near = written(within(asked, facts.select("fp")).join(rows_of, "fp").groupBy("q").agg(F.sum("rows").alias("n_within")), "near")
     out = facts.join(near, facts.fp == near.q, "left")
     name = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
     return out.select("doc_id", "n_chars", "edited_sha256", name("fp").alias("fingerprint"), name("edited_fp").alias("edited_fingerprint"), likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"), F.when(F.col("doc_id") % every == 0, F.col("n_within")).alias("n_within"))
