@@ -35,8 +35,6 @@ CROWD = 48
 RADIUS = 2
 TABLES = 32
 ROWS = 6  # least hashes of a table's slot: texts of similarity j share one of the slots with chance 1 - (1 - j^ROWS)^TABLES, 0.9999 at 0.8, whatever else the table holds
-FINE_TABLES = 128  # of slots with over CROWD nodes: 1 - (1 - 0.8^12)^128 is 0.9999 as well
-FINE_ROWS = 12
 #: bits of a byte, each in a byte of its own
 SPREAD = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.uint64) << (8 * np.arange(8, dtype=np.uint64))).sum(1).astype(np.uint64)
 
@@ -145,7 +143,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # large star: neighbours above a node are linked to the least of its neighbours and itself
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        # written, so that the join can split the links of a node that has most of them
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
         large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("m").alias("a"), "b").distinct()
         # small star: neighbours below a node, and the node, are linked to the least of those
         under = large.groupBy("b").agg(F.min("a").alias("m"))
@@ -165,7 +164,8 @@ def classed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     roots = components(links(distinct.select("fp")))
     # a fingerprint without a link is its own component
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    best = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = written(named, "named")
+    best = written(named.groupBy("root").agg(F.min("least_id").alias("component_id")), "best")
     known = named.join(best, "root").select("fp", "root", "component_id")
     return prints.join(known, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
@@ -206,17 +206,6 @@ def sets_of(df: DataFrame, words: int) -> DataFrame:
     return df.selectExpr("cast(doc_id as long) doc_id", "xxhash64(coalesce(text, '')) text_key", "text").mapInArrow(run, "doc_id long, text_key long, shingles array<long>, slots array<long>")
 
 
-def fine_slots(sets: DataFrame) -> DataFrame:
-    """node and slots (of FINE_TABLES tables) of every set."""
-
-    def run(batches):
-        for batch in batches:
-            slots = [slots_of(x.values.to_numpy().view(np.uint64), FINE_TABLES, FINE_ROWS) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots, pa.list_(pa.int64()))], ["node", "slots"])
-
-    return sets.select("node", "shingles").mapInArrow(run, "node long, slots array<long>")
-
-
 def shared_slots(nodes: DataFrame, name: str) -> DataFrame:
     """slot and all (its nodes) of every slot that two nodes share."""
     filed = nodes.select("node", F.explode("slots").alias("slot"))
@@ -242,9 +231,21 @@ def alike(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     return written(pairs.join(one, "a").join(two, "b").where(bound & (9 * F.size(F.array_intersect("sa", "sb")) >= 4 * n)).select("a", "b"), name)
 
 
-def starred(shared: DataFrame) -> DataFrame:
-    """a < b: every node of a slot with the least of it."""
-    return shared.select(F.array_min("all").alias("a"), F.explode("all").alias("b")).where("a < b").distinct()
+def centred(shared: DataFrame) -> DataFrame:
+    """slot and centre: the node of the slot that meets most others over all slots, by number if several do.
+
+    Copies of one text that differ from each other more than from it meet it most often.
+    """
+    filed = shared.select("slot", F.size("all").alias("n"), F.explode("all").alias("node"))
+    meets = written(filed.groupBy("node").agg(F.sum("n").alias("meets")), "meets")
+    best = F.min_by("node", F.struct(-F.col("meets"), F.col("node")))
+    return written(filed.join(meets.hint("merge"), "node").groupBy("slot").agg(best.alias("centre")), "centres")
+
+
+def starred(shared: DataFrame, centres: DataFrame) -> DataFrame:
+    """a < b: every node of a slot with its centre."""
+    both = shared.join(centres.hint("merge"), "slot").select("centre", F.explode("all").alias("node")).where("centre <> node")
+    return both.select(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).distinct()
 
 
 def crossing(shared: DataFrame, roots: DataFrame) -> DataFrame:
@@ -259,37 +260,71 @@ def crossing(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
 
+def differing(shared: DataFrame, centres: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """a < b: all pairs of nodes that share a slot, aren't in one component yet and may be similar.
+
+    Every node x of a slot has been compared with its centre c. D(x), what x and c don't
+    share, settles the rest: sets x and y are similar if |x ^ y| <= (|x| + |y|) / 9, and
+    x ^ y = D(x) ^ D(y), so D(x) and D(y) share A = (|D(x)| + |D(y)| - (|x| + |y|) / 9) / 2
+    shingles or more. One of a pair that is of two components isn't similar to c, so its D
+    is larger than (|x| + |c|) / 9, and A is above 0: the pair shares a shingle among the
+    first |D| - A + 1 of either D, ordered alike (what c lacks first), and so many are left
+    after it on both sides as A needs. Nothing is missed, and groups of copies that are
+    unlike each other make no pairs but those that share their changes.
+    """
+    own = roots.select(F.col("node").alias("n"), "root")
+    root_of = lambda df, node, out: df.join(own.withColumnRenamed("root", out).hint("merge"), F.col(node) == F.col("n"), "left").withColumn(out, F.coalesce(out, node)).drop("n")
+    filed = shared.join(centres.hint("merge"), "slot").select("slot", "centre", F.explode("all").alias("node"))
+    filed = written(root_of(filed, "node", "root"), "filed")
+    split = filed.groupBy("slot").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("slot")
+    groups = filed.join(split, "slot", "left_semi").select("centre", "node", "root").distinct()
+    groups = root_of(groups, "centre", "centre_root").withColumn("lone", F.col("root") != F.col("centre_root"))
+    # sets are many times what their statistics say: never broadcast them
+    of = lambda node, out: sets.select(F.col("node").alias(node), F.col("shingles").alias(out)).hint("merge")
+    both = groups.join(of("node", "s"), "node").join(of("centre", "c"), "centre")
+    apart = both.select("centre", "node", "root", "lone", F.size("s").alias("size"), F.size("c").alias("c_size"), F.concat(F.array_sort(F.array_except("s", "c")), F.array_sort(F.array_except("c", "s"))).alias("d"))
+    n = F.size("d")
+    # twice 18 A at least, of any partner, and of a partner that isn't similar to the centre
+    least = F.when(F.col("lone"), (9 * n - F.col("size") - F.col("c_size")) * 9 / 5).otherwise(9 * n + F.col("c_size") - F.col("size"))
+    first = n - F.greatest(F.ceil(least / 18), F.lit(1)).cast("int") + 1
+    listed = apart.withColumn("n", n).select("centre", "node", "root", "lone", "size", "n", F.posexplode(F.slice("d", F.lit(1), F.greatest(first, F.lit(0)))).alias("at", "token"))
+    listed = written(listed, "changes")
+    x = listed.where("lone").select("centre", "token", F.col("node").alias("p"), F.col("root").alias("p_root"), F.col("size").alias("p_size"), (F.col("n") - F.col("at")).alias("p_left"), F.col("n").alias("p_n"))
+    y = listed.select("centre", "token", F.col("node").alias("q"), F.col("root").alias("q_root"), F.col("size").alias("q_size"), (F.col("n") - F.col("at")).alias("q_left"), F.col("n").alias("q_n"))
+    enough = 18 * F.least("p_left", "q_left") >= 9 * (F.col("p_n") + F.col("q_n")) - F.col("p_size") - F.col("q_size")
+    met = x.withColumnsRenamed({"centre": "c", "token": "t"}).join(y.hint("merge"), (F.col("c") == F.col("centre")) & (F.col("t") == F.col("token")) & (F.col("p_root") != F.col("q_root")) & enough)
+    return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+
 def similar_classes(df: DataFrame, words: int = 5) -> DataFrame:
     """doc_id, text_key and root of every row: components of texts whose shingle sets have a similarity of 0.8 or more.
 
     Candidates share a slot of TABLES tables of least hashes. First the nodes of each slot
-    are compared with its least, which joins groups of near-copies by as many pairs as they
+    are compared with its centre, which joins groups of near-copies by as many pairs as they
     have nodes. What shares a slot and isn't in one component after that is compared pair
-    by pair, in slots of up to CROWD nodes. Nodes of fuller slots that are still of more
-    than one component go by FINE_TABLES tables of FINE_ROWS least hashes in the same two
-    steps, without a bound on the slot. Every candidate is decided by its exact similarity.
+    by pair in slots of up to CROWD nodes, and in fuller ones where what the two don't share
+    with the centre leaves a chance. Every candidate is decided by its exact similarity.
     """
     prints = sets_of(df, words).withColumn("node", F.xxhash64("shingles"))
     prints = written(prints.drop("shingles"), "prints")
     nodes = prints.groupBy("node").agg(F.first("slots").alias("slots"))
     shared = shared_slots(nodes, "shared")
     sets = sets_by_node(df, prints, shared.select(F.explode("all").alias("node")).distinct(), words)
-    links_found = tried = None
-    for fine in (False, True):
-        if fine:
-            full = shared.where(F.size("all") > CROWD).select("slot", F.explode("all").alias("node")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))  # noqa: F821
-            split = full.groupBy("slot").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("slot")
-            wanted = written(full.join(split, "slot", "left_semi").select("node").distinct(), "crowded")
-            if wanted.isEmpty():
-                break
-            shared = shared_slots(fine_slots(sets.join(wanted, "node", "left_semi")), "shared")
-        for pick in (starred, lambda at: crossing(at if fine else at.where(F.size("all") <= CROWD), roots)):  # noqa: B023, F821
-            pairs = pick(shared)
-            pairs = written(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-            tried = pairs if tried is None else tried.union(pairs)
-            found = alike(pairs, sets, "alike")
-            links_found = found if links_found is None else links_found.union(found)
-            roots = written(components(links_found), "roots")
+    centres = centred(shared)
+    tried = links_found = roots = None
+    steps = (
+        lambda: starred(shared, centres),
+        lambda: crossing(shared.where(F.size("all") <= CROWD), roots),
+        lambda: differing(shared.where(F.size("all") > CROWD), centres, roots, sets),
+    )
+    for step in steps:
+        pairs = written(step() if tried is None else step().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if tried is not None and pairs.isEmpty():
+            continue
+        tried = pairs if tried is None else tried.union(pairs)
+        found = alike(pairs, sets, "alike")
+        links_found = found if links_found is None else links_found.union(found)
+        roots = written(components(links_found), "roots")
     last = roots.withColumnRenamed("node", "_tally_node")
     return prints.select("doc_id", "text_key", "node").join(last, F.col("node") == F.col("_tally_node"), "left").select("doc_id", "text_key", F.coalesce("root", "node").alias("root"))
 
@@ -298,6 +333,7 @@ def kept_documents(df: DataFrame, words: int = 5) -> DataFrame:
     """The rows of df that stay: one of each component, that of the least id (null is the greatest), then the least text key."""
     found = written(similar_classes(df, words), "classes")
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "text_key")).alias("w")).select("root", "w.doc_id", "w.text_key")
+    best = written(best, "best")
     stay = written(found.join(best.select("root", F.col("doc_id").alias("_tally_id"), F.col("text_key").alias("_tally_key")), "root").where("doc_id <=> _tally_id and text_key = _tally_key").groupBy("_tally_id", "_tally_key").agg(F.count("*").alias("_tally_n")), "stay")
     own = F.col("doc_id").cast("long").eqNullSafe(F.col("_tally_id")) & (F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_tally_key"))
     kept = df.join(stay.where("_tally_n = 1"), own).select(*df.columns)

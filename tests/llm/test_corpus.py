@@ -8,6 +8,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 from tallystone.llm import fingerprints, langid, lm, mixing, neardup, pii
@@ -229,6 +230,101 @@ def test_contexts_discover_identifiers(spark):
     assert masked[3] == "some words then mobile number: <phone> and more"
 
 
+def extraction_by_hand(rows):
+    """rows: (id, text); id -> all spans, as text, by plain loops over the graph of patterns and instances."""
+    base, loose, times = {}, {}, Counter()
+    context = lambda gap: (m[1].lower(), m[2].lower()) if (m := regex.search(r"(\p{L}+)[^\p{L}]+(\p{L}+)[^\p{L}\p{N}]*$", gap)) else None
+    touches = lambda a, others: any(a[0] < b[1] and a[1] > b[0] for b in others)
+
+    def matches(pattern, text):
+        at = 0
+        for m in regex.finditer(pattern, text):
+            yield m.start(), m.end(), context(text[at : m.start()]), m[0]
+            at = m.end()
+
+    for i, text in rows:
+        words = regex.findall(r"\p{L}+", text.lower())
+        times.update(zip(words, words[1:]))
+        base[i] = [(a, b, c, m.lower(), k) for k, kind in enumerate(pii.KINDS) for a, b, c, m in matches(pii.PATTERNS[kind], text) if passes(kind, m)]
+        masked = [(a, b, c, m.lower(), 0) for a, b, c, m in matches(pii.MASKED, text) if not touches((a, b), base[i])]
+        chunks = []
+        for a, _, c, m in matches(pii.CHUNKS, text):
+            own = regex.sub(pii.TRAIL, "", m)
+            if own and not touches((a, a + len(own)), [*base[i], *masked]):
+                chunks.append((a, a + len(own), c, own.lower() if regex.search(r"\p{L}", own) else re.sub("[^0-9@]", "", own), -1))
+        loose[i] = masked + chunks
+    seeds = Counter((c, inst, k) for v in base.values() for _, _, c, inst, k in v if c)
+    edges = Counter((c, inst) for v in loose.values() for _, _, c, inst, _ in v if c)
+    held = {}
+    for _ in range(pii.ROUNDS):
+        score, support = Counter(), {}
+        for (c, inst, k), n in seeds.items():
+            score[c, k] += n
+            support.setdefault((c, k), set()).add(inst)
+        for (c, inst), n in edges.items():
+            if inst in held:
+                k, b = held[inst]
+                score[c, k] += n * b
+                if b >= pii.BELIEF:
+                    support.setdefault((c, k), set()).add(inst)
+        known = {ck: min(0.99, s / times[ck[0]]) for ck, s in score.items() if len(support.get(ck, ())) >= pii.SUPPORT and any(c == ck[0] for c, _ in edges)}
+        doubt = {}
+        for c, inst in edges:
+            for k in range(4):
+                if known.get((c, k), 0) >= pii.FAINT:
+                    doubt[inst, k] = doubt.get((inst, k), 1) * (1 - known[c, k])
+        held = {}
+        for (inst, k), d in sorted(doubt.items(), key=lambda x: x[0][1]):
+            if inst not in held or 1 - d > held[inst][1] + 1e-12:
+                held[inst] = (k, 1 - d)
+    sure = {}
+    for (c, k), x in sorted(known.items(), key=lambda y: y[0][1]):
+        if x >= pii.SURE and (c not in sure or x > sure[c][1]):
+            sure[c] = (k, x)
+    out = {}
+    for i, _ in rows:
+        spans = [(a, k, b) for a, b, _, _, k in base[i]]
+        for a, b, c, inst, hint in loose[i]:
+            kind = sure[c][0] if c in sure else held[inst][0] if inst in held and held[inst][1] >= pii.BELIEF else None
+            if kind is not None and hint in (-1, kind):
+                spans.append((a, kind, b))
+        out[i] = ",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
+    return out
+
+
+def test_graph_scores_against_brute_force(spark):
+    rng = random.Random(13)
+    two = [f"{a} {b}" for a in ("call", "mail", "ring", "host", "dial", "Pay") for b in ("me", "now", "at", "Über")]
+    hard = [lambda: f"+1 212 555 {rng.randrange(1000, 1030)}", lambda: f"u{rng.randrange(20)}@ex{rng.randrange(3)}.org", lambda: f"10.0.{rng.randrange(9)}.{rng.randrange(300)}"]
+    soft = [lambda: f"0212 555 {rng.randrange(20)}", lambda: f"AB-{rng.randrange(30)}.", lambda: f"user{rng.randrange(9)}@host", lambda: f"bob{rng.randrange(9)} (at) ex (dot) org", lambda: f"({rng.randrange(100, 120)}) 77;", lambda: "4111 1111 1111 1112"]
+    rows = []
+    for i in range(400):
+        parts = []
+        for _ in range(rng.randint(0, 6)):
+            c = rng.choice(two)
+            kind = hard[two.index(c) % 3] if rng.random() < 0.5 else rng.choice(soft)
+            parts.append(f"{rng.choice(['so', 'then', 'x1 we', ''])} {c}{rng.choice([': ', ' ', ', '])}{kind() if rng.random() < 0.8 else 'plain word'}")
+        rows.append((i, " and ".join(parts)))
+    want = extraction_by_hand(rows)
+    got = {r.doc_id: (r.spans, r.n_found) for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert {i: g[0] for i, g in got.items()} == want
+    assert sum(g[1] for g in got.values()) > 50
+
+
+def test_a_second_round_finds_what_no_seed_leads_to(spark):
+    """Seeds lead to "mobile number"; what it finds leads to "ring office", and that to a number which stands nowhere else."""
+    rows = [(i, f"his mobile number: +1 (212) 555-{1000 + i} today") for i in range(20)]
+    rows += [(100 + i, f"her mobile number: 0212 555 77{i}0 today") for i in range(4)]
+    rows += [(200 + i, f"please ring office: 0212 555 77{i}0 now") for i in range(4)]
+    rows += [(300, "please ring office: 0999 11 22 now"), (301, "please write letters: 0999 11 33 now")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.personal_data(df).collect()}
+    assert got[300] == "phone:20:30" and got[301] == ""
+    assert got == extraction_by_hand(rows)
+    far = [(400, "x" * 200 + "-" + "y" * 200 + " " * 300 + "ring" + " " * 300 + "office" + "." * 300 + " 0999 44 55")]
+    assert {r.doc_id: r.n_found for r in pii.personal_data(spark.createDataFrame(rows + far, "doc_id long, text string")).collect()}[400] == 1
+
+
 # fingerprints
 
 
@@ -302,6 +398,84 @@ def test_declared_and_host_decide_without_text(spark):
     assert (got[200], got[201], got[202]) == ("zz", "aa", "zz")
 
 
+def fused_by_hand(model, rows, trust=0.8, host_strength=5.0, suffix_strength=20.0):
+    """rows: (id, text, declared, host, suffix); id -> (lang, probability)."""
+    classes = [*model.languages, "und"]
+    size = len(classes)
+
+    def normal(logs):
+        raised = np.exp(np.array(logs) - max(logs))
+        return raised / raised.sum()
+
+    beliefs = []
+    for _, text, *_ in rows:
+        means, n = model.score(text)
+        beliefs.append(normal(np.array(means) * min(n, langid.WEIGHT)))
+    codes = [None if d is None else d.split("-")[0].lower() for _, _, d, _, _ in rows]
+    overall = (np.sum(beliefs, axis=0) + 1) / (len(rows) + size)
+    overall[-1] = langid.EVEN
+    overall /= overall.sum()
+    by_code = {c: sum((b for b, d in zip(beliefs, codes) if d == c), np.zeros(size)) for c in classes[:-1]}
+    seen = sum(by_code.values())
+    out = {}
+    for k, (i, _, _, host, suffix) in enumerate(rows):
+        other = lambda at, value: sum((b for j, b in enumerate(beliefs) if j != k and rows[j][at] == value), np.zeros(size))  # noqa: B023, E731
+        parent = overall
+        if suffix is not None:
+            mix = other(4, suffix)
+            parent = (mix + suffix_strength * overall) / (mix.sum() + suffix_strength)
+        prior = parent
+        if host is not None:
+            mix = other(3, host)
+            prior = (mix + host_strength * parent) / (mix.sum() + host_strength)
+        said = np.zeros(size)
+        if codes[k] in by_code:
+            said = np.array([np.log((by_code[codes[k]][c] + 10 * (trust if classes[c] == codes[k] else (1 - trust) / max(1, size - 2)) + 0.01) / (seen[c] + 10 + 0.01 * size)) for c in range(size)])
+        p = normal(np.log(beliefs[k] + 1e-12) + said + np.log(prior + 1e-9))
+        out[i] = (classes[int(np.argmax(p))], float(p.max()))
+    return out
+
+
+def test_fusion_against_brute_force(spark):
+    rng = random.Random(5)
+    words = {"aa": "alpha beta gamma delta", "bb": "kilo lima mike november", "cc": "papa quebec romeo sierra"}
+    model = langid.TextModel.fit([(c, w * 40) for c, w in words.items()])
+    rows = []
+    for i in range(300):
+        lang = rng.choice("aabb aabb cc".split()) if i % 2 else "aa"
+        lang = lang[:2]
+        text = rng.choice([None, "", " ".join(rng.choice(words[lang].split()) for _ in range(rng.randint(1, 9))), "0x9f 12", " ".join(rng.choice(words[x].split()) for x in words)])
+        rows.append((i, text, rng.choice([None, lang, lang + "-XX", "zz", "AA"]), rng.choice([None, "h" + lang, "shared"]), rng.choice([None, lang, "com"])))
+    want = fused_by_hand(model, rows)
+    df = spark.createDataFrame(rows, "id long, text string, d string, h string, s string").repartition(4)
+    got = langid.identify(df, model, ["id"], "text", declared=F.col("d"), suffix=F.col("s"), host=F.col("h")).collect()
+    assert len(got) == 300
+    for r in got:
+        assert (r.lang, r.probability) == (want[r.id][0], pytest.approx(want[r.id][1], abs=2e-5)), rows[r.id]
+
+
+def test_languages_of_hidden_labels(spark):
+    """Rows outside the fitting sample get their language with the declared code hidden, from the text alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.fitted(docs)
+    got = langid.identify(docs, model, ["doc_id", F.col("lang").alias("truth")]).where("truth is not null").collect()
+    assert sum(r.lang == r.truth for r in got) / len(got) > 0.98
+
+
+def test_every_label_is_a_class(spark):
+    """Forty languages, the rarest with five rows, each get their own class."""
+    rng = random.Random(3)
+    codes = [a + b for a in "bdfgk" for b in "aeiouyzx"]
+    words = {c: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(12)] for c in codes}
+    rows = [(100 * k + j, " ".join(rng.choice(words[c]) for _ in range(30)), c, "s") for k, c in enumerate(codes) for j in range(5 + k)]
+    rows += [(9000, "odd", "not a code", "s"), (9001, "few", "qq", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert langid.fitted(df).languages == sorted(codes)
+    got = langid.document_languages(df, ["doc_id"]).collect()
+    truth = {r[0]: r[2] for r in rows}
+    assert sum(r.lang == truth[r.doc_id] for r in got if r.doc_id < 9000) >= 0.99 * len(rows)
+
+
 def test_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = langid.page_languages(pages, spark.read.parquet(f"{SF}/documents.parquet")).collect()
@@ -343,13 +517,39 @@ def test_lm_scores(spark, lm_rows):
     assert lm.scores(df.limit(0)).count() == 0
 
 
+def test_every_place_is_visited_once(spark, lm_rows, tmp_path):
+    """Round by round, the places that training takes are all places of the training texts, with their contexts."""
+    import pyarrow as pa
+
+    texts = [t for i, t in lm_rows if i is not None and i < 300]
+    head = [(f"w{i}", 900) for i in range(40)]
+    classes = lm.Classes(head, {}, 900)
+    want, got = Counter(), Counter()
+    for t in texts:
+        ids = [classes.start] * 2 + classes.classify(lower(t).encode().split()).tolist() + [classes.end]
+        want.update(zip(ids[1:], ids, ids[2:]))
+    for _, words, tokens, sizes in lm.tokenised(pa.array(texts)):
+        w, h1, h2, _, starts = classes.sequence(words, tokens, sizes)
+        turns = (np.arange(len(w)) - np.repeat(starts, sizes + 1)) % lm.ROUNDS
+        for turn in range(lm.ROUNDS):
+            got.update(zip(h1[turns == turn].tolist(), h2[turns == turn].tolist(), w[turns == turn].tolist()))
+    assert got == want
+
+
+def sequences(classes, texts):
+    import pyarrow as pa
+
+    for _, words, tokens, sizes in lm.tokenised(pa.array(texts, pa.string())):
+        yield classes.sequence(words, tokens, sizes)[:3]
+
+
 def test_scorer_is_normalised_and_learns(lm_rows):
     head = [(f"w{i}", 900) for i in range(40)]
     classes = lm.Classes(head, {}, 900)
     trainer = lm.Trainer(classes, lm.Parameters(classes), 1)
     for _ in range(30):
-        for _, t in lm_rows[:900]:
-            trainer.add(t.encode().split())
+        for w, h1, h2 in sequences(classes, [t for _, t in lm_rows[:900]]):
+            trainer.add(h1, h2, w)
     trainer.flush()
     rows = dict(enumerate(trainer.p.rows))
     s = lm.Scorer(classes, rows)
@@ -357,8 +557,38 @@ def test_scorer_is_normalised_and_learns(lm_rows):
         p = np.exp(s.one[h1].astype(np.float64) + s.two[h2] - s.log_z[h1, h2])
         assert abs(p.sum() - 1) < 1e-3
     even = lm.Scorer(classes, {})
-    texts = [classes.classify(t.encode().split()) for _, t in lm_rows[:50]]
-    assert sum(map(s.score, texts)) > sum(map(even.score, texts)) + 1000
+    total = lambda of: sum(of.score(w, h1, h2).sum() for w, h1, h2 in sequences(classes, [t for _, t in lm_rows[:50]]))
+    assert total(s) > total(even) + 1000
+
+
+def test_scores_against_plain_loops(spark, lm_rows, monkeypatch):
+    """Every score from the trained rows: softmax over all classes, then the word's share of its class."""
+    monkeypatch.setattr(lm, "LOCAL", 30)  # most counts come by the join
+    monkeypatch.setattr(lm, "HEAD", 20)
+    kept = {}
+    model_of = lm.model_of
+    monkeypatch.setattr(lm, "model_of", lambda *a: kept.setdefault("model", model_of(*a)))
+    df = spark.createDataFrame(lm_rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: r.score for r in lm.scores(df).collect()}
+    classes, rows, *_ = kept["model"]
+    p = lm.Parameters(classes, rows)
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0
+    count = Counter(w for i, t in lm_rows if not held(i) for w in [*WORD.findall(lower(t or "")), ""])
+    groups, kinds = Counter(), Counter()
+    for w, n in count.items():
+        c = classes.end if w == "" else classes.ids[w.encode()]
+        groups[c] += n
+        kinds[c] += 1
+    for i, t in lm_rows[:40] + lm_rows[-7:]:
+        total, before = 0.0, [classes.start, classes.start]
+        for w in [*WORD.findall(lower(t or "")), ""]:
+            c = classes.end if w == "" else classes.ids[w.encode()]
+            logits = ((p.r[before[-1]] @ p.c1 + p.r[before[-2]] @ p.c2) @ p.q.T + p.b).astype(np.float64)
+            total += (logits[c] - logits.max() - np.log(np.exp(logits - logits.max()).sum())) / np.log(10)
+            if c >= classes.first_tail:
+                total += np.log10((count[w] + 0.1) / (groups[c] + 0.1 * (kinds[c] + 1)))
+            before.append(c)
+        assert got[i] == pytest.approx(total, abs=1e-3 * len(before)), i
 
 
 def test_similar_documents_share_a_class(spark):
@@ -438,6 +668,34 @@ def test_crowded_slots_and_the_exact_bound(spark, monkeypatch):
     assert got[100] == got[101] and len(groups(got)) > 50
 
 
+def test_copies_unlike_each_other_around_one_text(spark, monkeypatch):
+    """Crowded slots of a text's copies at 0.7 to 0.9 from it: links as brute force finds them, without all pairs."""
+    monkeypatch.setattr(neardup, "CROWD", 4)
+    rng = random.Random(31)
+    fresh = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    base, rows = fresh(150), []
+    for k in range(90):
+        text = base[:]
+        for at in rng.sample(range(150), rng.randint(1, 6)):
+            text[at : at + 1] = fresh(rng.randint(0, 2))
+        rows.append(text)
+        if k % 6 == 0:  # a copy of the copy, near it and maybe far from the base
+            again = text[:]
+            for at in rng.sample(range(len(again)), 3):
+                again[at] = fresh(1)[0]
+            rows.append(again)
+    rows.append(base)
+    texts = [(i, " ".join(t)) for i, t in enumerate(rows)]
+    want = classes_by_hand(texts)
+    made = []
+    differing = neardup.differing
+    monkeypatch.setattr(neardup, "differing", lambda *a: made.append(differing(*a)) or made[0])
+    got = {r.doc_id: r.root for r in neardup.similar_classes(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    groups = lambda of: {frozenset(i for i in of if of[i] == r) for r in set(of.values())}
+    assert groups(got) == groups(want)
+    assert 3 < len(groups(got)) < 100 and made[0].count() < 400
+
+
 def test_a_frequent_kind_hides_no_rare_pattern(spark):
     """Support is three seeds at any table size: 20 phones are enough beside 60,000 other seeds."""
     rows = [(i, f"some words then mobile number: +1 (212) 555-{1000 + i} and more") for i in range(20)]
