@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.functions import keccak, rlp
@@ -84,6 +84,26 @@ def bloom(items: list[bytes]) -> bytes:
     return bits.to_bytes(256, "big")
 
 
+def encode_receipt(status: Column, gas_used: Column, cumulative: Column, address: Column, topics: Column) -> Column:
+    """The stored form of a receipt with one log without data."""
+    return F.pandas_udf(_encoded, "binary")(status, gas_used, cumulative, address, topics)
+
+
+def _encoded(status: pd.Series, gas_used: pd.Series, cumulative: pd.Series, address: pd.Series, topics: pd.Series) -> pd.Series:
+    return pd.Series([pack(int(s), int(g), int(c), [(bytes(a), [bytes(x) for x in t], b"")]) for s, g, c, a, t in zip(status, gas_used, cumulative, address, topics, strict=True)], dtype=object)
+
+
+def blooms(items: DataFrame, key: str, item: str) -> DataFrame:
+    """key and bloom of each key's items: distinct items are hashed once, bits are OR-ed word by word before and after the shuffle."""
+    digests_of = items.select(F.col(item).cast("binary").alias("_item")).distinct().withColumn("_h", keccak.keccak256("_item"))
+    number = lambda i: F.conv(F.hex(F.substring("_h", 2 * i + 1, 2)), 16, 10).cast("int").bitwiseAND(F.lit(2047))
+    bits = digests_of.select("_item", F.explode(F.array_distinct(F.array(number(0), number(1), number(2)))).alias("_bit"))
+    marked = items.join(bits, F.col(item).cast("binary") == F.col("_item")).select(key, F.floor(F.col("_bit") / 64).alias("_word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("_bit") % 64).alias("_mask"))
+    words = [F.coalesce(F.bit_or(F.when(F.col("_word") == w, F.col("_mask"))), F.lit(0)).alias(f"w{w}") for w in range(32)]
+    # the highest bit comes first
+    return marked.groupBy(key).agg(*words).select(key, F.unhex(F.concat(*(F.lpad(F.hex(f"w{w}"), 16, "0") for w in reversed(range(32))))).alias("bloom"))
+
+
 def root(values: list[bytes]) -> bytes:
     """Root of the Patricia trie that maps the encoded place of each value to it."""
     pairs = {rlp.encode(i): v for i, v in enumerate(values)}

@@ -115,3 +115,35 @@ def _accounts(raw: pd.Series) -> pd.DataFrame:
         nonce, balance, root, code = decode(bytes(r))[:4]
         rows.append((int.from_bytes(nonce, "big"), _word(balance), root, code))
     return pd.DataFrame(rows, columns=["nonce", "balance", "root", "code_hash"])
+
+
+HEADER = "parent_hash binary, height long, gas_limit long, gas_used long, base_fee long"
+
+
+def header(raw: bytes) -> tuple:
+    """Parent hash, number, gas limit, gas used and base fee (null before it came) of an encoded header."""
+    fields = decode(raw)
+    if len(fields) < 15:
+        raise ValueError("a header has 15 fields or more")
+    number = lambda b: int.from_bytes(b, "big")
+    return fields[0], number(fields[8]), number(fields[9]), number(fields[10]), number(fields[15]) if len(fields) > 15 else None
+
+
+def decode_header(raw: Column | str) -> Column:
+    """The fields of HEADER of a binary column; null stays null."""
+    return F.pandas_udf(_headers, HEADER)(raw)
+
+
+def _headers(raw: pd.Series) -> pd.DataFrame:
+    names = [f.split()[0] for f in HEADER.split(", ")]
+    frame = pd.DataFrame([(None,) * 5 if r is None else header(bytes(r)) for r in raw], columns=names)
+    return frame.astype({n: "Int64" for n in names[1:]})
+
+
+def _encoded_headers(parent: pd.Series, height: pd.Series, limit: pd.Series, used: pd.Series, fee: pd.Series) -> pd.Series:
+    """What isn't given is empty: the fields' places count."""
+    return pd.Series([encode([bytes(p), *[b""] * 7, int(h), int(g), int(u), *[b""] * 4, int(f)]) for p, h, g, u, f in zip(parent, height, limit, used, fee, strict=True)], dtype=object)
+
+
+def encode_header(parent: Column, height: Column, gas_limit: Column, gas_used: Column, base_fee: Column) -> Column:
+    return F.pandas_udf(_encoded_headers, "binary")(parent, height, gas_limit, gas_used, base_fee)

@@ -59,6 +59,13 @@ def history(blocks: DataFrame, txs: DataFrame, count: int, newest: int, percenti
     return base.join(rewards(part, txs.where(F.col("height").between(newest - count + 1, newest)), percentiles), "height") if percentiles else base
 
 
+def base_fees(blocks: DataFrame, count: int, newest: int) -> DataFrame:
+    """count + 1 base fees: of the blocks up to newest and of the one after it, null if that is above the head (no rule is known here)."""
+    count = min(count, MOST_HISTORY, newest + 1)
+    asked = blocks.sparkSession.range(newest - count + 1, newest + 2).withColumnRenamed("id", "height")  # 1025 rows at most
+    return asked.join(blocks.where(F.col("height").between(newest - count + 1, newest + 1)).select("height", "base_fee"), "height", "left")
+
+
 def suggestions(price: DataFrame, base_fee: int, next_base: int) -> DataFrame:
     """Slow, normal and fast tips and their fee caps out of one sampled price.
 

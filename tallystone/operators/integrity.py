@@ -30,13 +30,15 @@ def roots_without_rows(changed: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def band_sample(blocks: DataFrame, bands: int, per_band: int) -> DataFrame:
-    """A reproducible sample: the blocks of least hash in each band of height."""
+    """A reproducible sample: the blocks of least hash in each band of height, per_band of them wherever a band has so many.
+
+    The least of each part of a band are found first, so that no task ranks a whole band.
+    """
     total = F.broadcast(blocks.agg(F.count("*").alias("total")))
-    banded = blocks.crossJoin(total).withColumn("band", F.floor(F.col("height") * bands / F.col("total")))
-    # a cut at the hash quantile leaves a small band to rank
-    share = banded.where(F.conv(F.substring("hash", 1, 4), 16, 10).cast("long") < F.greatest(F.lit(8 * per_band * bands) * 65536 / F.col("total"), F.lit(1)).cast("long"))
-    ranked = share.withColumn("rk", F.row_number().over(Window.partitionBy("band").orderBy("hash")))
-    return ranked.where(F.col("rk") <= per_band)
+    banded = blocks.crossJoin(total).withColumns({"band": F.floor(F.col("height") * bands / F.col("total")), "part": F.substring("hash", 1, 2)})
+    least = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy("hash"))
+    near = banded.withColumn("rk", least("band", "part")).where(F.col("rk") <= per_band)
+    return near.withColumn("rk", least("band")).where(F.col("rk") <= per_band)
 
 
 def verified(bad: DataFrame, walked: int) -> None:

@@ -72,21 +72,53 @@ def set_rows(logs: DataFrame) -> DataFrame:
     return spots.select("topic0", (F.col("at") + 1).alias("pos"), "value", "emitter").distinct()
 
 
-def candidates(logs: DataFrame, emitters: list | None, topics: list[list | None]) -> DataFrame:
+def elog_spots(logs: DataFrame) -> DataFrame:
+    """Every log as a posting of its emitter: emitter, topic0, txnum, log_index, n_topics."""
+    return logs.select("emitter", F.coalesce(F.get("topics", F.lit(0)), F.lit(ZERO)).alias("topic0"), "txnum", "log_index", F.size("topics").alias("n_topics"))
+
+
+def tval_spots(logs: DataFrame) -> DataFrame:
+    """Every log as a posting of each value that it has: value, topic0, txnum, log_index, position bits, emitter, n_topics."""
+    spots = logs.where(F.size("topics") > 1).select("txnum", "log_index", "emitter", F.get("topics", F.lit(0)).alias("topic0"), F.size("topics").alias("n_topics"), F.posexplode(F.slice("topics", 2, 3)).alias("at", "value"))
+    return spots.groupBy("value", "topic0", "txnum", "log_index").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("at"))).alias("pos"), F.max("emitter").alias("emitter"), F.max("n_topics").alias("n_topics"))
+
+
+def standard_of_spot(transfer: list, multi: list) -> Column:
+    """erc20, erc721 or erc1155 of a posting, or null."""
+    t0, n = F.col("topic0"), F.col("n_topics")
+    return F.when(t0.isin(transfer) & (n == 3), "erc20").when(t0.isin(transfer) & (n == 4), "erc721").when(t0.isin(multi) & (n == 4), "erc1155")
+
+
+def holder_spots(spots: DataFrame, holder, transfer: list, multi: list, standard: str | None = None) -> DataFrame:
+    """Postings of the holder's token transfers: positions 1 and 2, of several tokens 2 and 3."""
+    own = spots.where((F.col("value") == holder) & F.col("topic0").isin([*transfer, *multi])).withColumn("standard", standard_of_spot(transfer, multi))
+    bits = F.col("pos").bitwiseAND(F.when(F.col("standard") == "erc1155", 0b110).otherwise(0b011)) != 0
+    return own.where(bits & (F.col("standard").isNotNull() if standard is None else F.col("standard") == standard))
+
+
+def contract_spots(spots: DataFrame, token, transfer: list, multi: list, standard: str | None = None) -> DataFrame:
+    """Postings of the contract's token transfers."""
+    own = spots.where((F.col("emitter") == token) & F.col("topic0").isin([*transfer, *multi])).withColumn("standard", standard_of_spot(transfer, multi))
+    return own.where(F.col("standard").isNotNull() if standard is None else F.col("standard") == standard)
+
+
+def candidates(logs: DataFrame, emitters: list | None, topics: list[list | None], elogs: DataFrame | None = None, tvals: DataFrame | None = None, sigs: DataFrame | None = None) -> DataFrame:
     """Transactions in every dimension's postings: a superset of the matches, by semi-joins.
 
     One topic0 narrows the other dimensions to its groups; positions above 3 aren't indexed.
+    elogs, tvals, sigs: the stored postings; without them they are made of the logs.
     """
+    elogs, tvals, sigs = elog(logs) if elogs is None else elogs, tval(logs) if tvals is None else tvals, sig(logs) if sigs is None else sigs
     one = topics[0][0] if topics and topics[0] is not None and len(topics[0]) == 1 else None
     narrow = lambda d: d if one is None else d.where(F.col("topic0") == one)
     sets = []
     if emitters:
-        sets.append(narrow(elog(logs)).where(F.col("emitter").isin(emitters)).select("txnum").distinct())
+        sets.append(narrow(elogs).where(F.col("emitter").isin(emitters)).select("txnum").distinct())
     if topics and topics[0] is not None and not (emitters and one is not None):
-        sets.append(sig(logs).where(F.col("topic0").isin(topics[0])).select("txnum").distinct())
+        sets.append(sigs.where(F.col("topic0").isin(topics[0])).select("txnum").distinct())
     for i, values in enumerate(topics[1:4], 1):
         if values is not None:
-            sets.append(narrow(tval(logs)).where(F.col("value").isin(values) & (F.col("pos").bitwiseAND(F.lit(1 << (i - 1))) != 0)).select("txnum").distinct())
+            sets.append(narrow(tvals).where(F.col("value").isin(values) & (F.col("pos").bitwiseAND(F.lit(1 << (i - 1))) != 0)).select("txnum").distinct())
     if not sets:
         return logs.select("txnum").distinct()
     return reduce(lambda a, b: a.join(b, "txnum", "left_semi"), sets)
@@ -145,6 +177,31 @@ def topic_profile(logs: DataFrame, top: int) -> DataFrame:
     return best.crossJoin(F.broadcast(total)).select("topic0", "n", F.sum("n").over(upto).alias("cumulative"), "total")
 
 
+def position_profile(logs: DataFrame) -> DataFrame:
+    """pos, n and kinds: how many logs have a topic at each position, and how many values it takes."""
+    spots = logs.where(F.size("topics") > 0).select(F.posexplode("topics").alias("pos", "value"))
+    return spots.groupBy("pos", "value").agg(F.count("*").alias("n")).groupBy("pos").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+
+
+def holder_profile(spots: DataFrame) -> DataFrame:
+    """Postings and emitters per holder of (holder, emitter); median and 99th percentile by the places n / 2 and n / 100 of a descending order, found by counts of counts."""
+    from pyspark.sql import Window
+
+    pairs = spots.groupBy("holder", "emitter").agg(F.count("*").alias("per"))
+    levels = pairs.groupBy("holder", "per").agg(F.sum("per").alias("rows"), F.count("*").alias("emitters"))
+    down = Window.partitionBy("holder").orderBy(F.desc("per")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = levels.withColumn("upto", F.sum("rows").over(down)).withColumn("postings", F.sum("rows").over(Window.partitionBy("holder")))
+    at = lambda share: F.max(F.when(F.col("upto") > F.floor(F.col("postings") * share), F.col("per")))
+    return placed.groupBy("holder").agg(F.first("postings").alias("postings"), F.sum("emitters").alias("emitters"), at(0.5).alias("p50"), at(0.01).alias("p99"), F.max("per").alias("most"))
+
+
+def family_statistics(rows: DataFrame, family: str) -> DataFrame:
+    """Of a family's rows (k, v, c: key, value and the key's first component): counts and bytes, combined by key before anything is distinct."""
+    by_key = rows.groupBy("c", "k").agg(F.count("*").alias("n"), F.sum(F.octet_length("v")).alias("v")).withColumn("b", F.col("n") * F.octet_length("k"))
+    by_first = by_key.groupBy("c").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum("b").alias("b"), F.sum("v").alias("v"))
+    return by_first.agg(F.lit(family).alias("family"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.coalesce(F.sum("k"), F.lit(0)).alias("groups"), F.count("*").alias("firsts"), F.sum("b").alias("key_bytes"), F.sum("v").alias("value_bytes"))
+
+
 def holder_pairs(logs: DataFrame, transfer: list) -> DataFrame:
     """Distinct (holder, token) of transfers."""
     own = logs.where(F.get("topics", F.lit(0)).isin(transfer) & (F.size("topics") >= 3))

@@ -26,6 +26,21 @@ def read_many(versions: DataFrame, probes: DataFrame, genesis: DataFrame) -> Dat
     return joined.select("addr", "slot", "at", value.alias("val"), F.col("seen").isNotNull().alias("written"))
 
 
+def accounts_at(accounts: DataFrame, genesis: DataFrame, codes: DataFrame, probes: DataFrame) -> DataFrame:
+    """probes (addr, at, ...) with balance, nonce and code: the newest account version's, genesis's of an account never written, else 0, 0 and none.
+
+    accounts: addr, txnum, balance, nonce, code_hash, present (false: deleted, which does not
+    fall to genesis). codes: code_hash, code; a hash without code is no code.
+    """
+    fields = ["balance", "nonce", "code_hash"]
+    found = as_of(accounts.withColumn("seen", F.lit(True)), probes, ["addr"], "txnum", "at", [*fields, "present", "seen"])
+    floor = genesis.select(F.col("addr").alias("_addr"), *(F.col(c).alias(f"_{c}") for c in fields))
+    joined = found.join(floor, F.col("addr") == F.col("_addr"), "left")
+    own = {c: F.when(F.col("seen").isNull(), F.col(f"_{c}")).when(F.col("present"), F.col(c)) for c in fields}
+    named = joined.withColumns({"balance": F.coalesce(own["balance"], F.lit(0.0)), "nonce": F.coalesce(own["nonce"], F.lit(0)), "code_hash": own["code_hash"]})
+    return named.join(codes, "code_hash", "left").select(*probes.columns, "balance", "nonce", "code")
+
+
 def slot_series(versions: DataFrame, addr, slot) -> DataFrame:
     return versions.where((F.col("addr") == addr) & (F.col("slot") == slot)).orderBy("txnum")
 
@@ -47,11 +62,19 @@ def slots_after_deletes(slots: DataFrame, deletes: DataFrame) -> DataFrame:
 
 
 def tombstones(slots: DataFrame, deletes: DataFrame) -> DataFrame:
-    """An empty row at the delete for each slot that was live just before it."""
-    at = deletes.select("addr", F.col("txnum").alias("deleted"))
-    before = slots.join(at, "addr").where(F.col("txnum") < F.col("deleted"))
-    live = before.groupBy("addr", "slot", "deleted").agg(F.max_by("present", "txnum").alias("present")).where("present")
-    return live.select("addr", "slot", F.col("deleted").alias("txnum"))
+    """An empty row for each slot that was live at a delete of its account, at that delete.
+
+    A live version ends at the account's next delete if its slot isn't written before that.
+    Both are looked up by as-of joins on reversed slots, so that an account that is deleted
+    or written often is spread over buckets of slots.
+    """
+    back = lambda df, c: df.withColumn("_back", -F.col(c))
+    probes = slots.select("addr", "slot", F.col("txnum").alias("written"), "present", (-F.col("txnum") - 1).alias("_at"))
+    gone = back(deletes.select("addr", "txnum"), "txnum").withColumn("deleted", F.col("txnum"))
+    at = as_of(gone, probes, ["addr"], "_back", "_at", ["deleted"])
+    after = back(slots.select("addr", "slot", "txnum"), "txnum").withColumn("next", F.col("txnum"))
+    both = as_of(after, at, ["addr", "slot"], "_back", "_at", ["next"])
+    return both.where("present and deleted is not null and (next is null or deleted < next)").select("addr", "slot", F.col("deleted").alias("txnum"))
 
 
 def recovered(versions: DataFrame, roll: int, head: int) -> DataFrame:

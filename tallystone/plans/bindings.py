@@ -2,15 +2,24 @@
 
 Each DataFrame binding has the same thing as DuckDB common table expressions (the *_SQL
 texts), from which the oracles are written.
+
+Blocks, transactions, hashes, postings and logs are written once a session as a corpus of
+sorted families, from which every query reads: a look-up by height, slot, digest, address or
+value skips the files, row groups and pages that can't hold it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallystone.operators.ledger import assign_slots
+from tallystone.operators.logs import elog_spots, set_rows, sig, tval_spots
 from tallystone.operators.scaling import running_sum
+from tallystone.sources.runs import Corpus
+from tallystone.sources.shared import shared_uri, written
 
 TRANSFER, MULTI = ["click", "purchase"], ["error"]
 
@@ -19,7 +28,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def built_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders, items = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     counts = items.groupBy(F.col("l_orderkey").alias("height")).agg(F.count("*").alias("tx_count"), F.sum(F.col("l_quantity").cast("long")).alias("gas_used"))
     none = F.lit(0).cast("long")
@@ -33,7 +42,7 @@ def hashed(prefix: str, number: Column) -> Column:
     return F.sha2(F.concat(F.lit(prefix), number.cast("string")), 256)
 
 
-def txs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def built_txs(spark: SparkSession, sf_dir: str, blocks: DataFrame) -> DataFrame:
     items = table(spark, sf_dir, "lineitem")
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
     own = items.select(
@@ -45,11 +54,58 @@ def txs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("fee_cap"),
         F.round(F.col("l_extendedprice") * F.col("l_discount") * 100).cast("long").alias("tip_cap"),
         (F.col("l_linestatus") == "F").cast("long").alias("status"),
+        F.lit(50).cast("long").alias("gas_limit"),
     )
-    placed = own.join(blocks(spark, sf_dir).select("height", "first_tx", F.lit(50).cast("long").alias("gas_limit")), "height")
-    placed = placed.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("height"), F.col("o_custkey").alias("sender")), "height")
+    placed = own.join(blocks.select("height", "first_tx", F.col("miner").alias("sender")), "height")
     placed = placed.withColumn("txnum", F.col("first_tx") + F.col("tx_index")).drop("first_tx")
-    return placed.withColumn("tx_hash", hashed("t", F.col("txnum")))
+    return with_nonce(placed.withColumn("tx_hash", hashed("t", F.col("txnum"))))
+
+
+_STORED: dict[tuple[str, str, str], Corpus] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str, kind: str, tables: Callable[[], tuple[dict[str, DataFrame], tuple[int, int, int, int]]]) -> Corpus:
+    """The corpus of a folder's tables, built at the first use in a session: one terminal run of all families."""
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _STORED:
+        own, span = tables()
+        corpus = Corpus(spark, shared_uri(spark, f"corpus-{kind}"), kind)
+        corpus.flush(own, span, level=1)
+        _STORED[key] = corpus
+    return _STORED[key]
+
+
+def ledger_corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    """Families: blocks by height, txs by slot, hashes by digest, postings by address and slot."""
+
+    def tables():
+        blocks = written(built_blocks(spark, sf_dir), "built-blocks")
+        own = written(built_txs(spark, sf_dir, blocks), "built-txs")
+        top = blocks.agg(F.max(F.struct("height", "boundary_tx")).alias("e")).head()["e"] or (-1, -1)
+        of_txs = own.select(F.col("tx_hash").alias("digest"), F.lit("t").alias("kind"), "txnum", "height")
+        of_blocks = blocks.select(F.col("hash").alias("digest"), F.lit("b").alias("kind"), F.col("boundary_tx").alias("txnum"), "height")
+        merged = address_postings(own).groupBy("addr", "txnum", "height").agg(F.bit_or("roles").alias("roles"), F.max("nonce").alias("nonce"))
+        return {"blocks": blocks.withColumn("txnum", F.col("boundary_tx")), "txs": own, "hashes": of_txs.union(of_blocks), "postings": merged}, (0, top[1] + 1, 0, top[0])
+
+    return _stored(spark, sf_dir, "ledger", tables)
+
+
+def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger_corpus(spark, sf_dir).read(family="blocks").drop("txnum")
+
+
+def txs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ledger_corpus(spark, sf_dir).read(family="txs")
+
+
+def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """digest, kind ('b' or 't'), txnum, height."""
+    return ledger_corpus(spark, sf_dir).read(family="hashes")
+
+
+def stored_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """addr, txnum, height, roles, and the nonce where the address is the sender."""
+    return ledger_corpus(spark, sf_dir).read(family="postings")
 
 
 def with_nonce(transactions: DataFrame) -> DataFrame:
@@ -57,9 +113,10 @@ def with_nonce(transactions: DataFrame) -> DataFrame:
 
 
 def address_postings(transactions: DataFrame) -> DataFrame:
-    """(addr, txnum, roles) before merging: sender 1, recipient 2, emitter 8; kinds of number are told apart by a letter."""
-    each = F.array(*(F.struct(F.concat(F.lit(f"{letter}:"), F.col(c).cast("string")).alias("addr"), F.lit(bit).alias("roles")) for letter, c, bit in (("c", "sender", 1), ("s", "recipient", 2), ("p", "emitter", 8))))
-    return transactions.select("txnum", "height", F.explode(each).alias("x")).select("x.addr", "txnum", "height", "x.roles")
+    """(addr, txnum, height, roles, nonce) before merging: sender 1, recipient 2, emitter 8; kinds of number are told apart by a letter."""
+    nonce = lambda bit: (F.col("nonce") if bit == 1 else F.lit(None).cast("long")).alias("nonce")
+    each = F.array(*(F.struct(F.concat(F.lit(f"{letter}:"), F.col(c).cast("string")).alias("addr"), F.lit(bit).alias("roles"), nonce(bit)) for letter, c, bit in (("c", "sender", 1), ("s", "recipient", 2), ("p", "emitter", 8))))
+    return transactions.select("txnum", "height", F.explode(each).alias("x")).select("x.addr", "txnum", "height", "x.roles", "x.nonce")
 
 
 LEDGER_SQL = """
@@ -84,11 +141,58 @@ post AS (SELECT addr, txnum, height, bit_or(role) roles FROM (
 """
 
 
+def typed_txs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions as the wire has them: types 0, 1 and 2 in turn, every 50th a creation, and what the wire forms need besides."""
+    own = txs(spark, sf_dir).join(blocks(spark, sf_dir).select("height", "base_fee", F.col("hash").alias("block_hash")), "height")
+    kind = (F.col("tx_index") % 3).alias("type")
+    creates = F.col("txnum") % 50 == 0
+    say = lambda letter, c: F.concat(F.lit(f"{letter}:"), F.col(c).cast("string"))
+    named = own.withColumn("type", kind).withColumns({
+        "price": F.when(F.col("type") == 2, F.least(F.col("fee_cap"), F.col("tip_cap") + F.col("base_fee"))).otherwise(F.col("fee_cap")),
+        "parity": F.col("txnum") % 2, "chain_id": F.lit(43114), "access": F.array(F.struct(say("p", "emitter").alias("address"), F.array(F.concat(F.lit("k:"), (F.col("txnum") % 5).cast("string"))).alias("storageKeys"))),
+        "to": F.when(~creates, say("s", "recipient")), "contract": F.when(creates, say("n", "txnum")), "root": F.when(F.col("height") < 100, F.concat(F.lit("0x"), hashed("r", F.col("txnum")))),
+        "logs": F.when(F.col("tx_index") % 2 == 0, F.array(F.struct(say("p", "emitter").alias("address"), F.array(F.concat(F.lit("t:"), (F.col("txnum") % 3).cast("string"))).alias("topics"), F.lit("0x0").alias("logIndex")))).otherwise(F.array().cast("array<struct<address:string,topics:array<string>,logIndex:string>>")),
+    })
+    return named.withColumn("sender", say("c", "sender"))
+
+
+WIRE_SQL = """
+w AS (SELECT t.*, b.hash block_hash, tx_index % 3 kind, CASE WHEN tx_index % 3 = 2 THEN price ELSE fee_cap END paid, CASE WHEN txnum % 50 <> 0 THEN concat('"to":"s:', recipient, '",') ELSE '' END dest,
+    concat('0x', lower(to_hex(t.height))) bn, concat('0x', lower(to_hex(tx_index))) ti, cast(sum(t.gas_used) OVER (PARTITION BY t.height ORDER BY tx_index) AS bigint) cumulative FROM txs t JOIN blocks b ON b.height = t.height),
+wire AS (SELECT height, txnum, tx_index, tx_hash, concat('{"hash":"0x', tx_hash, '","type":"0x', kind, '","nonce":"0x', lower(to_hex(nonce)), '","blockHash":"0x', block_hash, '","blockNumber":"', bn, '","transactionIndex":"', ti, '","from":"c:', sender, '",', dest,
+    '"gas":"0x32","gasPrice":"0x', lower(to_hex(paid)), '"', CASE WHEN kind = 2 THEN concat(',"maxFeePerGas":"0x', lower(to_hex(fee_cap)), '","maxPriorityFeePerGas":"0x', lower(to_hex(tip_cap)), '"') ELSE '' END,
+    CASE WHEN kind > 0 THEN concat(',"chainId":"0xa86a","accessList":[{"address":"p:', emitter, '","storageKeys":["k:', txnum % 5, '"]}],"yParity":"0x', txnum % 2, '"') ELSE '' END, '}') json FROM w)
+"""
+
+
+def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Account versions (addr, txnum, balance, nonce, code_hash, present): purchases write an account, sign-ups with k < 5 delete it."""
+    e = table(spark, sf_dir, "events").where("event_type in ('purchase', 'signup')").withColumn("k", _k())
+    code = F.when(F.col("user_id") % 3 == 0, hashed("code", F.col("user_id") % 7))
+    return e.where("event_type = 'purchase' or k < 5").select(F.col("user_id").alias("addr"), F.col("event_id").alias("txnum"), F.col("value").alias("balance"), (F.col("event_id") % 7).alias("nonce"), code.alias("code_hash"), (F.col("event_type") == "purchase").alias("present"))
+
+
+def genesis_accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = F.when(F.col("c_nationkey") < 5, hashed("code", F.col("c_nationkey")))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("addr"), F.col("c_acctbal").alias("balance"), F.lit(0).cast("long").alias("nonce"), nation.alias("code_hash"))
+
+
+def codes(spark: SparkSession) -> DataFrame:
+    return spark.range(7).select(hashed("code", F.col("id")).alias("code_hash"), F.concat(F.lit("bytes "), F.col("id").cast("string")).alias("code"))
+
+
+ACCOUNTS_SQL = """
+acc AS (SELECT user_id addr, event_id txnum, "value" balance, event_id % 7 nonce, CASE WHEN user_id % 3 = 0 THEN concat('bytes ', user_id % 7) END code, event_type = 'purchase' present FROM events
+    WHERE event_type = 'purchase' OR (event_type = 'signup' AND cast(regexp_extract(props, '([0-9]+)', 1) AS int) < 5)),
+gen AS (SELECT c_custkey addr, c_acctbal balance, CASE WHEN c_nationkey < 5 THEN concat('bytes ', c_nationkey) END code FROM customer)
+"""
+
+
 def _k() -> Column:
     return F.regexp_extract("props", "([0-9]+)", 1).cast("int")
 
 
-def logs(spark: SparkSession, sf_dir: str, multi: bool = False) -> DataFrame:
+def built_logs(spark: SparkSession, sf_dir: str, multi: bool = False) -> DataFrame:
     """One log per event; multi: `error` has a fourth topic, as a transfer of several tokens has."""
     events = table(spark, sf_dir, "events")
     hour = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")).cast("long") * 24 + F.hour("ts")
@@ -101,6 +205,22 @@ def logs(spark: SparkSession, sf_dir: str, multi: bool = False) -> DataFrame:
     return own.crossJoin(F.broadcast(start)).select("txnum", (F.col("hour") - F.col("start")).alias("height"), F.lit(0).alias("log_index"), "emitter", topics.alias("topics"), "k")
 
 
+def log_corpus(spark: SparkSession, sf_dir: str, multi: bool = False) -> Corpus:
+    """Families: logs by slot, elog, tval and sig postings by their keys, the set rows."""
+
+    def tables():
+        own = written(built_logs(spark, sf_dir, multi), "built-logs")
+        top = own.agg(F.max("txnum"), F.max("height")).head()
+        rows = set_rows(own).withColumn("txnum", F.lit(0).cast("long"))
+        return {"logs": own, "elog": elog_spots(own), "tval": tval_spots(own), "sig": sig(own), "set": rows}, (0, (top[0] if top[0] is not None else -1) + 1, 0, top[1] if top[1] is not None else -1)
+
+    return _stored(spark, sf_dir, f"logs-{multi}", tables)
+
+
+def logs(spark: SparkSession, sf_dir: str, multi: bool = False) -> DataFrame:
+    return log_corpus(spark, sf_dir, multi).read(family="logs")
+
+
 def _logs_sql(multi: bool) -> str:
     return f"""
 ev AS (SELECT event_id txnum, user_id emitter, event_type t, cast(regexp_extract(props, '([0-9]+)', 1) AS int) k,

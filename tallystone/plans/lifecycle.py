@@ -5,9 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tallystone.functions import encoding, receipts
+from tallystone.functions import encoding, receipts, wire
 from tallystone.operators import ledger
 from tallystone.operators import logs as L
+from tallystone.operators.scaling import running_sum
 from tallystone.plans import bindings as B
 from tallystone.plans import tags
 from tallystone.plans.catalog import many, one, query
@@ -22,32 +23,25 @@ e AS MATERIALIZED (SELECT s.height h, s.first_tx f, min(b.height) last FROM b s
 r AS (SELECT h, f, last FROM e WHERE h = 0 UNION ALL SELECT e.h, e.f, e.last FROM r JOIN e ON e.h = r.last + 1)"""
 
 
-def _cuts(blocks, slots=SLOTS, most=BLOCKS):
-    at, out = 0, []
-    while edge := runs.next_edge(blocks, at, slots, most):
-        out.append((edge[1], edge[2], at, edge[0]))
-        at = edge[0] + 1
-    return out
-
-
 @query("SELECT f from_tx, boundary_tx + 1 to_tx, h from_height, last to_height FROM r JOIN b ON b.height = last", ctes="RECURSIVE" + B.LEDGER_SQL.rstrip() + ",\n" + CUTS)
 def c1_run_cuts(spark, d):
-    cuts = _cuts(written(B.blocks(spark, d), "blocks"))
-    return spark.createDataFrame(cuts, "from_tx long, to_tx long, from_height long, to_height long")
+    return runs.run_cuts(B.blocks(spark, d), SLOTS, BLOCKS)
 
 
-def _corpus(spark, d):
-    """Transactions flushed run by run into a new corpus, then merged as far as is due."""
-    rows = written(B.txs(spark, d).select("txnum", "height", "tx_hash"), "txs")
-    blocks = written(B.blocks(spark, d), "blocks")
-    corpus = runs.Corpus(spark, shared_uri(spark, "corpus"), "root")
-    cuts = _cuts(blocks, 4 * SLOTS, 4 * BLOCKS)
-    for span in cuts:
-        corpus.flush(rows, span)
+def _spans(blocks):
+    """Spans of the full runs, and of what is left at the end; a number of rows that the thresholds bound."""
+    cuts = sorted(tuple(r) for r in runs.run_cuts(blocks, 4 * SLOTS, 4 * BLOCKS).select("from_tx", "to_tx", "from_height", "to_height").collect())
     end = blocks.agg(F.max(F.struct("height", "boundary_tx")).alias("e")).head()["e"]
     start = cuts[-1] if cuts else (0, 0, 0, -1)
-    if start[3] < end[0]:
-        corpus.flush(rows, (start[1], end[1] + 1, start[3] + 1, end[0]))
+    rest = [(start[1], end[1] + 1, start[3] + 1, end[0])] if end and start[3] < end[0] else []
+    return cuts, rest
+
+
+def _corpus(spark, d):
+    """Transactions flushed as runs of a new corpus, then merged as far as is due."""
+    cuts, rest = _spans(B.blocks(spark, d))
+    corpus = runs.Corpus(spark, shared_uri(spark, "corpus"), "root")
+    corpus.flush_all(B.txs(spark, d).select("txnum", "height", "tx_hash"), cuts + rest)
     while corpus.merge(TERMINAL):
         pass
     return corpus
@@ -63,10 +57,32 @@ def p10_runs_pruned_by_slots(spark, d):
     return _corpus(spark, d).at_slots(900, 1500).select("txnum", "height")
 
 
-@query()
-def a22_run_sizes(spark, d):
-    kept = _corpus(spark, d).runs()
-    return spark.createDataFrame([(r.level, r.rows) for r in kept], "level int, rows long").groupBy("level").agg(F.count("*").alias("runs"), F.sum("rows").alias("rows"))
+@query("SELECT 'blocks' family, 1 level, 1 runs, count(*) rows FROM blocks UNION ALL SELECT 'txs', 1, 1, count(*) FROM txs UNION ALL SELECT 'hashes', 1, 1, (SELECT count(*) FROM blocks) + (SELECT count(*) FROM txs) UNION ALL SELECT 'postings', 1, 1, count(*) FROM post", **one)
+def a22_section_sizes(spark, d):
+    """Runs and rows by family out of the ledger's manifest (bytes are there, too, but depend on the writer)."""
+    return B.ledger_corpus(spark, d).sizes().select("family", "level", F.col("runs").cast("int").alias("runs"), "rows")
+
+
+@query("SELECT txnum, row_number() OVER (ORDER BY txnum) - 1 place FROM txs WHERE txnum < 700", **one)
+def s9_ordered_scan(spark, d):
+    """The scan gives rows by run and slot; its first 700 slots with their places."""
+    first = [r.txnum for r in _corpus(spark, d).scan().where("txnum < 700").collect()]
+    return spark.createDataFrame(list(enumerate(first)), "place long, txnum long").select("txnum", "place")
+
+
+@query("SELECT count(*) rows, cast(sum(txnum) AS bigint) slots, min(txnum) first, max(txnum) last, min(tx_hash) hash FROM txs JOIN (SELECT max(to_tx) upto FROM t) ON txnum < upto", ctes="RECURSIVE" + B.LEDGER_SQL.rstrip() + ",\n" + CUTS.replace("499", "1999").replace("5000", "20000").replace("500", "2000") + """,
+c AS (SELECT to_tx, row_number() OVER (ORDER BY to_tx) k FROM (SELECT boundary_tx + 1 to_tx FROM r JOIN b ON b.height = last UNION SELECT max(boundary_tx) + 1 FROM blocks)),
+t AS (SELECT 0 to_tx, 0 upto, 0 kk UNION ALL SELECT c.to_tx, c.to_tx, c.k FROM t JOIN c ON c.k = (SELECT min(x.k) FROM c x WHERE x.k > t.kk AND x.to_tx - t.upto >= 40000))""")
+def s17_s18_published_and_joined(spark, d):
+    """Terminal runs published with a pointer, joined by their footers, and read from there."""
+    corpus = _corpus(spark, d)
+    folder = shared_uri(spark, "published")
+    corpus.publish(folder)
+    other = runs.Corpus(spark, folder, "root")
+    joined = other.join()
+    if not joined:
+        return B.txs(spark, d).where("false").agg(F.count("*").alias("rows"), F.sum("txnum").alias("slots"), F.min("txnum").alias("first"), F.max("txnum").alias("last"), F.min("tx_hash").alias("hash"))
+    return other.read(joined).agg(F.count("*").alias("rows"), F.sum("txnum").alias("slots"), F.min("txnum").alias("first"), F.max("txnum").alias("last"), F.min("tx_hash").alias("hash"))
 
 
 def _stream(spark, d):
@@ -92,9 +108,13 @@ def t2_log_subscription(spark, d):
     return _drained(spark, follow.subscribed(_stream(spark, d), (F.col("topic0") == "click") & F.col("emitter").isin(2, 4, 6) & (F.col("k") > 0)), "logs").select("txnum", "emitter")
 
 
-@query("SELECT event_id txnum FROM events WHERE event_type = 'purchase'")
+@query("SELECT height, tx_hash FROM txs", **one)
 def t3_accepted_transactions(spark, d):
-    return _drained(spark, _stream(spark, d).where("topic0 = 'purchase'").select("txnum"), "accepted")
+    """Transactions of the blocks that have any, out of a stream of landed blocks."""
+    landing = shared_uri(spark, "landed")
+    rows = ledger.assembled(B.blocks(spark, d), B.txs(spark, d)).select("height", "hash", "parent_hash", F.col("hashes").alias("tx_hashes"))
+    rows.repartitionByRange(4, "height").write.parquet(landing)
+    return _drained(spark, follow.accepted(follow.landed(spark, landing, rows.schema)), "accepted")
 
 
 @query("SELECT event_id txnum FROM events WHERE false")
@@ -115,46 +135,64 @@ def uint256_sums(spark, d):
     return sums.select("height", encoding.as_decimal(F.col("total")).cast("long").alias("total"), "overflow")
 
 
-@query("""SELECT txnum, concat('{"hash":"0x', tx_hash, '","blockNumber":"0x', lower(to_hex(height)), '","transactionIndex":"0x', lower(to_hex(tx_index)), '","gas":"0x32","type":"0x2"}') json FROM txs""", **one)
+wired = {"ctes": B.LEDGER_SQL.rstrip() + ",\n" + B.WIRE_SQL.strip()}
+
+
+@query("SELECT txnum, json FROM wire", **wired)
 def f12_transaction_json(spark, d):
-    fields = F.struct(F.concat(F.lit("0x"), "tx_hash").alias("hash"), encoding.quantity(F.col("height")).alias("blockNumber"), encoding.quantity(F.col("tx_index")).alias("transactionIndex"), encoding.quantity(F.col("gas_limit")).alias("gas"), F.lit("0x2").alias("type"))
-    return B.txs(spark, d).select("txnum", F.to_json(fields).alias("json"))
+    return B.typed_txs(spark, d).select("txnum", F.to_json(wire.transaction()).alias("json"))
+
+
+HEAD_SQL = """concat('{"number":"0x', lower(to_hex(b.height)), '","hash":"0x', b.hash, '","parentHash":"0x', b.parent_hash, '","gasUsed":"0x', lower(to_hex(b.gas_used)), '","gasLimit":"0x', lower(to_hex(b.gas_limit)), '"', CASE WHEN b.height >= 50 THEN concat(',"baseFeePerGas":"0x', lower(to_hex(b.base_fee)), '"') ELSE '' END, CASE WHEN b.height < 1000 THEN concat(',"totalDifficulty":"0x', lower(to_hex(b.height + 1)), '"') ELSE '' END, CASE WHEN b.height >= 1200 THEN ',"blobGasUsed":"0x0"' ELSE '' END"""
 
 
-@query("""SELECT height, concat('{"number":"0x', lower(to_hex(height)), '","hash":"0x', hash, '","parentHash":"0x', parent_hash, '","gasUsed":"0x', lower(to_hex(gas_used)), '"}') json FROM blocks""", **one)
+def _later_fields():
+    """Fields that blocks have from a height on, or up to one."""
+    h = F.col("height")
+    return {"baseFeePerGas": F.when(h >= 50, encoding.quantity(F.col("base_fee"))), "totalDifficulty": F.when(h < 1000, encoding.quantity(h + 1)), "blobGasUsed": F.when(h >= 1200, F.lit("0x0"))}
+
+
+@query(f"SELECT b.height, {HEAD_SQL}, '}}') json FROM blocks b", **wired)
 def f13_block_json(spark, d):
-    fields = F.struct(encoding.quantity(F.col("height")).alias("number"), F.concat(F.lit("0x"), "hash").alias("hash"), F.concat(F.lit("0x"), "parent_hash").alias("parentHash"), encoding.quantity(F.col("gas_used")).alias("gasUsed"))
-    return B.blocks(spark, d).select("height", F.to_json(fields).alias("json"))
+    return B.blocks(spark, d).select("height", F.to_json(wire.header(_later_fields())).alias("json"))
+
 
+@query(f"""SELECT b.height, {HEAD_SQL}, ',"transactions":[', coalesce(string_agg(CASE WHEN b.height % 2 = 0 THEN w.json ELSE concat('"0x', w.tx_hash, '"') END, ',' ORDER BY w.tx_index), ''), ']}}') json FROM blocks b LEFT JOIN wire w ON w.height = b.height WHERE b.height BETWEEN 40 AND 90 GROUP BY b.height, b.hash, b.parent_hash, b.gas_used, b.gas_limit, b.base_fee""", **wired)
+def p12_blocks_with_transactions(spark, d):
+    """Even blocks with whole transactions, odd ones with hashes."""
+    part = lambda df: ledger.rows_between(df, "height", 40, 90)
+    return wire.block(part(B.blocks(spark, d)), part(B.typed_txs(spark, d)), F.col("height") % 2 == 0, _later_fields())
 
-@query("""SELECT txnum, concat('{"transactionHash":"0x', tx_hash, '","status":"0x', status, '","gasUsed":"0x', lower(to_hex(gas_used)), '","logs":[]}') json FROM txs""", **one)
+
+@query("""SELECT txnum, concat('{"transactionHash":"0x', tx_hash, '","transactionIndex":"', ti, '","blockHash":"0x', block_hash, '","blockNumber":"', bn, '","from":"c:', sender, '",', dest, CASE WHEN txnum % 50 = 0 THEN concat('"contractAddress":"n:', txnum, '",') ELSE '' END,
+'"type":"0x', kind, '",', CASE WHEN height < 100 THEN concat('"root":"0x', sha256(concat('r', txnum)), '"') ELSE concat('"status":"0x', status, '"') END, ',"gasUsed":"0x', lower(to_hex(gas_used)), '","cumulativeGasUsed":"0x', lower(to_hex(cumulative)), '","effectiveGasPrice":"0x', lower(to_hex(paid)), '","logs":[',
+CASE WHEN tx_index % 2 = 0 THEN concat('{"address":"p:', emitter, '","topics":["t:', txnum % 3, '"],"logIndex":"0x0"}') ELSE '' END, ']}') json FROM w""", **wired)
 def f14_receipt_json(spark, d):
-    rows = ledger.receipts(B.txs(spark, d), B.blocks(spark, d))
-    fields = F.struct(F.concat(F.lit("0x"), "tx_hash").alias("transactionHash"), encoding.quantity(F.col("status")).alias("status"), encoding.quantity(F.col("gas_used")).alias("gasUsed"), F.array().cast("array<string>").alias("logs"))
-    return rows.select("txnum", F.to_json(fields).alias("json"))
+    own = B.typed_txs(spark, d).join(ledger.receipts(B.txs(spark, d), B.blocks(spark, d)).select("txnum", "cumulative_gas"), "txnum")
+    return own.select("txnum", F.to_json(wire.receipt()).alias("json"))
 
 
-@query("SELECT * FROM (VALUES ('latest'), ('earliest'), ('0x10'), ('77')) t(tag) JOIN LATERAL (SELECT CASE tag WHEN 'latest' THEN (SELECT max(o_orderkey) FROM orders) WHEN 'earliest' THEN 0 WHEN '0x10' THEN 16 ELSE 77 END height) ON true")
+@query("SELECT * FROM (VALUES ('latest'), ('pending'), ('safe'), ('finalized'), (''), ('earliest'), ('0x10'), ('77'), ('0xffffffff'), ('99999999'), (concat('0x', sha256('b321'))), (sha256('b12')), (sha256('nothing'))) t(tag) JOIN LATERAL (SELECT CASE WHEN tag IN ('latest', 'pending', 'safe', 'finalized', '') THEN (SELECT max(o_orderkey) FROM orders) WHEN tag = 'earliest' THEN 0 WHEN tag = '0x10' THEN 16 WHEN tag = '77' THEN 77 WHEN length(tag) = 66 THEN 321 WHEN tag = sha256('b12') THEN 12 END height) ON true")
 def p9_tags(spark, d):
-    blocks = B.blocks(spark, d).select("height", "hash")
-    named = [("latest", "latest"), ("earliest", "earliest"), ("0x10", "0x10"), ("77", 77)]
-    return spark.createDataFrame([(name, tags.height_of_tag(blocks, tag)) for name, tag in named], "tag string, height long")
+    names = [("latest",), ("pending",), ("safe",), ("finalized",), ("",), ("earliest",), ("0x10",), ("77",), ("0xffffffff",), ("99999999",)]
+    asked = spark.createDataFrame(names, "tag string").union(spark.range(1).select(F.explode(F.array(F.concat(F.lit("0x"), F.sha2(F.lit("b321"), 256)), F.sha2(F.lit("b12"), 256), F.sha2(F.lit("nothing"), 256)))))
+    return tags.heights(B.blocks(spark, d).select("height", "hash"), asked)
 
 
-@query()
+@query("""SELECT * FROM (VALUES ('eth_call', 'no virtual machine'), ('eth_callDetailed', 'no virtual machine'), ('eth_estimateGas', 'no virtual machine'), ('eth_createAccessList', 'no virtual machine'), ('debug_traceCall', 'no virtual machine'), ('eth_getProof', 'no proofs are stored'),
+('debug_dumpBlock', 'no state dump'), ('debug_accountRange', 'no state dump'), ('debug_storageRangeAt', 'no state dump'), ('debug_intermediateRoots', 'no state dump'), ('debug_preimage', 'no preimages'), ('debug_traceBadBlock', 'no bad blocks'), ('debug_traceChain', 'no chain trace'),
+('eth_sendRawTransaction', 'read-only'), ('eth_sendTransaction', 'read-only'), ('eth_fillTransaction', 'read-only'), ('eth_resend', 'read-only'), ('eth_sign', 'no keys'), ('eth_signTransaction', 'no keys'),
+('personal_*', 'no keys'), ('miner_*', 'nothing is mined'), ('admin_*', 'no node to administer'), ('les_*', 'no light clients'), ('clique_*', 'other consensus'), ('ethash_*', 'other consensus')) t(method, reason)""")
 def q22_refusals(spark, d):
     return tags.refusals(spark)
 
 
 @query()
 def a14_block_blooms(spark, d):
-    """A bloom of every block's emitters: three bits each, OR-ed, 2048 in all."""
-    own = B.txs(spark, d).select("height", F.col("emitter").cast("string").alias("item")).distinct()
-
-    def bloom(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"height": rows["height"].head(1), "bloom": [receipts.bloom([x.encode() for x in rows["item"]]).hex()]})
-
-    return own.groupBy("height").applyInPandas(bloom, "height long, bloom string")
+    """A bloom of every block's emitters and topics, three bits each, OR-ed, 2048 in all: each distinct item is hashed once."""
+    own = B.typed_txs(spark, d)
+    items = own.select("height", F.explode(F.flatten(F.transform("logs", lambda x: F.concat(F.array(x["address"]), x["topics"])))).alias("item")).distinct()
+    return receipts.blooms(items, "height", "item").select("height", F.hex("bloom").alias("bloom"))
 
 
 @query()
@@ -171,16 +209,15 @@ def a15_transaction_roots(spark, d):
 
 @query("SELECT DISTINCT t0 topic0, n topics FROM logs", **many)
 def topic_counts(spark, d):
-    logs = B.logs(spark, d, multi=True)
-    return L.elog(logs.where("false")).selectExpr("topic0", "cast(null as int) topics").union(logs.select(F.get("topics", F.lit(0)), F.size("topics"))).distinct()
+    return B.logs(spark, d, multi=True).select(F.get("topics", F.lit(0)).alias("topic0"), F.size("topics").alias("topics")).distinct()
 
 
-@query("SELECT b.height, b.first_tx, CASE WHEN e.tx_count = 0 THEN e.first_tx - 1 ELSE e.boundary_tx - 1 END last_tx FROM blocks b JOIN blocks e ON e.height = b.height + 9 WHERE b.height % 100 = 0", **one)
+@query("SELECT b.height, b.first_tx, CASE WHEN e.tx_count = 0 THEN e.first_tx - 1 ELSE e.boundary_tx - 1 END last_tx FROM blocks b JOIN blocks e ON e.height = b.height + 9", **one)
 def q3_block_ranges(spark, d):
-    """The slots of transactions of ten blocks from every hundredth on; an empty last block ends one below."""
+    """The slots of transactions of the ten blocks from each on; an empty last block ends one below."""
     b = B.blocks(spark, d)
     ends = b.select((F.col("height") - 9).alias("height"), F.when(F.col("tx_count") == 0, F.col("first_tx") - 1).otherwise(F.col("boundary_tx") - 1).alias("last_tx"))
-    return b.where("height % 100 = 0").join(ends, "height").select("height", "first_tx", "last_tx")
+    return b.join(ends, "height").select("height", "first_tx", "last_tx")
 
 
 @query("SELECT emitter, upper(printf('%064x', emitter)) topic, emitter address FROM (SELECT DISTINCT emitter FROM logs)", **many)
@@ -213,14 +250,19 @@ def j7_q24_state_bundle(spark, d):
     return own.join(nonces, "addr", "left").join(codes, "code_hash", "left").select("addr", "balance", F.coalesce("nonce", F.lit(0)).alias("nonce"), "code")
 
 
-@query("SELECT token, standard, row_number() OVER (ORDER BY CASE standard WHEN 'erc20' THEN 0 WHEN 'erc721' THEN 1 ELSE 2 END, token) - 1 place FROM (SELECT DISTINCT emitter token, CASE WHEN t0 = 'error' THEN 'erc1155' WHEN n = 3 THEN 'erc20' ELSE 'erc721' END standard FROM logs WHERE emitter < 12 AND ((t0 IN ('click', 'purchase') AND n IN (3, 4)) OR (t0 = 'error' AND n = 4)))", **many)
+TOKENS = "u AS (SELECT DISTINCT h holder, emitter token, CASE WHEN t0 = 'error' THEN 'erc1155' WHEN n = 3 THEN 'erc20' ELSE 'erc721' END standard FROM (SELECT t1 h, * FROM logs WHERE t0 IN ('click', 'purchase') AND n IN (3, 4) UNION ALL SELECT t2 h, * FROM logs WHERE (t0 IN ('click', 'purchase') AND n IN (3, 4)) OR (t0 = 'error' AND n = 4) UNION ALL SELECT t3 h, * FROM logs WHERE t0 = 'error' AND n = 4))"
+
+
+@query("SELECT holder, token, standard, row_number() OVER (PARTITION BY holder ORDER BY CASE standard WHEN 'erc20' THEN 0 WHEN 'erc721' THEN 1 ELSE 2 END, token) - 1 place FROM u", ctes=B.MULTI_SQL.rstrip() + ",\n" + TOKENS)
 def k7_sorted_tokens(spark, d):
-    named = B.logs(spark, d, multi=True).where("emitter < 12").withColumn("standard", L.standard_of(B.TRANSFER, B.MULTI)).where("standard is not null")
+    """Every holder's tokens in order of standard, then token; places are counted in buckets of tokens, so that no holder is ranked in one task."""
+    spots = B.log_corpus(spark, d, multi=True).read(family="tval")
+    named = spots.withColumn("standard", L.standard_of_spot(B.TRANSFER, B.MULTI))
+    bits = F.col("pos").bitwiseAND(F.when(F.col("standard") == "erc1155", 0b110).otherwise(0b011)) != 0
+    own = named.where(bits & F.col("standard").isNotNull()).select(F.col("value").alias("holder"), F.col("emitter").alias("token"), "standard").distinct()
     rank = F.when(F.col("standard") == "erc20", 0).when(F.col("standard") == "erc721", 1).otherwise(2)
-    from pyspark.sql import Window
-
-    listed = named.select(F.col("emitter").alias("token"), "standard").distinct()
-    return listed.withColumn("place", F.row_number().over(Window.orderBy(rank, "token")) - 1)  # tokens of one holder
+    ordered = own.withColumn("_order", rank.cast("long") * (1 << 40) + F.col("token"))
+    return running_sum(ordered, "_order", F.lit(1), "place", keys=["holder"]).select("holder", "token", "standard", F.col("place").cast("long").alias("place"))
 
 
 @query("SELECT user_id category, count(*) queries, count(*) FILTER (WHERE event_type = 'error') mismatches, count(*) FILTER (WHERE event_type = 'signup') skipped FROM events GROUP BY 1")
@@ -240,25 +282,29 @@ def t1_new_heads(spark, d):
 @query("SELECT txnum, height FROM txs", **one)
 def s10_window_and_runs(spark, d):
     """Rows of the runs and of the window that isn't flushed yet, as every read sees them."""
-    rows = written(B.txs(spark, d).select("txnum", "height"), "txs")
-    blocks = written(B.blocks(spark, d), "blocks")
+    rows = B.txs(spark, d).select("txnum", "height")
     corpus = runs.Corpus(spark, shared_uri(spark, "corpus"), "root")
-    cuts = _cuts(blocks, 4 * SLOTS, 4 * BLOCKS)
+    cuts, _ = _spans(B.blocks(spark, d))
     if not cuts:
         return rows
     corpus.flush(rows, cuts[0])
     return corpus.read().unionByName(rows.where(F.col("txnum") >= cuts[0][1]))
 
 
-@query("SELECT true tiled, true counted, true same", **one)
+@query("SELECT count(*) rows, cast(sum(txnum) AS bigint) slots, cast(sum(height) AS bigint) heights, count(DISTINCT tx_hash) hashes, 0 from_tx, (SELECT max(boundary_tx) + 1 FROM blocks) to_tx, (SELECT max(height) FROM blocks) to_height FROM txs", **one)
 def v8_v9_v10_runs_verified(spark, d):
-    """Tiling, row counts and contents of the merged corpus against the rows that went in."""
+    """What the manifest of the merged corpus says and what its runs hold, after tiling and contents have been checked."""
     corpus = _corpus(spark, d)
     kept = corpus.runs()
     runs.check_tiling(kept)
-    name, n = runs.content_name(corpus.read().select("txnum", "height", "tx_hash"))
+    corpus.present(kept)
+    rows = corpus.read()
+    name, n = runs.content_name(rows.select("txnum", "height", "tx_hash"))
     want, total = runs.content_name(B.txs(spark, d).select("txnum", "height", "tx_hash"))
-    return spark.createDataFrame([(True, n == total == sum(r.rows for r in kept), name == want)], "tiled boolean, counted boolean, same boolean")
+    if name != want or n != total or n != sum(r.rows for r in kept):
+        raise ValueError("the merged runs aren't what went in")
+    read = rows.agg(F.count("*").alias("rows"), F.sum("txnum").alias("slots"), F.sum("height").alias("heights"), F.count_distinct("tx_hash").alias("hashes"))
+    return read.select("*", F.lit(kept[0].from_tx).alias("from_tx"), F.lit(kept[-1].to_tx).alias("to_tx"), F.lit(kept[-1].to_height).alias("to_height"))
 
 
 @query("SELECT o_orderstatus, o_orderpriority, count(*) n, cast(sum(tx_count) AS bigint) txs FROM blocks JOIN orders ON o_orderkey = height GROUP BY ROLLUP (o_orderstatus, o_orderpriority)", **one)

@@ -18,6 +18,16 @@ REFUSED = {
     "read-only": ("eth_sendRawTransaction", "eth_sendTransaction", "eth_fillTransaction", "eth_resend"),
     "no keys": ("eth_sign", "eth_signTransaction"),
 }
+#: fixed values: namespaces of which nothing is served, by reason
+CLOSED = {"personal": "no keys", "miner": "nothing is mined", "admin": "no node to administer", "les": "no light clients", "clique": "other consensus", "ethash": "other consensus"}
+
+
+class Refused(NotImplementedError):
+    """Known, and never answered here."""
+
+
+class UnknownMethod(NotImplementedError):
+    """A name that means nothing here."""
 
 
 class UnknownBlock(LookupError):
@@ -32,6 +42,8 @@ def height_of_tag(blocks: DataFrame, tag) -> int:
     if isinstance(tag, dict):
         if ("blockNumber" in tag) == ("blockHash" in tag):
             raise ValueError("either blockNumber or blockHash")
+        if not isinstance(tag.get("requireCanonical", False), bool):
+            raise ValueError("requireCanonical is a boolean")  # every stored block is canonical
         tag = tag.get("blockNumber", tag.get("blockHash"))
     if tag in NEWEST:
         return top
@@ -48,12 +60,26 @@ def height_of_tag(blocks: DataFrame, tag) -> int:
     return number
 
 
+def heights(blocks: DataFrame, asked: DataFrame) -> DataFrame:
+    """tag and height of each tag asked (a name, a number, a 0x quantity or a hash), null for one that names no block, in one plan."""
+    top = F.broadcast(blocks.agg(F.max("height").alias("top")))
+    bare = F.regexp_replace(F.col("tag"), "^0x", "")
+    is_hash = F.length(bare) == 64
+    number = F.when(F.coalesce(F.col("tag"), F.lit("")).isin([t for t in NEWEST if t is not None]), F.col("top")).when(F.col("tag") == "earliest", F.lit(0)).when(F.col("tag").rlike("^0x[0-9a-fA-F]{1,15}$"), F.conv(bare, 16, 10).cast("long")).when(F.col("tag").rlike("^[0-9]{1,18}$"), F.col("tag").cast("long"))
+    named = asked.crossJoin(top).withColumns({"number": F.when(~is_hash | F.col("tag").isNull(), number), "digest": F.when(is_hash, F.lower(bare))})
+    found = named.join(blocks.select(F.col("height").alias("_height"), F.col("hash").alias("_hash")), F.col("digest") == F.col("_hash"), "left")
+    return found.select("tag", F.coalesce(F.when(F.col("number") <= F.col("top"), F.col("number")), "_height").alias("height"))
+
+
 def refusals(spark: SparkSession) -> DataFrame:
-    """method, reason: one row for each method that is refused."""
-    return spark.createDataFrame([(m, why) for why, names in REFUSED.items() for m in names], "method string, reason string")
+    """method, reason: one row for each method and namespace that is refused."""
+    rows = [(m, why) for why, names in REFUSED.items() for m in names] + [(f"{n}_*", why) for n, why in CLOSED.items()]
+    return spark.createDataFrame(rows, "method string, reason string")
 
 
 def refuse(method: str) -> None:
     for why, names in REFUSED.items():
         if method in names:
-            raise NotImplementedError(f"{method}: {why}")
+            raise Refused(f"{method}: {why}")
+    if (why := CLOSED.get(method.split("_")[0])) and "_" in method:
+        raise Refused(f"{method}: {why}")

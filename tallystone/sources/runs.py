@@ -1,27 +1,51 @@
 """Runs: immutable Parquet pieces of the ledger behind a manifest.
 
-A run holds every table's rows of a span of slots, sorted. The manifest lists runs in
-order, tiling the slots without a gap; it is replaced whole, by a rename. Level 0 runs are
-flushed from the window; merging the oldest of them gives a terminal run, which is never
-merged again. Only terminal runs are published.
+A run holds the rows of a span of slots, a folder for each family (blocks, transactions,
+postings, ...), each sorted by its own key, so that files, row groups and pages are skipped
+by their statistics. The manifest lists runs in order, tiling the slots without a gap. Level
+0 runs are flushed from the window; merging the oldest of them gives a terminal run, which
+is never merged again. Only terminal runs are published.
+
+Manifests are numbered and never changed. Who commits claims the next number by creating a
+file that must not be there, so that of two writers that have read the same manifest one
+fails. A reader holds the manifest that it has read (a snapshot): merged runs are deleted
+when no snapshot of this process holds them. A writer that dies leaves folders that no
+manifest names; `sweep` deletes them. A published folder has a pointer, written last, and
+each run a footer, by which `join` walks back to the first.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import uuid
-from dataclasses import asdict, dataclass
+from collections import Counter
+from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-VERSION = 1
+from tallystone.operators.scaling import holding_range
+
+VERSION = 2
 FLUSH_SLOTS, FLUSH_BLOCKS, TERMINAL_SLOTS = 500_000, 50_000, 8_000_000
+ROWS = "rows"  # the family of a corpus that has one table
+FILE_ROWS = 2_000_000
+FAN_OUT = 32
+#: the key that a family is sorted by; others go by slot
+ORDER = {"blocks": ["height"], "txs": ["txnum"], "hashes": ["digest"], "postings": ["addr", "txnum"], "elog": ["emitter", "topic0", "txnum"], "tval": ["value", "topic0", "txnum"], "sig": ["topic0", "txnum"], "set": ["topic0", "value", "pos", "emitter"], "state": ["addr", "slot", "txnum"]}
+
+
+class Conflict(RuntimeError):
+    """Another writer has committed since the manifest was read."""
 
 
 @dataclass(frozen=True)
 class Run:
-    """from_tx to to_tx (exclusive), from_height to to_height (inclusive)."""
+    """from_tx to to_tx (exclusive), from_height to to_height (inclusive); families: name, rows and bytes of each."""
 
     name: str
     level: int
@@ -31,6 +55,39 @@ class Run:
     to_height: int
     rows: int
     previous: str
+    path: str = ""
+    families: tuple[tuple[str, int, int], ...] = ()
+
+    @classmethod
+    def of(cls, kept: dict) -> Run:
+        return cls(**(kept | {"families": tuple(tuple(f) for f in kept["families"])}))
+
+
+def run_cuts(blocks: DataFrame, slots: int = FLUSH_SLOTS, most_blocks: int = FLUSH_BLOCKS) -> DataFrame:
+    """from_tx, to_tx, from_height, to_height of every full run from block 0 on.
+
+    A run ends with the block that fills its slots or its blocks. Where a run from each block
+    would end is one join on the slot that fills it; the runs from block 0 are found by
+    doubling jumps: as many joins as the number of runs has binary digits.
+    """
+    from tallystone.sources.shared import written
+
+    b = written(blocks.select("height", "first_tx", "boundary_tx"), "cut-blocks")
+    full = b.select("height", (F.col("first_tx") + (slots - 1)).alias("point"))
+    by_slots = holding_range(full.withColumnRenamed("height", "start"), "point", b, "first_tx", "boundary_tx").select(F.col("start"), F.col("height").alias("edge"))
+    by_blocks = b.select((F.col("height") - (most_blocks - 1)).alias("start"), F.col("height").alias("edge"))
+    jumps = written(by_slots.union(by_blocks).where("start >= 0").groupBy("start").agg((F.min("edge") + 1).alias("next")), "jumps")
+    ends, reached = jumps, written(b.agg(F.min("height").alias("start")).where("start = 0"), "starts")
+    while True:
+        more = reached.join(jumps, "start").select(F.col("next").alias("start")).join(reached, "start", "left_anti")
+        both = written(reached.union(more), "starts")
+        if both.count() == reached.count():
+            break
+        reached = both
+        jumps = written(jumps.join(jumps.select(F.col("start").alias("next"), F.col("next").alias("after")), "next").select("start", F.col("after").alias("next")), "jumps")
+    runs = reached.join(ends, "start").select(F.col("start").alias("from_height"), (F.col("next") - 1).alias("to_height"))
+    first, last = b.select(F.col("height").alias("from_height"), F.col("first_tx").alias("from_tx")), b.select(F.col("height").alias("to_height"), (F.col("boundary_tx") + 1).alias("to_tx"))
+    return runs.join(first, "from_height").join(last, "to_height").select("from_tx", "to_tx", "from_height", "to_height")
 
 
 def next_edge(blocks: DataFrame, start_height: int, slots: int = FLUSH_SLOTS, most_blocks: int = FLUSH_BLOCKS) -> tuple[int, int, int] | None:
@@ -65,14 +122,24 @@ def check_tiling(runs: list[Run]) -> None:
             raise ValueError(f"{b.name} names {b.previous} as the run before, not {a.name}")
 
 
+def _content(columns: list[str]) -> list[Column]:
+    return [F.count("*").alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("s"), F.bit_xor(F.xxhash64(F.lit(1), *columns)).alias("x")]
+
+
+def _name(n: int, total, mixed: int | None) -> str:
+    return f"{n:x}-{int(total or 0) % (1 << 64):016x}{(mixed or 0) % (1 << 64):016x}"
+
+
 def content_name(df: DataFrame) -> tuple[str, int]:
     """A name from the rows, whatever their order and files, and their number."""
-    both = df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit(1), *df.columns))).head()
-    return f"{both[0]:x}-{int(both[1] or 0) % (1 << 64):016x}{(both[2] or 0) % (1 << 64):016x}", both[0]
+    n, total, mixed = df.agg(*_content(df.columns)).head()
+    return _name(n, total, mixed), n
 
 
 class Corpus:
-    """Runs of one table under a folder that the whole cluster reaches."""
+    """Runs of one or more tables under a folder that the whole cluster reaches."""
+
+    pins: Counter = Counter()  # snapshots of this process, by run folder
 
     def __init__(self, spark: SparkSession, folder: str, chain_root: str = "") -> None:
         from pyarrow import fs
@@ -80,73 +147,250 @@ class Corpus:
         self.spark, self.folder, self.chain_root = spark, folder.rstrip("/"), chain_root
         self.fs, self.path = fs.FileSystem.from_uri(self.folder if "://" in folder or folder.startswith("file:") else "file://" + self.folder)
 
-    def runs(self) -> list[Run]:
+    # small files
+
+    def _names(self, pattern: str) -> list[str]:
         from pyarrow import fs
 
-        if self.fs.get_file_info(f"{self.path}/manifest.json").type == fs.FileType.NotFound:
+        found = self.fs.get_file_info(fs.FileSelector(self.path, allow_not_found=True))
+        return sorted(f.base_name for f in found if re.fullmatch(pattern, f.base_name))
+
+    def _get(self, name: str) -> dict:
+        with self.fs.open_input_stream(f"{self.path}/{name}") as f:
+            return json.loads(f.read())
+
+    def _put(self, name: str, what: dict) -> None:
+        own = f"{self.path}/{name}.{uuid.uuid4().hex}"
+        with self.fs.open_output_stream(own) as f:
+            f.write(json.dumps(what).encode())
+        self.fs.move(own, f"{self.path}/{name}")
+
+    def _claim(self, name: str) -> bool:
+        """Creates an empty file; False if it is there."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).createNewFile(path)
+
+    # manifests
+
+    def generation(self) -> int:
+        """Number of the newest manifest, 0 of none."""
+        return max((int(n[9:17]) for n in self._names(r"manifest-\d{8}\.json")), default=0)
+
+    def runs(self, generation: int | None = None) -> list[Run]:
+        at = self.generation() if generation is None else generation
+        if not at:
             return []
-        with self.fs.open_input_stream(f"{self.path}/manifest.json") as f:
-            kept = json.loads(f.read())
+        kept = self._get(f"manifest-{at:08d}.json")
         if kept["version"] != VERSION or kept["chain_root"] != self.chain_root:
             raise ValueError("the manifest is of another version or chain")
-        out = [Run(**r) for r in kept["runs"]]
+        out = [Run.of(r) for r in kept["runs"]]
         check_tiling(out)
         return out
 
-    def commit(self, runs: list[Run]) -> None:
+    def commit(self, runs: list[Run], seen: int) -> int:
+        """Replace the manifest of that number by one of these runs; a Conflict if it isn't the newest any more."""
         check_tiling(runs)
         self.fs.create_dir(self.path)
-        own = f"{self.path}/manifest.{uuid.uuid4().hex}"
-        with self.fs.open_output_stream(own) as f:
-            f.write(json.dumps({"version": VERSION, "chain_root": self.chain_root, "runs": [asdict(r) for r in runs]}).encode())
-        self.fs.move(own, f"{self.path}/manifest.json")
-
-    def _write(self, rows: DataFrame, level: int, span: tuple[int, int, int, int], previous: str) -> Run:
-        name, n = content_name(rows)
-        name = f"run-{span[0]:012d}-{name}"
-        rows.repartitionByRange(max(1, n // 2_000_000), "txnum").sortWithinPartitions("txnum").write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/{name}")
-        return Run(name, level, *span, n, previous)
-
-    def flush(self, window: DataFrame, span: tuple[int, int, int, int]) -> Run:
-        """Append the window's rows as a level 0 run: from_tx, to_tx, from_height, to_height."""
-        runs = self.runs()
-        run = self._write(window.where((F.col("txnum") >= span[0]) & (F.col("txnum") < span[1])), 0, span, runs[-1].name if runs else "")
-        self.commit([*runs, run])
+        if self.generation() != seen or not self._claim(f"claim-{seen + 1:08d}"):
+            raise Conflict(f"manifest {seen + 1} is another writer's")
+        self._put(f"manifest-{seen + 1:08d}.json", {"version": VERSION, "chain_root": self.chain_root, "runs": [asdict(r) for r in runs]})
+        return seen + 1
+
+    @contextmanager
+    def snapshot(self) -> Iterator[list[Run]]:
+        """The runs of the newest manifest, whose folders stay until the block ends."""
+        own = self.runs()
+        Corpus.pins.update(f"{self.path}/{r.path}" for r in own)
+        try:
+            yield own
+        finally:
+            Corpus.pins.subtract(f"{self.path}/{r.path}" for r in own)
+
+    def retire(self, old: list[Run]) -> list[str]:
+        """Deletes the folders of runs that the newest manifest doesn't name and no snapshot holds."""
+        kept, gone = {r.path for r in self.runs()}, []
+        for run in old:
+            if run.path not in kept and Corpus.pins[f"{self.path}/{run.path}"] <= 0:
+                self.fs.delete_dir(f"{self.path}/{run.path}")
+                gone.append(run.path)
+        return gone
+
+    def sweep(self) -> list[str]:
+        """What a writer that died has left: claims without a manifest, and folders that no manifest names. For the only writer."""
+        top = self.generation()
+        for name in self._names(r"claim-\d{8}"):
+            if int(name[6:]) > top:
+                self.fs.delete_file(f"{self.path}/{name}")
+        kept, gone = {r.path.split("/")[0] for r in self.runs()}, []
+        for name in self._names(r"run-.*|batch-.*"):
+            if name not in kept and not any(n > 0 and p.startswith(f"{self.path}/{name}") for p, n in Corpus.pins.items()):
+                self.fs.delete_dir(f"{self.path}/{name}")
+                gone.append(name)
+        return gone
+
+    # writing
+
+    def _bytes(self, path: str) -> int:
+        from pyarrow import fs
+
+        found = self.fs.get_file_info(fs.FileSelector(f"{self.path}/{path}", recursive=True, allow_not_found=True))
+        return sum(f.size for f in found if f.base_name.endswith(".parquet"))
+
+    def _footer(self, run: Run) -> Run:
+        self._put(f"{run.path}/_footer.json", asdict(run))
+        return run
+
+    def _write(self, tables: dict[str, DataFrame], level: int, span: tuple[int, int, int, int], previous: str) -> Run:
+        """Writes a run's families, each sorted by its key, then its footer."""
+        path, named, families = f"run-{span[0]:012d}-{uuid.uuid4().hex[:12]}", [], []
+        for family, rows in tables.items():
+            own, n = content_name(rows)
+            order = ORDER.get(family, ["txnum"])
+            ranged = rows.repartitionByRange(max(1, -(-n // FILE_ROWS)), *order).sortWithinPartitions(*order)
+            ranged.write.option("compression", "zstd").option("parquet.block.size", 1 << 23).parquet(f"{self.folder}/{path}/{family}")
+            named.append(own)
+            families.append((family, n, self._bytes(f"{path}/{family}")))
+        name = f"run-{span[0]:012d}-{'-'.join(named)}"
+        return self._footer(Run(name, level, *span, sum(f[1] for f in families), previous, path, tuple(families)))
+
+    def flush(self, window: DataFrame | dict[str, DataFrame], span: tuple[int, int, int, int], level: int = 0) -> Run:
+        """Append the window's rows of a span, every family in one run: from_tx, to_tx, from_height, to_height."""
+        seen = self.generation()
+        runs = self.runs(seen)
+        inside = (F.col("txnum") >= span[0]) & (F.col("txnum") < span[1])
+        tables = window if isinstance(window, dict) else {ROWS: window}
+        run = self._write({k: t.where(inside) for k, t in tables.items()}, level, span, runs[-1].name if runs else "")
+        self.commit([*runs, run], seen)
         return run
 
+    def flush_all(self, rows: DataFrame, spans: list[tuple[int, int, int, int]]) -> list[Run]:
+        """Append many runs of one table at once: one pass names them, one writes them."""
+        if not spans:
+            return []
+        seen = self.generation()
+        runs, batch = self.runs(seen), f"batch-{uuid.uuid4().hex[:12]}"
+        marks = self.spark.createDataFrame([(k, s[0], s[1] - 1) for k, s in enumerate(spans)], "_run int, _from long, _to long")
+        width = max(256, min(s[1] - s[0] for s in spans))
+        placed = holding_range(rows, "txnum", marks, "_from", "_to", width).select(*rows.columns, "_run")
+        named = {r["_run"]: _name(r["n"], r["s"], r["x"]) for r in placed.groupBy("_run").agg(*_content(rows.columns)).collect()}  # a row a run
+        counts = {k: int(v.split("-")[0], 16) for k, v in named.items()}
+        order = F.struct("_run", "txnum")
+        placed.repartitionByRange(max(1, len(spans), -(-sum(counts.values()) // FILE_ROWS)), order).sortWithinPartitions("_run", "txnum").write.partitionBy("_run").option("compression", "zstd").parquet(f"{self.folder}/{batch}")
+        out = []
+        for k, span in enumerate(spans):
+            path, before = f"{batch}/_run={k}", (out or runs)[-1].name if out or runs else ""
+            n = counts.get(k, 0)
+            if not n:
+                self.fs.create_dir(f"{self.path}/{path}")
+            out.append(self._footer(Run(f"run-{span[0]:012d}-{named.get(k, _name(0, 0, 0))}", 0, *span, n, before, path, (("", n, self._bytes(path)),))))
+        self.commit([*runs, *out], seen)
+        return out
+
     def merge(self, slots: int = TERMINAL_SLOTS) -> Run | None:
-        """Merge what is due into a terminal run: write, compare, then swap the manifest."""
-        runs = self.runs()
+        """Merge what is due into a terminal run: write, compare, commit, then delete what no snapshot holds."""
+        seen = self.generation()
+        runs = self.runs(seen)
         old = mergeable(runs, slots)
         if not old:
             return None
-        rows = self.read(old)
-        run = self._write(rows, 1, (old[0].from_tx, old[-1].to_tx, old[0].from_height, old[-1].to_height), old[0].previous)
-        if run.rows != sum(r.rows for r in old) or content_name(self.read([run]))[0] not in run.name:
+        families = [f[0] or ROWS for f in old[0].families]
+        run = self._write({f: self.read(old, f) for f in families}, 1, (old[0].from_tx, old[-1].to_tx, old[0].from_height, old[-1].to_height), old[0].previous)
+        if run.rows != sum(r.rows for r in old) or any(content_name(self.read([run], f))[0] not in run.name for f in families):
             raise ValueError("the merged run isn't what it was made of")
         at = runs.index(old[0])
         rest = runs[at + len(old) :]
         if rest:
-            rest[0] = Run(**(asdict(rest[0]) | {"previous": run.name}))
-        self.commit([*runs[:at], run, *rest])
+            rest[0] = replace(rest[0], previous=run.name)
+        self.commit([*runs[:at], run, *rest], seen)
+        self.retire(old)
         return run
 
-    def read(self, runs: list[Run] | None = None) -> DataFrame:
+    # reading
+
+    def present(self, runs: list[Run]) -> None:
+        """Reads all footers at once; of several errors that of the first run is raised."""
+
+        def look(run: Run) -> Exception | None:
+            try:
+                kept = Run.of(self._get(f"{run.path}/_footer.json"))
+                return None if replace(kept, previous=run.previous) == run else ValueError(f"{run.name}: the footer says otherwise")
+            except OSError as e:
+                return e
+
+        with ThreadPoolExecutor(FAN_OUT) as pool:
+            for error in pool.map(look, runs):
+                if error:
+                    raise error
+
+    def read(self, runs: list[Run] | None = None, family: str = ROWS) -> DataFrame:
+        own = self.runs() if runs is None else runs
+        paths = [f"{self.folder}/{r.path}" + ("" if r.families[0][0] == "" else f"/{family}") for r in own if any(f[0] in ("", family) and f[1] for f in r.families)]
+        if not paths and own:  # no row, but a schema
+            paths = [f"{self.folder}/{own[0].path}/{family}"]
+        return self.spark.read.parquet(*paths)
+
+    def scan(self, family: str = ROWS, runs: list[Run] | None = None) -> DataFrame:
+        """All rows by run, then by the family's key; a run that can't be read is an error, that of the first one."""
         own = self.runs() if runs is None else runs
-        return self.spark.read.parquet(*(f"{self.folder}/{r.name}" for r in own))
+        self.present(own)
+        return self.read(own, family).orderBy(*ORDER.get(family, ["txnum"]))
 
-    def at_slots(self, first: int, last: int) -> DataFrame:
+    def at_slots(self, first: int, last: int, family: str = ROWS) -> DataFrame:
         """Rows of a slot range: runs outside it aren't even listed."""
         own = [r for r in self.runs() if r.from_tx <= last and first < r.to_tx]
-        return self.read(own).where(F.col("txnum").between(first, last))
+        return self.read(own, family).where(F.col("txnum").between(first, last))
+
+    def sizes(self) -> DataFrame:
+        """level, family, runs, rows and bytes out of the manifest."""
+        rows = [(r.level, f or ROWS, n, size) for r in self.runs() for f, n, size in r.families]
+        kept = self.spark.createDataFrame(rows, "level int, family string, rows long, bytes long")
+        return kept.groupBy("level", "family").agg(F.count("*").alias("runs"), F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes"))
+
+    # publishing
 
     def publish(self, folder: str) -> list[Run]:
-        """Copy terminal runs that aren't there yet, then the manifest of them."""
+        """Copy terminal runs that aren't there yet, each with its footer, then a manifest, then the pointer to it."""
         other = Corpus(self.spark, folder, self.chain_root)
-        terminal = [r for r in self.runs() if r.level]
-        there = {r.name for r in other.runs()}
+        terminal, previous = [], ""
+        for run in self.runs():
+            if not run.level:
+                break
+            terminal.append(replace(run, previous=previous))
+            previous = run.name
+        seen = other.generation()
+        there = {r.name for r in other.runs(seen)}
         for run in terminal:
             if run.name not in there:
-                self.read([run]).write.mode("overwrite").option("compression", "zstd").parquet(f"{other.folder}/{run.name}")
-        other.commit(terminal)
+                for family, _, _ in run.families:
+                    self.read([run], family).sortWithinPartitions(*ORDER.get(family, ["txnum"])).write.mode("overwrite").option("compression", "zstd").parquet(f"{other.folder}/{run.path}/{family}")
+                other._footer(run)
+        if [r.name for r in other.runs(seen)] != [r.name for r in terminal]:
+            seen = other.commit(terminal, seen)
+        other.fs.create_dir(other.path)
+        other._put("current.json", {"version": VERSION, "chain_root": self.chain_root, "manifest": seen})
         return terminal
+
+    def join(self) -> list[Run]:
+        """The runs of a published folder: from the pointer to its manifest, and by the footers back to the first run.
+
+        Refused: a folder with runs but without a pointer, another version or chain, a gap, a
+        footer that is missing or says otherwise, a link to another run than the one before.
+        """
+        if not self._names("current\\.json"):
+            if self._names(r"run-.*|batch-.*|manifest-.*"):
+                raise ValueError("the folder has runs but no pointer")
+            return []
+        pointer = self._get("current.json")
+        if pointer["version"] != VERSION or pointer["chain_root"] != self.chain_root:
+            raise ValueError("the pointer is of another version or chain")
+        runs = self.runs(pointer["manifest"])
+        self.present(runs)
+        by_name, at, walked = {r.name: r for r in runs}, runs[-1].name if runs else "", 0
+        while at:
+            if at not in by_name:
+                raise ValueError(f"the walk leaves the manifest at {at}")
+            kept, walked = Run.of(self._get(f"{by_name[at].path}/_footer.json")), walked + 1
+            at = kept.previous
+        if walked != len(runs):
+            raise ValueError("the walk doesn't reach every run")
+        return runs

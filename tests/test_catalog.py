@@ -4,7 +4,7 @@ import os
 
 import duckdb
 import pytest
-from tallystone.plans import catalog, lifecycle  # noqa: F401
+from tallystone.plans import answers, catalog, lifecycle  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 from tallystone.engine import Engine
-from tallystone.plans.tags import UnknownBlock
+from tallystone.plans.tags import Refused, UnknownBlock
 
 
 @pytest.fixture(scope="module")
@@ -53,3 +53,44 @@ def test_tokens_logs_and_fees(engine):
     assert engine.fee_history(10, 100, [50.0]).count() == 10 and engine.price().count() == engine.tip().count() == 1
     with pytest.raises(ValueError):
         engine.topic_groups("h:3", None)
+
+
+def test_accounts_and_bundles(engine):
+    live = engine.accounts.where("present").orderBy(F.desc("txnum")).head()
+    seen = engine.blocks.agg(F.max("height")).head()[0]
+    assert engine.ask("eth_getBalance", live.addr).head().balance == engine.account(live.addr, seen).head().balance
+    row = engine.bundle(live.addr, ["view", "nothing"], "latest").collect()
+    assert len(row) == 1 and set(row[0].slots) == {"view", "nothing"} and row[0].slots["nothing"] is None
+    assert row[0].balance == engine.account(live.addr).head().balance
+    assert engine.ask("eth_getTransactionCount", 10**9).head().nonce == 0 and engine.ask("eth_getCode", 10**9).head().code is None
+
+
+def test_rules_by_hash(engine):
+    h = engine.txs.where("txnum < 900").orderBy("txnum").limit(400).collect()
+    traced = {r.txnum for r in engine.traces.collect()}
+    assert engine.ask("ots_getInternalOperations", "0x" + "0" * 64) is None and engine.ask("debug_traceTransaction", "0" * 64) is None
+    known = next(r for r in h if r.txnum in traced)
+    assert isinstance(engine.ask("ots_getInternalOperations", known.tx_hash), list)
+    assert engine.ask("debug_traceTransaction", "0x" + known.tx_hash).startswith('{"type":"CALL"')
+    with pytest.raises(Refused):
+        engine.ask("debug_traceTransaction", known.tx_hash, "prestateTracer")
+
+
+def test_whole_blocks_and_batches(engine):
+    import json
+
+    one = json.loads(engine.block_json(7, True).head().json)
+    assert [t["hash"] for t in one["transactions"]] == json.loads(engine.block_json("0x7", False).head().json)["transactions"]
+    assert {t["type"] for t in one["transactions"]} <= {"0x0", "0x1", "0x2"} and all(("accessList" in t) == (t["type"] != "0x0") for t in one["transactions"])
+    with pytest.raises(ValueError):
+        engine.block_json(7, "yes")
+    text = engine.ask("debug_printBlock", 7).split("\n")
+    assert len(text) == 1 + len(one["transactions"]) and json.loads(text[0])["number"] == "0x7" and all(json.loads(x) for x in text)
+    got = engine.batch([{"id": 1, "method": "eth_chainId"}, {"method": "eth_accounts"}, {"id": 2, "method": "made_up"}, {"id": 3, "method": "personal_sign"}, {"id": 4, "method": "eth_getBlockByNumber", "params": ["0xffffff"]}])
+    assert [x["id"] for x in got] == [1, 2, 3, 4] and got[0]["result"] == 43114
+    assert [x["error"]["kind"] for x in got[1:]] == ["UnknownMethod", "Refused", "UnknownBlock"]
+    for calls in ([], [{"method": "eth_accounts"}] * 1001):
+        with pytest.raises(ValueError):
+            engine.batch(calls)
+    a, b = engine.ask("debug_getModifiedAccountsByNumber", 3).count(), engine.ask("debug_getModifiedAccountsByNumber", 2, 9).count()
+    assert 0 <= a and b >= 0

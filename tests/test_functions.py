@@ -7,6 +7,8 @@ from tallystone.functions import encoding, keccak, receipts, rlp
 from tallystone.sources import runs
 from tallystone.streaming import follow
 
+SF = "/root/testdata/sf0.001"
+
 
 def test_keccak_known_digests(spark):
     known = {b"": "c5d2460186f7233c927e7db2dcc703c0e500b653ca82273b7bfad8045d85a470", b"abc": "4e03657aea45a94fc7d47ba826c8d667c0d1e6e33a64a036ec44f58fa12d6c45", b"Transfer(address,address,uint256)": "ddf252ad1be2c89b69c2b068fc378daa952ba7f163c4a11628f55a4df523b3ef"}
@@ -87,6 +89,73 @@ def _blocks(spark, n):
     return spark.range(n).select(F.col("id").alias("height"), (F.col("id") * 3).alias("first_tx"), (F.col("id") * 3 + 2).alias("boundary_tx"))
 
 
+def test_cuts_by_doubling_jumps(spark):
+    rng = random.Random(3)
+    counts, first, rows = [rng.choice([0, 1, 5, 30]) for _ in range(400)], 0, []
+    for h, n in enumerate(counts):
+        rows.append((h, first, first + n))
+        first += n + 1
+    for slots, most in ((100, 1000), (10_000, 7), (60, 12), (1 << 30, 1 << 30)):
+        want, at = [], 0
+        for h, _, boundary in rows:
+            if boundary + 1 - rows[at][1] >= slots or h - at + 1 >= most:
+                want.append((rows[at][1], boundary + 1, at, h))
+                at = h + 1
+        got = runs.run_cuts(spark.createDataFrame(rows, "height long, first_tx long, boundary_tx long"), slots, most).collect()
+        assert sorted(map(tuple, got)) == want
+
+
+def test_families_of_a_run(spark, tmp_path):
+    blocks = spark.range(50).select(F.col("id").alias("height"), (F.col("id") * 3).alias("txnum"))
+    posts = spark.range(150).select(F.col("id").alias("txnum"), (F.col("id") % 7).cast("string").alias("addr"))
+    corpus = runs.Corpus(spark, str(tmp_path / "c"), "root")
+    corpus.flush({"blocks": blocks, "postings": posts}, (0, 90, 0, 29))
+    corpus.flush({"blocks": blocks, "postings": posts}, (90, 150, 30, 49))
+    assert corpus.read(family="postings").count() == 150 and corpus.scan("blocks").collect() == blocks.collect()
+    merged = corpus.merge(100)
+    assert {f[0]: f[1] for f in merged.families} == {"blocks": 50, "postings": 150}
+    assert {(r.family, r.rows) for r in corpus.sizes().collect()} == {("blocks", 50), ("postings", 150)}
+    assert sorted(map(tuple, corpus.read(family="postings").select("txnum", "addr").collect())) == sorted(map(tuple, posts.collect()))
+
+
+def test_latest_state_against_a_model(spark, tmp_path):
+    from tallystone.sources.latest import Latest
+
+    rng, model, store = random.Random(9), {}, Latest(spark, str(tmp_path / "l"))
+    for step in range(5):
+        rows = {bytes([rng.randrange(40)]) * rng.randint(1, 3): rng.choice([None, b"", b"v%d" % rng.randrange(99)]) for _ in range(25)}
+        store.put(spark.createDataFrame(list(rows.items()), "key binary, val binary"))
+        model |= rows
+        live = sorted((k, v) for k, v in model.items() if v)
+        assert [(bytes(r.key), bytes(r.val)) for r in store.rows().collect()] == live
+        assert [(bytes(r.key), bytes(r.val)) for r in store.rows(b"\x05", b"\x14\x14").collect()] == [x for x in live if b"\x05" <= x[0] < b"\x14\x14"]
+        if step == 2:
+            with pytest.raises(ValueError, match="no"):
+                store.roll(lambda rows: (_ for _ in ()).throw(ValueError("no")))
+            store.roll()
+            assert store.overlay_size() == (0, 0)
+    asked = spark.createDataFrame([(k,) for k in sorted(model)] + [(b"none",)], "key binary")
+    assert {bytes(r.key): r.val and bytes(r.val) for r in store.get(asked).collect()} == {k: v or None for k, v in model.items()} | {b"none": None}
+    for bad in ([(b"a", b"1"), (b"a", b"2")], [(b"", b"1")], [(b"k" * 256, b"1")], [(b"k", b"v" * 256)]):
+        with pytest.raises(Exception, match="twice or doesn't fit"):
+            store.put(spark.createDataFrame(bad, "key binary, val binary"))
+
+
+def test_blooms_and_roots_by_block(spark):
+    from tallystone.plans import bindings as B
+    from tallystone.plans import catalog
+
+    own = {}
+    for r in B.typed_txs(spark, SF).select("height", "tx_index", "tx_hash", "logs").collect():
+        own.setdefault(r.height, []).append(r)
+    got = {r.height: r.bloom for r in catalog.QUERIES["a14_block_blooms"](spark, SF).collect()}
+    items = {h: {x for r in rows for log in r.logs for x in (log.address, *log.topics)} for h, rows in own.items()}
+    assert got == {h: receipts.bloom([x.encode() for x in i]).hex().upper() for h, i in items.items() if i}
+    roots = {r.height: r.root for r in catalog.QUERIES["a15_transaction_roots"](spark, SF).collect()}
+    some = sorted(own)[:40]
+    assert all(roots[h] == receipts.root([bytes.fromhex(r.tx_hash) for r in sorted(own[h], key=lambda r: r.tx_index)]).hex() for h in some)
+
+
 def test_runs_flush_merge_publish(spark, tmp_path):
     rows = spark.range(300).select(F.col("id").alias("txnum"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
     blocks, corpus, at = _blocks(spark, 100), runs.Corpus(spark, str(tmp_path / "c"), "root"), 0
@@ -97,17 +166,46 @@ def test_runs_flush_merge_publish(spark, tmp_path):
     spans = [(r.from_tx, r.to_tx) for r in corpus.runs()]
     assert spans[0] == (0, 42) and all(a[1] == b[0] for a, b in zip(spans, spans[1:]))
     before = corpus.read().orderBy("txnum").collect()
-    merged = corpus.merge(100)
-    assert merged.level == 1 and merged.rows == merged.to_tx - merged.from_tx
-    assert corpus.read().orderBy("txnum").collect() == before
+    old = [r.path for r in corpus.runs()]
+    with corpus.snapshot() as held:
+        merged = corpus.merge(100)
+        assert merged.level == 1 and merged.rows == merged.to_tx - merged.from_tx
+        assert corpus.read(held).orderBy("txnum").collect() == before  # what a snapshot holds stays
+    gone = corpus.sweep()
+    assert gone and set(gone) < set(old) and corpus.read().orderBy("txnum").collect() == before
     assert [r.txnum for r in corpus.at_slots(50, 60).orderBy("txnum").collect()] == list(range(50, 61))
     assert corpus.publish(str(tmp_path / "p")) == [merged]
-    assert runs.Corpus(spark, str(tmp_path / "p"), "root").read().count() == merged.rows
-    with pytest.raises(ValueError):
-        runs.Corpus(spark, str(tmp_path / "p"), "other").runs()
+    other = runs.Corpus(spark, str(tmp_path / "p"), "root")
+    assert other.join() == [merged] and other.read().count() == merged.rows
+    with pytest.raises(ValueError, match="chain"):
+        runs.Corpus(spark, str(tmp_path / "p"), "other").join()
+    again = corpus.merge(100)
+    assert again and corpus.publish(str(tmp_path / "p")) == [merged, again] == other.join()
+    footer = tmp_path / "p" / merged.path / "_footer.json"
+    kept = footer.read_text()
+    footer.write_text(kept.replace('"rows": ', '"rows": 1'))
+    with pytest.raises(ValueError, match="footer"):
+        other.join()
+    footer.unlink()
+    with pytest.raises(OSError):
+        other.join()
+    footer.write_text(kept)
+    (tmp_path / "p" / "current.json").unlink()
+    with pytest.raises(ValueError, match="pointer"):
+        other.join()
+    assert runs.Corpus(spark, str(tmp_path / "nothing"), "root").join() == []
     gap = corpus.runs()
     with pytest.raises(ValueError):
         runs.check_tiling([gap[0], *gap[2:]])
+    seen = corpus.generation()
+    corpus.commit(corpus.runs(), seen)
+    with pytest.raises(runs.Conflict):
+        corpus.commit(corpus.runs(), seen)  # another writer was faster
+    (tmp_path / "c" / f"claim-{seen + 2:08d}").touch()  # one that died after its claim
+    with pytest.raises(runs.Conflict):
+        corpus.commit(corpus.runs(), seen + 1)
+    corpus.sweep()
+    assert corpus.commit(corpus.runs(), seen + 1) == seen + 2
     assert runs.content_name(rows)[0] == runs.content_name(rows.orderBy(F.desc("txnum")).repartition(7))[0]
 
 

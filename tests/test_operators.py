@@ -169,6 +169,25 @@ def test_traces(spark):
     assert traces.different(got, got).count() == 0
 
 
+def test_document_differences(spark):
+    docs = [('{"a":1,"b":{"c":[1,{"d":"x"}],"e":{}},"f":[]}', '{"a":1,"b":{"c":[1,{"d":"y"},2],"e":{"g":null}},"f":[]}'), ('{"same":[1,2]}', '{"same":[1,2]}'), ('{"n":{"m":1}}', '{"n":3}')]
+    left, right = (spark.createDataFrame([(k, d[i]) for k, d in enumerate(docs)], "id long, doc string") for i in (0, 1))
+    got = sorted((r.id, r.path, r.a, r.b) for r in traces.document_differences(left, right, "id", "doc").collect())
+    assert [(g[0], g[1]) for g in got] == [(0, "$.b.c[1].d"), (0, "$.b.c[2]"), (0, "$.b.e"), (0, "$.b.e.g"), (2, "$.n"), (2, "$.n.m")]
+    assert got[0][2:] == ("x", "y")
+
+
+def test_band_samples_are_full(spark):
+    """Bands with gaps still give as many blocks as they have, up to the number asked."""
+    b = spark.range(1000).where("id < 100 or id % 50 = 0").select(F.col("id").alias("height"), F.sha2(F.col("id").cast("string"), 256).alias("hash"))
+    n = b.count()
+    got = [r.band for r in integrity.band_sample(b, 8, 5).collect()]
+    want = {}
+    for r in b.collect():
+        want[r.height * 8 // n] = want.get(r.height * 8 // n, 0) + 1
+    assert {k: got.count(k) for k in set(got)} == {k: min(5, v) for k, v in want.items()}
+
+
 def test_integrity_finds_what_is_broken(spark):
     b = blocks_of(spark, [1, 2, 0, 3])
     assert integrity.broken_links(b).count() == integrity.torn_slots(b).count() == 0
@@ -192,8 +211,13 @@ def test_tags(spark):
             tags.height_of_tag(b, tag)
     with pytest.raises(ValueError):
         tags.height_of_tag(b, {"blockNumber": 1, "blockHash": digest})
-    with pytest.raises(NotImplementedError, match="eth_call"):
-        tags.refuse("eth_call")
+    with pytest.raises(ValueError):
+        tags.height_of_tag(b, {"blockHash": digest, "requireCanonical": "yes"})
+    assert tags.height_of_tag(b, {"blockHash": digest, "requireCanonical": True}) == 1
+    for method in ("eth_call", "personal_sign", "admin_peers"):
+        with pytest.raises(tags.Refused, match=method):
+            tags.refuse(method)
+    tags.refuse("made_up")
 
 
 def test_containers():
