@@ -176,11 +176,12 @@ class Parameters:
         self.b = self.rows[n + 1 : 2 * n + 1, d]
 
 
-def _add_rows(to: np.ndarray, at: np.ndarray, what: np.ndarray) -> np.ndarray:
-    """Sums of `what` by row of `to`; the rows and their sums."""
+def _summed(at: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows and the sums of `what` by them."""
     order = np.argsort(at, kind="stable")
-    rows, first = np.unique(at[order], return_index=True)
-    return rows, np.add.reduceat(what[order], first, axis=0)
+    rows = at[order]
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    return rows[first].astype(np.int64), np.add.reduceat(what[order], first, axis=0)
 
 
 class Trainer:
@@ -193,6 +194,7 @@ class Trainer:
         self.squares = np.full(start.rows.shape[0], 1e-2, np.float32)
         self.touched = np.zeros(start.rows.shape[0], np.int64)
         self.n, self.held = classes.size, []
+        self.small = np.int16 if classes.size < 1 << 15 else np.int64  # sorts faster
         self.waiting = 0
 
     def add(self, h1: np.ndarray, h2: np.ndarray, w: np.ndarray) -> None:
@@ -214,22 +216,21 @@ class Trainer:
         p, n, d = self.p, self.n, WIDTH
         noise = np.minimum(np.searchsorted(self.cum, self.rng.random(NOISE)), n - 1)
         r1, r2 = p.r[h1], p.r[h2]
-        pred = r1 @ p.c1 + r2 @ p.c2
-        qw, qn = p.q[w], p.q[noise]
-        true = np.einsum("ij,ij->i", pred, qw) + p.b[w] - self.log_noise[w]
-        false = pred @ qn.T + (p.b[noise] - self.log_noise[noise])
-        err_t = (1 / (1 + np.exp(np.clip(true, -30, 30)))).astype(np.float32)  # up
-        err_f = (-1 / (1 + np.exp(np.clip(-false, -30, 30)))).astype(np.float32)  # down
-        g_pred = err_t[:, None] * qw + err_f @ qn
-        grad_q = np.concatenate([np.concatenate([err_t[:, None] * pred, err_t[:, None]], 1), np.concatenate([err_f.T @ pred, err_f.sum(0)[:, None]], 1)])
-        rows_q, sum_q = _add_rows(p.rows, np.concatenate([w, noise]) + n + 1, grad_q)
-        none = np.zeros((len(w), 1), np.float32)
-        rows_r, sum_r = _add_rows(p.rows, np.concatenate([h1, h2]), np.concatenate([np.concatenate([g_pred @ p.c1.T, none], 1), np.concatenate([g_pred @ p.c2.T, none], 1)]))
-        rows_c = np.arange(2 * n + 1, 2 * n + 1 + 2 * d)
-        sum_c = np.concatenate([np.concatenate([r1.T @ g_pred, r2.T @ g_pred]), np.zeros((2 * d, 1), np.float32)], 1)
-        for rows, total in ((rows_q, sum_q), (rows_r, sum_r), (rows_c, sum_c / 64)):
-            self.squares[rows] += (total * total).mean(1)
-            p.rows[rows] += RATE * total / np.sqrt(self.squares[rows])[:, None]
+        # the last column of a predicted row is its bias
+        pred = np.ones((len(w), d + 1), np.float32)
+        np.add(r1 @ p.c1, r2 @ p.c2, out=pred[:, :d])
+        qw, qn = p.rows[n + 1 + w], p.rows[n + 1 + noise]
+        true = np.einsum("ij,ij->i", pred, qw) - self.log_noise[w]
+        false = pred @ qn.T - self.log_noise[noise]
+        err_t = 0.5 - 0.5 * np.tanh(0.5 * true)  # up
+        err_f = -0.5 - 0.5 * np.tanh(0.5 * false)  # down
+        g_pred = err_t[:, None] * qw[:, :d] + err_f @ qn[:, :d]
+        rows_q, sum_q = _summed(np.concatenate([w, noise]).astype(self.small), np.concatenate([err_t[:, None] * pred, err_f.T @ pred]))
+        rows_r, sum_r = _summed(np.concatenate([h1, h2]).astype(self.small), np.concatenate([g_pred @ p.c1.T, g_pred @ p.c2.T]))
+        rows_c, sum_c = np.arange(2 * n + 1, 2 * n + 1 + 2 * d), np.concatenate([r1.T @ g_pred, r2.T @ g_pred])
+        for rows, total in ((rows_q + n + 1, sum_q), (rows_r, sum_r), (rows_c, sum_c / 64)):
+            self.squares[rows] += np.einsum("ij,ij->i", total, total) / (d + 1)
+            p.rows[rows, : total.shape[1]] += (RATE / np.sqrt(self.squares[rows]))[:, None] * total
             self.touched[rows] += 1
 
 
@@ -323,8 +324,17 @@ DOC = pa.struct([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", p
 
 def model_of(texts: DataFrame, counts: DataFrame) -> tuple[Classes, dict[int, list[float]], dict[bytes, int], int, int]:
     """Classes, trained rows, counts of local words, training tokens and distinct tokens."""
-    most = [tuple(r) for r in counts.where(F.col("word") != "").orderBy(F.desc("n"), "word").limit(LOCAL).collect()]
-    head = most[:HEAD]
+    words = counts.where(F.col("word") != "")
+    head = [tuple(r) for r in words.orderBy(F.desc("n"), "word").limit(HEAD).collect()]
+    # the lowest count from which on there are no more than LOCAL words, out of counts of words by eighths of doublings
+    level = F.floor(F.log2("n") * 8)
+    most, cut = 0, 1 << 62
+    for k, n in sorted(words.groupBy(level.alias("k")).count().collect(), reverse=True):  # 8 rows for each binary digit of a count
+        most += n
+        if most > LOCAL:
+            break
+        cut = k
+    local = {w.encode(): n for w, n in words.where(level >= cut).collect()} | {w.encode(): n for w, n in head}  # LOCAL words, and HEAD
     group = F.pmod(F.crc32(F.substring(F.col("word").cast("binary"), -TAIL_BYTES, TAIL_BYTES)), F.lit(TAILS))
     sums = counts.where(F.col("word") != "").groupBy(group.cast("int").alias("k")).agg(F.sum("n"), F.count("*"))
     tails = {r[0]: [r[1], r[2]] for r in sums.collect()}
@@ -337,7 +347,7 @@ def model_of(texts: DataFrame, counts: DataFrame) -> tuple[Classes, dict[int, li
     rows: dict[int, list[float]] = {}
     for turn in range(ROUNDS if tokens else 0):
         rows = {**rows, **_trained(texts, classes, rows, turn)}
-    return classes, rows, {w.encode(): n for w, n in most}, tokens, kinds
+    return classes, rows, local, tokens, kinds
 
 
 def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
