@@ -25,7 +25,7 @@ from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallystone.operators.scaling import holding_range
@@ -244,12 +244,13 @@ class Corpus:
         """Writes a run's families, each sorted by its key, then its footer."""
         path, named, families = f"run-{span[0]:012d}-{uuid.uuid4().hex[:12]}", [], []
         for family, rows in tables.items():
-            own, n = content_name(rows)
             order = ORDER.get(family, ["txnum"])
-            ranged = rows.repartitionByRange(max(1, -(-n // FILE_ROWS)), *order).sortWithinPartitions(*order)
+            seen = Observation()  # names the rows as they are written, without another pass
+            ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).observe(seen, *_content(rows.columns))
             ranged.write.option("compression", "zstd").option("parquet.block.size", 1 << 23).parquet(f"{self.folder}/{path}/{family}")
-            named.append(own)
-            families.append((family, n, self._bytes(f"{path}/{family}")))
+            got = seen.get
+            named.append(_name(got["n"], got["s"], got["x"]))
+            families.append((family, got["n"], self._bytes(f"{path}/{family}")))
         name = f"run-{span[0]:012d}-{'-'.join(named)}"
         return self._footer(Run(name, level, *span, sum(f[1] for f in families), previous, path, tuple(families)))
 
