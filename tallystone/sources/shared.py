@@ -14,6 +14,8 @@ def shared_uri(spark: SparkSession, name: str) -> str:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = held.get() if held.isDefined() else None
     if not base:  # a session without the setting, as in tests
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
         base = "file://" + tempfile.mkdtemp(prefix="tallystone-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
