@@ -9,20 +9,37 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: paths given out by shared_uri, in order
+MADE: list[str] = []
+
+
 def shared_uri(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir, which every executor reaches.
 
-    Only a session without that setting (a test) gets a temporary folder of its own.
+    A local session without that setting (a test) gets a temporary folder of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             base = held.get()
+        elif not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
         else:
             base = "file://" + tempfile.mkdtemp(prefix="tallystone-")
             spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    MADE.append(path)
+    return path
+
+
+def discard(spark: SparkSession, since: int, keep: str) -> None:
+    """Deletes the intermediate tables made since MADE had that length, but for one; nothing may read them any more."""
+    for path in MADE[since:]:
+        if path != keep:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    MADE[since:] = [keep]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
