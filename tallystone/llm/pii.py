@@ -147,7 +147,8 @@ def graph(df: DataFrame, seen: DataFrame, text_col: str) -> DataFrame:
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}]+"), lambda w: w != "")
     pairs = F.transform(F.slice("w", F.lit(2), F.size("w")), lambda b, i: F.xxhash64(F.get("w", i), b))
     spoken = df.select(words.alias("w")).select(F.explode(pairs).alias("ctx")).groupBy("ctx").agg(F.count("*").alias("times"))
-    spoken = written(spoken.join(contexts, "ctx", "left_semi"), "spoken")
+    # an inner join: the planner would move a semi-join below the counting, to every pair of words
+    spoken = written(spoken.join(contexts, "ctx"), "spoken")
     return written(edges.join(spoken, "ctx"), "graph")
 
 
