@@ -56,6 +56,7 @@ SURE = 0.5  # score that a pattern needs to find spans
 FAINT = 0.1  # score from which a pattern lends belief
 BELIEF = 0.8  # belief that a candidate needs to count as an instance
 ROUNDS = 3
+BITS = 1 << 17  # marks of contexts that every task holds
 SPAN = "array<struct<start:int,k:int,end:int,ctx:long,inst:string>>"
 
 
@@ -134,6 +135,19 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(names, s["k"] + 1), s["start"], s["end"])), ",")
 
 
+def _marked(contexts: DataFrame) -> Column:
+    """Whether the column ctx may be one of the contexts: a look into BITS marks, set at the contexts' hashes.
+
+    All contexts pass, and the fewer of the rest the fewer contexts there are: what passes is
+    counted and then met exactly.
+    """
+    spot = F.pmod(F.col("ctx"), F.lit(BITS))
+    mask = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(at, F.lit(64)).cast("int"))
+    words = {r[0]: r[1] for r in contexts.select(spot.alias("at")).groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(mask(F.col("at")))).collect()}  # BITS / 64 rows at most
+    marks = F.expr(f"cast(array({','.join(f'{words.get(i, 0)}L' if words.get(i, 0) > -(1 << 63) else '-9223372036854775807L - 1L' for i in range(BITS // 64))}) as array<bigint>)")
+    return F.get(marks, F.floor(spot / 64).cast("int")).bitwiseAND(mask(spot)) != 0
+
+
 def graph(df: DataFrame, seen: DataFrame, text_col: str) -> DataFrame:
     """ctx, inst, k (null for candidates), n and times: how often the instance follows the context, and the context's words occur.
 
@@ -143,10 +157,11 @@ def graph(df: DataFrame, seen: DataFrame, text_col: str) -> DataFrame:
     edges = named("spans", F.col("s.k")).union(named("others", F.lit(None).cast("int"))).groupBy("ctx", "inst", "k").agg(F.count("*").alias("n"))
     edges = written(edges, "edges")
     contexts = edges.groupBy("ctx").agg(F.count("*").alias("all"), F.count_if(F.col("k").isNull()).alias("open")).where((F.col("all") >= SUPPORT) & (F.col("open") > 0)).select("ctx")
-    # all pairs of neighbouring words are counted before they meet the contexts
+    contexts = written(contexts, "contexts")
+    # pairs of neighbouring words are counted before they meet the contexts
     words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"[^\p{L}]+"), lambda w: w != "")
     pairs = F.transform(F.slice("w", F.lit(2), F.size("w")), lambda b, i: F.xxhash64(F.get("w", i), b))
-    spoken = df.select(words.alias("w")).select(F.explode(pairs).alias("ctx")).groupBy("ctx").agg(F.count("*").alias("times"))
+    spoken = df.select(words.alias("w")).select(F.explode(pairs).alias("ctx")).where(_marked(contexts)).groupBy("ctx").agg(F.count("*").alias("times"))
     # an inner join: the planner would move a semi-join below the counting, to every pair of words
     spoken = written(spoken.join(contexts, "ctx"), "spoken")
     return written(edges.join(spoken, "ctx"), "graph")
