@@ -220,5 +220,7 @@ def masked_documents(df: DataFrame) -> DataFrame:
 
     walk = F.aggregate("_tally_all", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda a: F.concat(a["out"], F.substr(F.col("text"), a["pos"] + 1, F.length("text"))))
     text = F.when(F.col("_tally_all").isNull(), F.col("text")).otherwise(walk)
-    size = {"n_chars": F.length(text).cast(df.schema["n_chars"].dataType)} if "n_chars" in df.columns else {}
-    return joined.withColumns({"text": text} | size).select(*df.columns)
+    masked = joined.withColumn("text", text)
+    if "n_chars" in df.columns:
+        masked = masked.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType))
+    return masked.select(*df.columns)
