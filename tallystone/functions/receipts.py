@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,6 +119,56 @@ def trie_root(pairs: dict[bytes, bytes]) -> bytes:
     return keccak.digest(rlp.encode(_node(nibbles, 0)))
 
 
+def subtrees(rows: DataFrame) -> DataFrame:
+    """prefix (two nibbles) and node: what the trie of (key, value), keys hashed to one length, has below each prefix, a task a prefix."""
+    nibble = lambda k: F.substring(F.lower(F.hex("key")), 1, k)
+
+    def node(part: pd.DataFrame) -> pd.DataFrame:
+        pairs = sorted((tuple(x for b in bytes(k) for x in (b >> 4, b & 15)), bytes(v)) for k, v in zip(part["key"], part["value"], strict=True))
+        return pd.DataFrame({"prefix": part["prefix"].head(1), "n": [len(pairs)], "node": [json.dumps(_plain(_link(_node(pairs, 2))))]})
+
+    return rows.select("key", "value", nibble(2).alias("prefix")).groupBy("prefix").applyInPandas(node, "prefix string, n long, node string")
+
+
+def _plain(node):
+    return node.hex() if isinstance(node, bytes) else [_plain(x) for x in node]
+
+
+def _read(node):
+    return bytes.fromhex(node) if isinstance(node, str) else [_read(x) for x in node]
+
+
+def state_root(rows: DataFrame, known: DataFrame | None = None, changed: list[str] | None = None) -> tuple[bytes, DataFrame]:
+    """The root of (key, value), keys hashed to one length, and its subtrees.
+
+    known, changed: subtrees from before and the prefixes that have changed since; only those
+    are built again. The at most 256 subtrees are put together here. Where a first nibble has
+    only one second nibble, the trie has no branch between them, and its rows are few unless
+    keys aren't hashed: such tries are built whole.
+    """
+    from tallystone.sources.shared import written
+
+    if known is None:
+        own = subtrees(rows)
+    else:
+        again = rows.where(F.substring(F.lower(F.hex("key")), 1, 2).isin(changed or []))
+        own = known.where(~F.col("prefix").isin(changed or [])).unionByName(subtrees(again))
+    own = written(own, "subtrees")
+    found = {r.prefix: _read(json.loads(r.node)) for r in own.collect()}  # 256 rows at most
+    seconds: dict[int, list[int]] = {}
+    for p in found:
+        seconds.setdefault(int(p[0], 16), []).append(int(p[1], 16))
+    if len(seconds) < 2 or any(len(s) < 2 for s in seconds.values()):
+        return trie_root({bytes(r.key): bytes(r.value) for r in rows.collect()}), own
+    top: list = [b""] * 17
+    for a, some in seconds.items():
+        branch: list = [b""] * 17
+        for b in some:
+            branch[b] = found[f"{a:x}{b:x}"]
+        top[a] = _link(branch)
+    return keccak.digest(rlp.encode(top)), own
+
+
 def _compact(path: tuple[int, ...], leaf: bool) -> bytes:
     flag = 2 * leaf + len(path) % 2
     full = (flag, *path) if len(path) % 2 else (flag, 0, *path)

@@ -20,7 +20,7 @@ import json
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, replace
@@ -306,6 +306,17 @@ class Corpus:
         self.retire(old)
         return run
 
+    def migrate(self, make: Callable[[dict[str, DataFrame]], dict[str, DataFrame]]) -> list[Run]:
+        """Every run anew with the families that `make` gives for its own, committed at once: how lookups are rebuilt from stored rows."""
+        seen = self.generation()
+        out: list[Run] = []
+        for run in (old := self.runs(seen)):
+            own = {f or ROWS: self.read([run], f or ROWS) for f, _, _ in run.families}
+            out.append(self._write(make(own), run.level, (run.from_tx, run.to_tx, run.from_height, run.to_height), out[-1].name if out else ""))
+        self.commit(out, seen)
+        self.retire(old)
+        return out
+
     # reading
 
     def present(self, runs: list[Run]) -> None:

@@ -283,3 +283,93 @@ def test_elias_fano():
             eliasfano.decode(bad)
     with pytest.raises(ValueError):
         eliasfano.encode([3, 3])
+
+
+def test_state_roots_full_and_rolled(spark):
+    rng = random.Random(12)
+    state = {hashlib.sha256(b"%d" % i).digest(): b"v%d" % rng.randrange(10**9) * rng.randint(1, 9) for i in range(1200)}
+    frame = lambda: spark.createDataFrame(list(state.items()), "key binary, value binary")
+    root, known = receipts.state_root(frame())
+    assert root == receipts.trie_root(state)
+    for k in list(state)[:20]:
+        state[k] = b"changed"
+    gone = list(state)[30:34]
+    changed = {k.hex()[:2] for k in [*list(state)[:20], *gone]}
+    for k in gone:
+        del state[k]
+    rolled, _ = receipts.state_root(frame(), known, sorted(changed))
+    assert rolled == receipts.trie_root(state) != root
+    few = dict(list(state.items())[:5])
+    assert receipts.state_root(spark.createDataFrame(list(few.items()), "key binary, value binary"))[0] == receipts.trie_root(few)
+
+
+def test_recovery_cuts_a_torn_tail(spark):
+    rows = [(h, part, part == 2) for h in range(3, 9) for part in range(3)] + [(9, 0, False), (9, 1, False)]
+    df = spark.createDataFrame(rows, "height long, part int, ended boolean")
+    assert sorted({r.height for r in follow.whole_blocks(df, None).collect()}) == list(range(3, 9))
+    assert sorted({r.height for r in follow.whole_blocks(df, 5).collect()}) == [6, 7, 8]
+    assert follow.whole_blocks(df, 8).count() == 0
+    for bad, head in ((df.where("height <> 6"), None), (df.where("not (height = 6 and ended)"), None), (df, 1)):
+        with pytest.raises(follow.OrderError):
+            follow.whole_blocks(bad, head)
+
+
+def test_groups_are_halved_to_the_failing_block(spark):
+    kept = []
+
+    def store(part):
+        own = sorted(r.height for r in part.collect())
+        if 41 in own:
+            raise ValueError("bad block")
+        kept.extend(own)
+
+    blocks = spark.range(10, 60).withColumnRenamed("id", "height")
+    with pytest.raises(follow.OrderError, match="block 41"):
+        follow.store_in_groups(blocks, store, 16)
+    assert kept == list(range(10, 41))
+    kept.clear()
+    assert follow.store_in_groups(blocks.where("height < 41"), store, 16) == 31 == len(kept)
+    assert follow.store_in_groups(blocks.where("false"), store) == 0
+    assert follow.due(10, 500) == (11, 138) and follow.due(10, 12) == (11, 12) and follow.due(10, 10) is None and follow.due(10, 500, 20) == (11, 20) and follow.due(20, 500, 20) is None
+
+
+def test_batches_go_into_all_families_and_heads_are_the_newest(spark, tmp_path):
+    blocks = spark.range(12).select(F.col("id").alias("height"), F.concat(F.lit("h"), "id").alias("hash"), F.concat(F.lit("h"), F.col("id") - 1).alias("parent_hash"), (F.col("id") * 3).alias("first_tx"), (F.col("id") * 3 + 2).alias("boundary_tx"))
+    corpus = runs.Corpus(spark, str(tmp_path / "c"), "root")
+    families = lambda new: {"blocks": new.withColumn("txnum", F.col("boundary_tx")), "txs": new.select("height", F.explode(F.sequence("first_tx", "boundary_tx")).alias("txnum"))}
+    blocks.repartitionByRange(3, "height").write.parquet(str(tmp_path / "land"))
+    head = lambda: (lambda own: (own[-1].to_height, f"h{own[-1].to_height}") if own else None)(corpus.runs())
+    follow.ingest(follow.landed(spark, str(tmp_path / "land"), blocks.schema, 12), str(tmp_path / "k"), head, follow.store_families(corpus, families)).awaitTermination()
+    assert corpus.read(family="blocks").count() == 12 and corpus.read(family="txs").count() == 36
+    heads = []
+    follow.newest_heads(follow.landed(spark, str(tmp_path / "land"), blocks.schema, 12), str(tmp_path / "k2"), lambda best: heads.extend(r.height for r in best.collect())).awaitTermination()
+    assert heads[-1] == 11 and len(heads) == 1
+    again = corpus.migrate(lambda own: own | {"hashes": own["blocks"].select(F.col("hash").alias("digest"), "height", "txnum")})
+    assert corpus.read(family="hashes").count() == 12 and corpus.runs() == again and corpus.read(family="txs").count() == 36
+
+    from tallystone.__main__ import main
+
+    assert main(["verify", str(tmp_path / "c"), "--chain", "root"], spark) == 0 and main(["sizes", str(tmp_path / "c"), "--chain", "root"], spark) == 0
+    with pytest.raises(ValueError):
+        main(["verify", str(tmp_path / "none")], spark)
+
+
+def test_misc_log_survives_a_torn_tail(tmp_path):
+    from tallystone.sources.misc import MiscLog
+
+    log = MiscLog(tmp_path / "x" / "misc.log")
+    for i in range(20):
+        log.put(f"k{i % 7}", {"n": i})
+    log.delete("k3")
+    log.close()
+    kept = dict(log.kept)
+    assert MiscLog(tmp_path / "x" / "misc.log").kept == kept and "k3" not in kept and kept["k5"] == {"n": 19}
+    whole = (tmp_path / "x" / "misc.log").read_bytes()
+    for cut in range(len(whole) - 30, len(whole)):
+        (tmp_path / "y.log").write_bytes(whole[:cut])
+        again = MiscLog(tmp_path / "y.log")
+        again.put("after", 1)
+        again.close()
+        assert MiscLog(tmp_path / "y.log").get("after") == 1
+    with pytest.raises(ValueError):
+        log.put("k", None)
