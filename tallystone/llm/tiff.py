@@ -36,21 +36,23 @@ STRIP_ROWS = 512
 
 
 def pack_bits(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        run = 1
-        while run < 128 and i + run < n and data[i + run] == data[i]:
-            run += 1
-        if run > 1:
-            out += bytes((257 - run, data[i]))
-            i += run
-            continue
-        end = i + 1
-        while end < n and end - i < 128 and (end + 1 >= n or data[end] != data[end + 1]):
-            end += 1
-        out.append(end - i - 1)
-        out += data[i:end]
-        i = end
+    """Runs of a byte as packets of up to 128, what is between them as literals."""
+    if not data:
+        return b""
+    a = np.frombuffer(data, np.uint8)
+    starts = np.concatenate([[0], np.flatnonzero(a[1:] != a[:-1]) + 1])
+    sizes = np.diff(np.append(starts, len(a)))
+    out, at = bytearray(), 0
+    runs = np.flatnonzero(sizes > 1)
+    for start, size in [*zip(starts[runs].tolist(), sizes[runs].tolist(), strict=True), (len(data), 0)]:
+        for i in range(at, start, 128):
+            part = data[i : min(i + 128, start)]
+            out.append(len(part) - 1)
+            out += part
+        for i in range(0, size, 128):
+            n = min(128, size - i)
+            out += bytes(((257 - n) & 255 if n > 1 else 0, data[start]))
+        at = start + size
     return bytes(out)
 
 
@@ -72,72 +74,78 @@ def unpack_bits(data: bytes, size: int) -> bytes:
 CLEAR, END = 256, 257
 
 
+FIRST, MOST_CODES = 258, 4094  # first free code; a table is cleared when this many are taken
+#: width of the k-th code after a clear: the first adds no entry, and codes grow one early, as TIFF has it
+WIDTHS = np.array([9 if FIRST + k < 512 else 10 if FIRST + k < 1024 else 11 if FIRST + k < 2048 else 12 for k in range(MOST_CODES - FIRST + 2)])
+POWERS = 1 << np.arange(11, -1, -1)
+
+
 def lzw_pack(data: bytes) -> bytes:
-    """Most significant bit first; the code width grows one code early, as TIFF has it."""
-    acc = bits = 0
-    out = bytearray()
-
-    def put(code: int, width: int) -> None:
-        nonlocal acc, bits
-        acc, bits = (acc << width) | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(acc >> bits)
-            acc &= (1 << bits) - 1
-
-    codes, width, held = {bytes((i,)): i for i in range(256)}, 9, b""
-    put(CLEAR, width)
-    for k in range(len(data)):
-        grown = held + data[k : k + 1]
-        if grown in codes:
-            held = grown
+    """Codes from the most significant bit on; which width a code has depends on its place after a clear alone."""
+    codes, places = [CLEAR], [0]
+    table: dict[int, int] = {}
+    free, place, held = FIRST, 0, -1
+    for byte in data:
+        if held < 0:
+            held = byte
             continue
-        put(codes[held], width)
-        codes[grown] = len(codes) + 2
-        size = len(codes) + 2
-        if size >= 4094:
-            put(CLEAR, width)
-            codes, width = {bytes((i,)): i for i in range(256)}, 9
-        elif size >= 1 << width:
-            width += 1
-        held = data[k : k + 1]
-    if held:
-        put(codes[held], width)
-        # the reader adds an entry for this code too, and may widen
-        if len(codes) + 3 >= 1 << width and width < 12:
-            width += 1
-    put(END, width)
-    if bits:
-        out.append((acc << (8 - bits)) & 255)
-    return bytes(out)
+        found = table.get(held << 8 | byte)
+        if found is not None:
+            held = found
+            continue
+        codes.append(held)
+        places.append(place)
+        table[held << 8 | byte] = free
+        free += 1
+        place += 1
+        if free >= MOST_CODES:
+            codes.append(CLEAR)
+            places.append(place)
+            table, free, place = {}, FIRST, 0
+        held = byte
+    if held >= 0:
+        codes.append(held)
+        places.append(place)
+        place += 1
+    codes.append(END)
+    places.append(place)
+    widths = WIDTHS[places]
+    bits = ((np.array(codes)[:, None] & POWERS) > 0)[np.arange(12) >= 12 - widths[:, None]]
+    return np.packbits(bits).tobytes()
 
 
 def lzw_unpack(data: bytes, size: int) -> bytes:
-    out, acc, bits, at = bytearray(), 0, 0, 0
-    entries: list[bytes] = []
-    width, prior = 9, b""
+    bits = np.unpackbits(np.frombuffer(data, np.uint8))
+    out, at = bytearray(), 0
+    offsets = np.concatenate([[0], np.cumsum(WIDTHS)])
+    started = False
     while len(out) < size:
-        while bits < width:
-            if at >= len(data):
-                raise ValueError("LZW data ends early")
-            acc, bits, at = ((acc << 8) | data[at]) & 0xFFFFFF, bits + 8, at + 1
-        bits -= width
-        code = (acc >> bits) & ((1 << width) - 1)
-        if code == END:
-            break
-        if code == CLEAR:
-            entries, width, prior = [bytes((i,)) for i in range(256)] + [b"", b""], 9, b""
-            continue
-        if not entries or code > len(entries) or (code == len(entries) and not prior):
-            raise ValueError("LZW code out of range")
-        now = entries[code] if code < len(entries) else prior + prior[:1]
-        out += now
-        if prior:
-            entries.append(prior + now[:1])
-        prior = now
-        # early change: the reader is an entry behind the writer
-        if len(entries) >= (1 << width) - 1 and width < 12:
-            width += 1
+        # as many codes as the bits hold and a table takes, up to the next clear or the end
+        most = min(int(np.searchsorted(offsets, len(bits) - at, "right")) - 1, len(WIDTHS))
+        if most < 1:
+            raise ValueError("LZW data ends early")
+        spots = np.minimum(at + offsets[:most, None] + np.arange(-12, 0) + WIDTHS[:most, None], len(bits) - 1)
+        part = ((bits[spots] * (np.arange(12) >= 12 - WIDTHS[:most, None])) @ POWERS).tolist()
+        entries = [bytes((i,)) for i in range(256)] + [b"", b""]
+        prior = b""
+        for k, code in enumerate(part):
+            if code == CLEAR:
+                at += int(offsets[k + 1])
+                started = True
+                break
+            if code == END:
+                return bytes(out[:size])
+            if not started or code > len(entries) or (code == len(entries) and not prior):
+                raise ValueError("LZW code out of range")
+            now = entries[code] if code < len(entries) else prior + prior[:1]
+            out += now
+            if prior:
+                entries.append(prior + now[:1])
+            prior = now
+            if len(out) >= size:
+                break
+        else:
+            raise ValueError("LZW data ends early")
     return bytes(out[:size])
 
 
@@ -342,7 +350,7 @@ STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 #: compression, predictor, tile side and byte order of a stored text, dealt by its bytes
-LAYOUTS = [(code, predictor, tile, order) for tile in (0, ROW) for code, predictor in ((DEFLATE, 2), (LZW, 2), (PACKBITS, 1), (RAW, 1)) for order in ("<" if tile else ">",)]
+LAYOUTS = [(code, predictor, tile, order) for tile in (0, ROW) for code, predictor in ((DEFLATE, 2), (LZW, 1), (PACKBITS, 1), (RAW, 1)) for order in ("<" if tile else ">",)]
 
 
 def layout_of(payload: bytes) -> tuple[int, int, int, str]:
