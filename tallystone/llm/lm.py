@@ -42,12 +42,12 @@ HEAD = 2047
 TAILS = 512
 TAIL_BYTES = 3
 WIDTH = 32
-BATCH = 512
+BATCH = 1024
 NOISE = 64
 LOCAL = 200_000  # most frequent words, whose counts every task knows; those of the others are joined
 SLICE = 1 << 23  # bytes of text worked on at once, or one text
 ROUNDS = 2
-RATE = 0.08
+RATE = 0.05
 ADD = 0.1
 HELD_OUT = 10
 #: bytes as words have them: A-Z lower-cased, white space as a blank
@@ -177,11 +177,13 @@ class Parameters:
 
 
 def _summed(at: np.ndarray, what: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows and the sums of `what` by them."""
+    """Distinct rows and the sums of `what` by them, as differences of running sums."""
     order = np.argsort(at, kind="stable")
     rows = at[order]
-    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    return rows[first].astype(np.int64), np.add.reduceat(what[order], first, axis=0)
+    last = np.append(np.flatnonzero(rows[1:] != rows[:-1]), len(rows) - 1)
+    upto = np.cumsum(what[order], axis=0)[last]
+    upto[1:] -= upto[:-1].copy()
+    return rows[last].astype(np.int64), upto
 
 
 class Trainer:
