@@ -145,6 +145,7 @@ class Corpus:
         from pyarrow import fs
 
         self.spark, self.folder, self.chain_root = spark, folder.rstrip("/"), chain_root
+        self.schemas: dict = {}  # of families read before, so that no footer is read for them again
         self.fs, self.path = fs.FileSystem.from_uri(self.folder if "://" in folder or folder.startswith("file:") else "file://" + self.folder)
 
     # small files
@@ -313,6 +314,7 @@ class Corpus:
         for run in (old := self.runs(seen)):
             own = {f or ROWS: self.read([run], f or ROWS) for f, _, _ in run.families}
             out.append(self._write(make(own), run.level, (run.from_tx, run.to_tx, run.from_height, run.to_height), out[-1].name if out else ""))
+        self.schemas.clear()
         self.commit(out, seen)
         self.retire(old)
         return out
@@ -339,7 +341,10 @@ class Corpus:
         paths = [f"{self.folder}/{r.path}" + ("" if r.families[0][0] == "" else f"/{family}") for r in own if any(f[0] in ("", family) and f[1] for f in r.families)]
         if not paths and own:  # no row, but a schema
             paths = [f"{self.folder}/{own[0].path}/{family}"]
-        return self.spark.read.parquet(*paths)
+        reader = self.spark.read
+        got = (reader.schema(self.schemas[family]) if family in self.schemas else reader).parquet(*paths)
+        self.schemas[family] = got.schema
+        return got
 
     def scan(self, family: str = ROWS, runs: list[Run] | None = None) -> DataFrame:
         """All rows by run, then by the family's key; a run that can't be read is an error, that of the first one."""
