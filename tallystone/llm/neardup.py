@@ -34,6 +34,7 @@ SEED = 42
 CROWD = 48
 RADIUS = 2
 TABLES = 32
+MARKS = 8  # words of 64 bits that a difference from a centre is marked in; a power of 2
 ROWS = 6  # least hashes of a table's slot: texts of similarity j share one of the slots with chance 1 - (1 - j^ROWS)^TABLES, 0.9999 at 0.8, whatever else the table holds
 #: bits of a byte, each in a byte of its own
 SPREAD = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.uint64) << (8 * np.arange(8, dtype=np.uint64))).sum(1).astype(np.uint64)
@@ -269,7 +270,8 @@ def differing(shared: DataFrame, centres: DataFrame, roots: DataFrame, sets: Dat
     shingles or more. One of a pair that is of two components isn't similar to c, so its D
     is larger than (|x| + |c|) / 9, and A is above 0: the pair shares a shingle among the
     first |D| - A + 1 of either D, ordered alike (what c lacks first), and so many are left
-    after it on both sides as A needs. Nothing is missed, and groups of copies that are
+    after it on both sides as A needs; and no more marks of either D than that allows are
+    missing in the other. Nothing is missed, and groups of copies that are
     unlike each other make no pairs but those that share their changes.
     """
     own = roots.select(F.col("node").alias("n"), "root")
@@ -283,15 +285,22 @@ def differing(shared: DataFrame, centres: DataFrame, roots: DataFrame, sets: Dat
     of = lambda node, out: sets.select(F.col("node").alias(node), F.col("shingles").alias(out)).hint("merge")
     both = groups.join(of("node", "s"), "node").join(of("centre", "c"), "centre")
     apart = both.select("centre", "node", "root", "lone", F.size("s").alias("size"), F.size("c").alias("c_size"), F.concat(F.array_sort(F.array_except("s", "c")), F.array_sort(F.array_except("c", "s"))).alias("d"))
+    # marks of D, a bit a shingle: what is marked in one and not in the other isn't shared
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+    word = lambda i: F.aggregate("d", F.lit(0).cast("long"), lambda acc, t: F.when(F.shiftrightunsigned(t, 6).bitwiseAND(F.lit(MARKS - 1)) == i, acc.bitwiseOR(bit(t))).otherwise(acc))
+    apart = apart.withColumns({f"m{i}": word(i) for i in range(MARKS)})
+    marks = [f"m{i}" for i in range(MARKS)]
     n = F.size("d")
-    # twice 18 A at least, of any partner, and of a partner that isn't similar to the centre
+    # 18 A at least, of any partner, and of a partner that isn't similar to the centre
     least = F.when(F.col("lone"), (9 * n - F.col("size") - F.col("c_size")) * 9 / 5).otherwise(9 * n + F.col("c_size") - F.col("size"))
     first = n - F.greatest(F.ceil(least / 18), F.lit(1)).cast("int") + 1
-    listed = apart.withColumn("n", n).select("centre", "node", "root", "lone", "size", "n", F.posexplode(F.slice("d", F.lit(1), F.greatest(first, F.lit(0)))).alias("at", "token"))
+    listed = apart.withColumn("n", n).select("centre", "node", "root", "lone", "size", "n", *marks, F.posexplode(F.slice("d", F.lit(1), F.greatest(first, F.lit(0)))).alias("at", "token"))
     listed = written(listed, "changes")
-    x = listed.where("lone").select("centre", "token", F.col("node").alias("p"), F.col("root").alias("p_root"), F.col("size").alias("p_size"), (F.col("n") - F.col("at")).alias("p_left"), F.col("n").alias("p_n"))
-    y = listed.select("centre", "token", F.col("node").alias("q"), F.col("root").alias("q_root"), F.col("size").alias("q_size"), (F.col("n") - F.col("at")).alias("q_left"), F.col("n").alias("q_n"))
-    enough = 18 * F.least("p_left", "q_left") >= 9 * (F.col("p_n") + F.col("q_n")) - F.col("p_size") - F.col("q_size")
+    x = listed.where("lone").select(*(F.col(m).alias(f"p_{m}") for m in marks), "centre", "token", F.col("node").alias("p"), F.col("root").alias("p_root"), F.col("size").alias("p_size"), (F.col("n") - F.col("at")).alias("p_left"), F.col("n").alias("p_n"))
+    y = listed.select(*(F.col(m).alias(f"q_{m}") for m in marks), "centre", "token", F.col("node").alias("q"), F.col("root").alias("q_root"), F.col("size").alias("q_size"), (F.col("n") - F.col("at")).alias("q_left"), F.col("n").alias("q_n"))
+    only = lambda a, b: sum((F.bit_count(F.col(f"{a}_{m}").bitwiseAND(F.bitwise_not(F.col(f"{b}_{m}")))) for m in marks), F.lit(0))
+    shared_most = F.least("p_left", "q_left", F.col("p_n") - only("p", "q"), F.col("q_n") - only("q", "p"))
+    enough = 18 * shared_most >= 9 * (F.col("p_n") + F.col("q_n")) - F.col("p_size") - F.col("q_size")
     met = x.withColumnsRenamed({"centre": "c", "token": "t"}).join(y.hint("merge"), (F.col("c") == F.col("centre")) & (F.col("t") == F.col("token")) & (F.col("p_root") != F.col("q_root")) & enough)
     return met.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
