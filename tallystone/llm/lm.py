@@ -140,20 +140,20 @@ class Classes:
         self.share = self.mass / self.mass.sum()
 
     def classify(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.ids.__getitem__, words), np.int64, len(words))
+        return np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words))
 
     def sequence(self, words: pa.Array, tokens: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
         """Of texts laid end to end, each with its end: class, the one before, the one before that, each token's word (-1 the end), and where texts start."""
         ends = np.cumsum(sizes + 1) - 1
         starts = ends - sizes
-        word = np.full(len(tokens) + len(sizes), -1)
+        word = np.full(len(tokens) + len(sizes), -1, np.int32)
         inner = np.ones(len(word), bool)
         inner[ends] = False
         word[inner] = tokens
-        w = np.append(self.classify(words.cast(pa.binary()).to_pylist()), self.end)[word]
-        h1 = np.concatenate([[self.start], w[:-1]])
+        w = np.append(self.classify(words.cast(pa.binary()).to_pylist()), np.int32(self.end))[word]
+        h1 = np.roll(w, 1)
         h1[starts] = self.start
-        h2 = np.concatenate([[self.start], h1[:-1]])
+        h2 = np.roll(h1, 1)
         h2[starts] = self.start
         return w, h1, h2, word, starts
 
