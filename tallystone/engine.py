@@ -39,7 +39,7 @@ class Engine:
     genesis_accounts: DataFrame
     codes: DataFrame
     wire_txs: DataFrame
-    chain_id: int = 43114
+    chain_id: int = 1337
 
     @classmethod
     def bound(cls, spark: SparkSession, folder: str) -> Engine:

@@ -149,7 +149,7 @@ def typed_txs(spark: SparkSession, sf_dir: str) -> DataFrame:
     say = lambda letter, c: F.concat(F.lit(f"{letter}:"), F.col(c).cast("string"))
     named = own.withColumn("type", kind).withColumns({
         "price": F.when(F.col("type") == 2, F.least(F.col("fee_cap"), F.col("tip_cap") + F.col("base_fee"))).otherwise(F.col("fee_cap")),
-        "parity": F.col("txnum") % 2, "chain_id": F.lit(43114), "access": F.array(F.struct(say("p", "emitter").alias("address"), F.array(F.concat(F.lit("k:"), (F.col("txnum") % 5).cast("string"))).alias("storageKeys"))),
+        "parity": F.col("txnum") % 2, "chain_id": F.lit(1337), "access": F.array(F.struct(say("p", "emitter").alias("address"), F.array(F.concat(F.lit("k:"), (F.col("txnum") % 5).cast("string"))).alias("storageKeys"))),
         "to": F.when(~creates, say("s", "recipient")), "contract": F.when(creates, say("n", "txnum")), "root": F.when(F.col("height") < 100, F.concat(F.lit("0x"), hashed("r", F.col("txnum")))),
         "logs": F.when(F.col("tx_index") % 2 == 0, F.array(F.struct(say("p", "emitter").alias("address"), F.array(F.concat(F.lit("t:"), (F.col("txnum") % 3).cast("string"))).alias("topics"), F.lit("0x0").alias("logIndex")))).otherwise(F.array().cast("array<struct<address:string,topics:array<string>,logIndex:string>>")),
     })
@@ -161,7 +161,7 @@ w AS (SELECT t.*, b.hash block_hash, tx_index % 3 kind, CASE WHEN tx_index % 3 =
     concat('0x', lower(to_hex(t.height))) bn, concat('0x', lower(to_hex(tx_index))) ti, cast(sum(t.gas_used) OVER (PARTITION BY t.height ORDER BY tx_index) AS bigint) cumulative FROM txs t JOIN blocks b ON b.height = t.height),
 wire AS (SELECT height, txnum, tx_index, tx_hash, concat('{"hash":"0x', tx_hash, '","type":"0x', kind, '","nonce":"0x', lower(to_hex(nonce)), '","blockHash":"0x', block_hash, '","blockNumber":"', bn, '","transactionIndex":"', ti, '","from":"c:', sender, '",', dest,
     '"gas":"0x32","gasPrice":"0x', lower(to_hex(paid)), '"', CASE WHEN kind = 2 THEN concat(',"maxFeePerGas":"0x', lower(to_hex(fee_cap)), '","maxPriorityFeePerGas":"0x', lower(to_hex(tip_cap)), '"') ELSE '' END,
-    CASE WHEN kind > 0 THEN concat(',"chainId":"0xa86a","accessList":[{"address":"p:', emitter, '","storageKeys":["k:', txnum % 5, '"]}],"yParity":"0x', txnum % 2, '"') ELSE '' END, '}') json FROM w)
+    CASE WHEN kind > 0 THEN concat(',"chainId":"0x539","accessList":[{"address":"p:', emitter, '","storageKeys":["k:', txnum % 5, '"]}],"yParity":"0x', txnum % 2, '"') ELSE '' END, '}') json FROM w)
 """
 
 
