@@ -9,8 +9,8 @@ Schedule: slot i takes the golden-ratio point frac(i * phi) (64-bit fixed point,
 and falls to the source whose share of the unit interval holds it; slots are ranked within
 their source. Documents of a source are laid end to end in a shuffled order, `passes`
 times, and cut into blocks of equally many words; the k-th slot of a source takes its k-th
-block, and a document takes the words that it has in the blocks taken. So a source takes
-as many of its first words as it has slots times a block, and counting its slots is enough.
+block, and a document takes the words that it has in the blocks taken. Taken blocks are
+met by pages of 64, a bit a block.
 
 Running sums within a source are taken in two steps, over hash buckets of it and over the
 buckets, so that a source with most of the rows is dealt to many tasks.
@@ -32,6 +32,8 @@ PASSES = 3
 WORD = r"[^\x20\x09-\x0D]+"
 PHI = 11400714819323198485  # 2**64 / golden ratio, odd
 BLOCK = 16  # words of a block, whatever the size of the whole
+STRETCH = 1 << 16  # slots that are ranked together, whatever their number
+PAGE = 64  # blocks of a page, the bits of a long
 
 
 def word_count(text: Column) -> Column:
@@ -77,7 +79,7 @@ def with_targets(sources: DataFrame, passes: int) -> DataFrame:
 
 
 def slots_of(sources: DataFrame, total: int, block: int, grid: int = 4096) -> DataFrame:
-    """sid and blocks, the number of slots of the schedule that fall to it, of each source with one."""
+    """slot, sid and rank (among the slots of its source) of each slot of the schedule that has a source."""
     spark = sources.sparkSession
     n = -(-total // block)
     parts = partitions(spark)
@@ -87,7 +89,35 @@ def slots_of(sources: DataFrame, total: int, block: int, grid: int = 4096) -> Da
     cells = share.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * grid), F.least(F.floor(F.col("hi") * grid), F.lit(grid - 1)))))
     point = F.expr(f"cast(cast((cast(id as decimal(20,0)) * cast({PHI} as decimal(20,0))) % cast(18446744073709551616 as decimal(20,0)) as double) / 18446744073709551616 as double)")
     slots = spark.range(0, n, 1, parts).withColumn("u", point).withColumn("cell", F.least(F.floor(F.col("u") * grid), F.lit(grid - 1)))
-    return slots.join(cells, "cell").where("u >= lo and u < hi").groupBy("sid").agg(F.count("*").alias("blocks"))
+    dealt = slots.join(cells, "cell").where("u >= lo and u < hi").select(F.col("id").alias("slot"), "sid", F.floor(F.col("id") / STRETCH).alias("stretch"))
+    # written, so that the points aren't made twice
+    return summed_before(written(dealt, "dealt"), ["sid"], "stretch", [F.col("slot")], F.lit(1), "rank").select("slot", "sid", "rank")
+
+
+def bits(first: Column, last: Column) -> Column:
+    """A long with the bits from first to last, of 0 to 63."""
+    ones = F.lit(-1).cast("long")
+    return F.call_function("shiftleft", F.call_function("shiftrightunsigned", ones, (63 - (last - first)).cast("int")), first.cast("int"))
+
+
+def words_taken(lie: DataFrame, slots: DataFrame, block: int) -> DataFrame:
+    """sid, at and taken: the words that stretches (from, upto) of documents have in the blocks that have a slot.
+
+    The k-th slot of a source takes its k-th block. A page holds the taken ones of PAGE
+    blocks, so that a document meets as many rows as it has pages, not blocks.
+    """
+    page, within = F.floor(F.col("rank") / PAGE), F.col("rank") % PAGE
+    pages = slots.groupBy("sid", page.alias("page")).agg(F.bit_or(bits(within, within)).alias("full"))
+    # ends of a stretch in blocks, then in those of the page
+    ends = lie.withColumn("first", F.floor(F.col("from") / block)).withColumn("last", F.floor((F.col("upto") - 1) / block))
+    each = ends.withColumn("page", F.explode(F.sequence(F.floor(F.col("first") / PAGE), F.floor(F.col("last") / PAGE))))
+    start = F.col("page") * PAGE
+    low, high = F.greatest("first", start) - start, F.least("last", start + PAGE - 1) - start
+    has = lambda at: F.col("full").bitwiseAND(bits(at, at)) != 0
+    whole = F.bit_count(F.col("full").bitwiseAND(bits(low, high))) * block
+    ahead = F.when((F.col("first") >= start) & has(low), F.col("from") - F.col("first") * block).otherwise(0)
+    beyond = F.when((F.col("last") < start + PAGE) & has(high), (F.col("last") + 1) * block - F.col("upto")).otherwise(0)
+    return each.join(pages, ["sid", "page"]).groupBy("sid", "at").agg(F.sum(whole - ahead - beyond).alias("taken"))
 
 
 def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, passes: int = PASSES, block_words: int | None = None, seed: int = 7) -> DataFrame:
@@ -110,12 +140,11 @@ def mixed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     placed = written(summed_before(placed, ["sid"], "bucket", [F.col("turn"), F.col("doc_id"), F.col("size"), F.col("text_key")], F.col("size"), "at"), "placed")
     if not total:
         return placed.select("doc_id", "source", "size", "text_key", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    most = written(slots_of(sources, total, block), "slots")
-    # the stretch of a document in each pass, and what of it lies in the blocks that are taken
-    lie = placed.where("size > 0").join(salted(most), ["sid", "salt"]).select("sid", "at", "size", "blocks", "source_size", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"))
-    lie = lie.withColumn("from", F.col("pass") * F.col("source_size") + F.col("at")).withColumn("upto", F.col("from") + F.col("size"))
-    words = F.least(F.col("upto"), F.col("blocks") * block) - F.col("from")
-    taken = lie.where(words > 0).groupBy("sid", "at").agg(F.sum(words).alias("taken")).withColumn("full", F.lit(True))
+    slots = written(slots_of(sources, total, block), "slots")
+    # the stretch of a document in each pass
+    lie = placed.where("size > 0").select("sid", "at", "size", "source_size", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"))
+    lie = lie.withColumn("from", F.col("pass") * F.col("source_size") + F.col("at")).select("sid", "at", "from", (F.col("from") + F.col("size")).alias("upto"))
+    taken = words_taken(lie, slots, block).withColumn("full", F.lit(True))
     out = placed.withColumn("full", F.col("size") > 0).join(taken, ["sid", "at", "full"], "left")
     return out.select("doc_id", "source", "size", "text_key", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 

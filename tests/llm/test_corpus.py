@@ -712,3 +712,33 @@ def test_small_sources_of_a_large_mix_meet_their_targets(spark):
     small = spark.range(1000, 1080).selectExpr("id doc_id", "repeat('w ', 15) text", "concat('b', id div 4) source")
     got = mixing.mixed(large.union(small)).where("source <> 'a'").groupBy("source").agg(F.sum("taken").alias("n"), F.first("target").alias("target")).collect()
     assert len(got) == 20 and all(abs(r.n - r.target) <= 2 * 16 for r in got)
+
+
+def test_slots_are_ranked_and_take_the_block_of_their_rank(spark, monkeypatch):
+    sources = spark.createDataFrame([("a", 0, 5000, 6000.0, 0), ("b", 1, 4000, 2500.5, 0), ("c", 2, 0, 0.0, 1), ("d", 3, 2000, 2499.5, 1)], "source string, sid long, source_size long, target double, part int")
+    monkeypatch.setattr(mixing, "STRETCH", 50)
+    want, ranks = [], Counter()
+    for i in range(688):
+        u = (i * mixing.PHI % (1 << 64)) / (1 << 64) * 11000
+        sid = 0 if u < 6000 else 1 if u < 8500.5 else 3
+        want.append((i, sid, ranks[sid]))
+        ranks[sid] += 1
+    assert sorted((r.slot, r.sid, r["rank"]) for r in mixing.slots_of(sources, 11000, 16).collect()) == want
+
+    # a block without its slot isn't taken, whatever follows it
+    slots_of = mixing.slots_of
+    monkeypatch.setattr(mixing, "slots_of", lambda *how: slots_of(*how).where("rank % 5 <> 2"))
+    rng = random.Random(12)
+    rows = [(i, "s" if i % 3 else "t", " ".join("w" for _ in range(rng.choice([1, 7, 16, 40, 3000])))) for i in range(90)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    total = sum(r.size for r in got)
+    for source in "st":
+        own = sorted((r for r in got if r.source == source), key=lambda r: ((h := spark_hash_long(7, r.doc_id)) >> 32) % 64 * (1 << 65) + signed(h))
+        size, share = own[0].source_size, own[0].target / total
+        low, high = (0, share) if source == "s" else (1 - share, 1)
+        n = sum(low <= (i * mixing.PHI % (1 << 64)) / (1 << 64) < high for i in range(-(-total // 16)))
+        takes, at = [0] * len(own), 0
+        owner = [j for j, r in enumerate(own) for _ in range(r.size)]
+        for word in range(min(n * 16, 3 * size)):
+            takes[owner[word % size]] += word // 16 % 5 != 2
+        assert [r.taken for r in own] == takes
