@@ -196,15 +196,16 @@ def slots_of(own: np.ndarray, tables: int, rows: int) -> np.ndarray:
 
 
 def sets_of(df: DataFrame, words: int) -> DataFrame:
-    """doc_id, text_key, shingles (their distinct hashes) and slots (of TABLES tables) of every row."""
+    """doc_id, text_key, shingles (their distinct hashes), slots (of TABLES tables) and fp (the fingerprint of those hashes) of every row."""
 
     def run(batches):
         for batch in batches:
             own = [np.unique(hashes_of(t.as_py(), words)) for t in batch.column(2)]
             lists = ([x.view(np.int64) for x in own], [slots_of(x, TABLES, ROWS) for x in own])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.list_(pa.int64())) for x in lists)], ["doc_id", "text_key", "shingles", "slots"])
+            prints = pa.array(np.array([fingerprint(x) for x in own], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.list_(pa.int64())) for x in lists), prints], ["doc_id", "text_key", "shingles", "slots", "fp"])
 
-    return df.selectExpr("cast(doc_id as long) doc_id", "xxhash64(coalesce(text, '')) text_key", "text").mapInArrow(run, "doc_id long, text_key long, shingles array<long>, slots array<long>")
+    return df.selectExpr("cast(doc_id as long) doc_id", "xxhash64(coalesce(text, '')) text_key", "text").mapInArrow(run, "doc_id long, text_key long, shingles array<long>, slots array<long>, fp long")
 
 
 def shared_slots(nodes: DataFrame, name: str) -> DataFrame:
@@ -232,6 +233,21 @@ def alike(pairs: DataFrame, sets: DataFrame, name: str) -> DataFrame:
     return written(pairs.join(one, "a").join(two, "b").where(bound & (9 * F.size(F.array_intersect("sa", "sb")) >= 4 * n)).select("a", "b"), name)
 
 
+def embedded(nodes: DataFrame) -> DataFrame:
+    """a < b: nodes whose fingerprints the grid join over the embedding links; one node stands for those of a fingerprint, and is paired with them."""
+    stands = written(nodes.groupBy("fp").agg(F.min("node").alias("stand")), "stands")
+    of = lambda fp, node: stands.select(F.col("fp").alias(fp), F.col("stand").alias(node)).hint("merge")
+    linked = links(stands.select("fp")).join(of("a", "p"), "a").join(of("b", "q"), "b").select("p", "q")
+    same = nodes.join(of("fp", "p"), "fp").where("node <> p").select("p", F.col("node").alias("q"))
+    return linked.union(same).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+
+
+def parted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Those of the pairs a < b whose nodes aren't in one component yet."""
+    one, two = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    return pairs.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+
+
 def centred(shared: DataFrame) -> DataFrame:
     """slot and centre: the node of the slot that meets most others over all slots, by number if several do.
 
@@ -264,8 +280,8 @@ def crossing(shared: DataFrame, roots: DataFrame) -> DataFrame:
 def differing(shared: DataFrame, centres: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
     """a < b: all pairs of nodes that share a slot, aren't in one component yet and may be similar.
 
-    Every node x of a slot has been compared with its centre c. D(x), what x and c don't
-    share, settles the rest: sets x and y are similar if |x ^ y| <= (|x| + |y|) / 9, and
+    Every node x of a slot has been compared with its centre c or is in one component with
+    it. D(x), what x and c don't share, settles the rest: sets x and y are similar if |x ^ y| <= (|x| + |y|) / 9, and
     x ^ y = D(x) ^ D(y), so D(x) and D(y) share A = (|D(x)| + |D(y)| - (|x| + |y|) / 9) / 2
     shingles or more. One of a pair that is of two components isn't similar to c, so its D
     is larger than (|x| + |c|) / 9, and A is above 0: the pair shares a shingle among the
@@ -308,21 +324,27 @@ def differing(shared: DataFrame, centres: DataFrame, roots: DataFrame, sets: Dat
 def similar_classes(df: DataFrame, words: int = 5) -> DataFrame:
     """doc_id, text_key and root of every row: components of texts whose shingle sets have a similarity of 0.8 or more.
 
-    Candidates share a slot of TABLES tables of least hashes. First the nodes of each slot
-    are compared with its centre, which joins groups of near-copies by as many pairs as they
-    have nodes. What shares a slot and isn't in one component after that is compared pair
-    by pair in slots of up to CROWD nodes, and in fuller ones where what the two don't share
-    with the centre leaves a chance. Every candidate is decided by its exact similarity.
+    First candidates are the links of the operator: fingerprints RADIUS or fewer bits apart,
+    by the grid join over the embedding. At a similarity of 0.8, fingerprints are 5 to 13
+    bits apart, so what that leaves in several components goes on: candidates then share a
+    slot of TABLES tables of least hashes. The nodes of each slot are compared with its
+    centre, which joins groups of near-copies by as many pairs as they have nodes. What
+    shares a slot and isn't in one component after that is compared pair by pair in slots
+    of up to CROWD nodes, and in fuller ones where what the two don't share with the centre
+    leaves a chance. Every candidate is decided by its exact similarity.
     """
     prints = sets_of(df, words).withColumn("node", F.xxhash64("shingles"))
     prints = written(prints.drop("shingles"), "prints")
     nodes = prints.groupBy("node").agg(F.first("slots").alias("slots"))
     shared = shared_slots(nodes, "shared")
-    sets = sets_by_node(df, prints, shared.select(F.explode("all").alias("node")).distinct(), words)
+    near = written(embedded(prints.select("node", "fp").distinct()), "near")
+    wanted = shared.select(F.explode("all").alias("node")).union(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    sets = sets_by_node(df, prints, wanted, words)
     centres = centred(shared)
     tried = links_found = roots = None
     steps = (
-        lambda: starred(shared, centres),
+        lambda: near,
+        lambda: parted(starred(shared, centres), roots),
         lambda: crossing(shared.where(F.size("all") <= CROWD), roots),
         lambda: differing(shared.where(F.size("all") > CROWD), centres, roots, sets),
     )

@@ -742,3 +742,29 @@ def test_slots_are_ranked_and_take_the_block_of_their_rank(spark, monkeypatch):
         for word in range(min(n * 16, 3 * size)):
             takes[owner[word % size]] += word // 16 % 5 != 2
         assert [r.taken for r in own] == takes
+
+
+def test_the_stage_links_by_the_embedding(spark, monkeypatch):
+    """Where no slot is shared, the operator's links join near-copies, and the exact check decides them."""
+    shared_slots = neardup.shared_slots
+    monkeypatch.setattr(neardup, "shared_slots", lambda nodes, name: shared_slots(nodes, name).where("false"))
+    rng = random.Random(41)
+    rows, prints = [], []
+    for i in range(80):
+        words = [f"e{rng.randrange(10**9)}" for _ in range(400)]
+        rows.append((i, " ".join(words if i % 2 == 0 else [*rows[-1][1].split(), "end"])))
+        own = rows[-1][1].split()
+        hashes = {xxhash.xxh64_intdigest(" ".join(own[j : j + 5]), 42) for j in range(len(own) - 4)}
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)))
+    rows += [(100, rows[0][1] + " " + rows[0][1]), (101, None), (102, "")]
+    got = {r.doc_id: r.root for r in neardup.similar_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    joined = [got[i] == got[i + 1] for i in range(0, 80, 2)]
+    assert joined == [(prints[i] ^ prints[i + 1]).bit_count() <= 2 for i in range(0, 80, 2)]
+    assert 10 < sum(joined) < 40 and len({got[i] for i in range(0, 80, 2)}) == 40 and got[101] == got[102]
+
+    # two sets of one fingerprint that aren't similar: the exact check parts them
+    nodes = spark.createDataFrame([(1, 5), (2, 5), (3, 4), (4, -1)], "node long, fp long")
+    pairs = neardup.embedded(nodes)
+    assert {tuple(r) for r in pairs.collect()} == {(1, 2), (1, 3)}
+    sets = spark.createDataFrame([(1, list(range(9))), (2, list(range(8))), (3, list(range(5, 14)))], "node long, shingles array<long>")
+    assert [tuple(r) for r in neardup.alike(pairs, sets, "alike").collect()] == [(1, 2)]
