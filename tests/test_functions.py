@@ -89,6 +89,18 @@ def _blocks(spark, n):
     return spark.range(n).select(F.col("id").alias("height"), (F.col("id") * 3).alias("first_tx"), (F.col("id") * 3 + 2).alias("boundary_tx"))
 
 
+def test_receipts_shuffle_transactions_once(spark):
+    from tallystone.plans import bindings, lifecycle
+
+    bindings.ledger_corpus(spark, SF)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = lifecycle.f14_receipt_json(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("hashpartitioning") == 2 and plan.count("SortMergeJoin") == 1  # transactions and blocks, by height
+
+
 def test_cuts_by_doubling_jumps(spark):
     rng = random.Random(3)
     counts, first, rows = [rng.choice([0, 1, 5, 30]) for _ in range(400)], 0, []
