@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from tallystone.functions import keccak, rlp
 
 
+HASHED = 2048  # messages hashed at once, so that their states stay near the processor
+
+
 def put(n: int) -> bytes:
     out = bytearray()
     while n >= 0x80:
@@ -119,6 +122,71 @@ def trie_root(pairs: dict[bytes, bytes]) -> bytes:
     return keccak.digest(rlp.encode(_node(nibbles, 0)))
 
 
+def roots(lists: list[list[bytes]]) -> list[bytes]:
+    """`root` of each list; the nodes of all tries at one distance from their leaves are hashed together."""
+    shapes: dict[int, list] = {}
+    out: list[bytes] = [keccak.digest(rlp.encode(b""))] * len(lists)
+    waiting: list[list[tuple[list, int, object]]] = []  # by level: where a node goes, and the node
+
+    def plan(n: int):
+        """The trie of n values: [level, kind, ...] with places of values in it, the same for every list of n."""
+        if n not in shapes:
+            keys = sorted((tuple(x for b in rlp.encode(i) for x in (b >> 4, b & 15)), i) for i in range(n))
+            shapes[n] = _shape(keys, 0)
+        return shapes[n]
+
+    def put(shape, values: list[bytes], into: list, at: int) -> None:
+        level, kind, own, below = shape
+        while len(waiting) <= level:
+            waiting.append([])
+        if kind == "leaf":
+            node = [own, values[below]]
+        elif kind == "path":
+            node = [own, b""]
+            put(below, values, node, 1)
+        else:
+            node = [b""] * 17
+            node[16] = b"" if own is None else values[own]
+            for nibble, child in below:
+                put(child, values, node, nibble)
+        waiting[level].append((into, at, node))
+
+    tops: list[list] = []
+    for i, values in enumerate(lists):
+        if values:
+            top = [b"", i]
+            tops.append(top)
+            put(plan(len(values)), values, top, 0)
+    heads = {id(t) for t in tops}
+    for level in waiting:
+        raws = [rlp.encode(node) for _, _, node in level]
+        long = [k for k, raw in enumerate(raws) if len(raw) >= 32 or id(level[k][0]) in heads]
+        got: dict[int, bytes] = {}
+        for first in range(0, len(long), HASHED):
+            some = long[first : first + HASHED]
+            got |= zip(some, keccak.digests([raws[k] for k in some]), strict=True)
+        for k, (into, at, node) in enumerate(level):
+            into[at] = got.get(k, node)
+    for digest, i in tops:
+        out[i] = digest
+    return out
+
+
+def _shape(keys: list[tuple[tuple[int, ...], int]], at: int) -> list:
+    """The level, kind, path or value, and children of the node of sorted keys that agree before nibble `at`."""
+    if len(keys) == 1:
+        return [0, "leaf", _compact(keys[0][0][at:], True), keys[0][1]]
+    first, last = keys[0][0], keys[-1][0]
+    same = at
+    while same < min(len(first), len(last)) and first[same] == last[same]:
+        same += 1
+    if same > at:
+        below = _shape(keys, same)
+        return [below[0] + 1, "path", _compact(first[at:same], False), below]
+    children = [(nibble, _shape(own, at + 1)) for nibble in range(16) if (own := [k for k in keys if len(k[0]) > at and k[0][at] == nibble])]
+    return [1 + max(c[0] for _, c in children), "branch", next((v for k, v in keys if len(k) == at), None), children]
+
+
 def subtrees(rows: DataFrame) -> DataFrame:
     """prefix (two nibbles) and node: what the trie of (key, value), keys hashed to one length, has below each prefix, a task a prefix."""
     nibble = lambda k: F.substring(F.lower(F.hex("key")), 1, k)

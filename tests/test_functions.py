@@ -168,6 +168,16 @@ def test_blooms_and_roots_by_block(spark):
     assert all(roots[h] == receipts.root([bytes.fromhex(r.tx_hash) for r in sorted(own[h], key=lambda r: r.tx_index)]).hex() for h in some)
 
 
+def test_roots_of_many_blocks_are_hashed_together(monkeypatch):
+    rng = random.Random(1)
+    sizes = [0, 1, 2, 3, 15, 16, 17, 18, 127, 128, 129, 255, 256, 257, 300] + [rng.randrange(20) for _ in range(60)]
+    lists = [[rng.randbytes(rng.choice([1, 5, 32, 33, 200])) for _ in range(n)] for n in sizes]
+    want, calls, digests = [receipts.root(x) for x in lists], [], receipts.keccak.digests
+    monkeypatch.setattr(receipts.keccak, "digests", lambda m: calls.append(len(m)) or digests(m))
+    assert receipts.roots(lists) == want and receipts.roots([]) == []
+    assert len(calls) <= 12 and sum(calls) > 500  # by level, not by block
+
+
 def test_runs_flush_merge_publish(spark, tmp_path):
     rows = spark.range(300).select(F.col("id").alias("txnum"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
     blocks, corpus, at = _blocks(spark, 100), runs.Corpus(spark, str(tmp_path / "c"), "root"), 0
