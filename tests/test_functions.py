@@ -117,6 +117,37 @@ def test_cuts_by_doubling_jumps(spark):
         assert sorted(map(tuple, got)) == want
 
 
+@pytest.mark.parametrize("slots, most, stretch", [(100, 3, 1), (40, 5, 333), (1 << 30, 2, 1)])
+def test_cuts_over_many_stretches(spark, slots, most, stretch):
+    rng, first, rows = random.Random(5), 0, []
+    for h in range(1500):
+        n = rng.choice([0, 1, 5, 30])
+        rows.append((h, first, first + n))
+        first += n + 1
+    want, at = [], 0
+    for h, _, boundary in rows:
+        if boundary + 1 - rows[at][1] >= slots or h - at + 1 >= most:
+            want.append((rows[at][1], boundary + 1, at, h))
+            at = h + 1
+    blocks = spark.createDataFrame(rows, "height long, first_tx long, boundary_tx long")
+    assert sorted(map(tuple, runs.run_cuts(blocks, slots, most, stretch).collect())) == want
+    assert runs.run_cuts(blocks.where("height < 0"), slots, most).collect() == []
+
+
+@pytest.mark.parametrize("name", ["p10_runs_pruned_by_slots"])
+def test_jobs_dont_grow_with_the_number_of_runs(spark, monkeypatch, name):
+    from tallystone.plans import bindings, lifecycle
+
+    monkeypatch.setattr(lifecycle, "TERMINAL", 400)  # 20 merges
+    monkeypatch.setattr(lifecycle, "SLOTS", 50)
+    monkeypatch.setattr(bindings, "_STORED", {k: v for k, v in bindings._STORED.items() if not k[2].startswith("runs")})
+    bindings.ledger_corpus(spark, SF)
+    spark.sparkContext.setJobGroup(name, name)
+    getattr(lifecycle, name)(spark, SF).collect()
+    spark.sparkContext.setJobGroup("none", "none")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(name)) <= 60
+
+
 def test_families_of_a_run(spark, tmp_path):
     blocks = spark.range(50).select(F.col("id").alias("height"), (F.col("id") * 3).alias("txnum"))
     posts = spark.range(150).select(F.col("id").alias("txnum"), (F.col("id") % 7).cast("string").alias("addr"))
@@ -231,6 +262,43 @@ def test_runs_flush_merge_publish(spark, tmp_path):
     assert runs.content_name(rows)[0] == runs.content_name(rows.orderBy(F.desc("txnum")).repartition(7))[0]
 
 
+@pytest.mark.parametrize("families", [False, True])
+def test_merging_all_at_once_gives_the_same_runs(spark, tmp_path, families):
+    rows = spark.range(400).select(F.col("id").alias("txnum"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    made = [runs.Corpus(spark, str(tmp_path / n), "root") for n in "ab"]
+    spans = [(at, at + 40, at // 2, at // 2 + 19) for at in range(0, 400, 40)]
+    none = rows.where("txnum >= 120 and txnum < 240")  # a family that has rows in some runs only
+    for corpus in made:
+        if families:
+            for span in spans[:7]:
+                corpus.flush({"txs": rows, "postings": none.select(F.substring("v", 1, 2).alias("addr"), "txnum")}, span)
+        else:
+            corpus.flush_all(rows, spans)
+    one, all_ = made
+    want = []
+    while run := one.merge(100):
+        want.append(run)
+    at, jobs = all_.generation(), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("all", "all")
+    got = all_.merge_all(100)
+    spark.sparkContext.setJobGroup("none", "none")
+    assert len(jobs.getJobIdsForGroup("all")) <= 12 * (1 + families)  # as many passes however many runs there are
+    said = lambda r: (r.name, r.level, r.from_tx, r.to_tx, r.from_height, r.to_height, r.rows)
+    assert [said(r) for r in got] == [said(r) for r in want] and [said(r) for r in all_.runs()] == [said(r) for r in one.runs()]
+    assert all_.generation() == at + 1 and all_.merge_all(100) == []
+    all_.present(all_.runs())
+    for family in ("txs", "postings") if families else (runs.ROWS,):
+        for run, same in zip(all_.runs(), one.runs()):
+            again = runs.Corpus(spark, str(tmp_path / "b"), "root").read([run], family)
+            key = runs.ORDER.get(family, ["txnum"])
+            files = {}
+            for r in again.select("*", F.col("_metadata.file_path").alias("file")).collect():
+                files.setdefault(r.file, []).append(tuple(r[k] for k in key))
+            assert all(f == sorted(f) for f in files.values())
+            want = one.read([same], family)
+            assert sorted(again.select(want.columns).collect()) == sorted(want.collect())
+
+
 def _chain(a, b):
     h = lambda i: hashlib.sha256(str(i).encode()).hexdigest()
     return [(i, h(i), h(i - 1), [f"t{i}-{k}" for k in range(i % 3)]) for i in range(a, b)]
