@@ -134,7 +134,7 @@ def test_cuts_over_many_stretches(spark, slots, most, stretch):
     assert runs.run_cuts(blocks.where("height < 0"), slots, most).collect() == []
 
 
-@pytest.mark.parametrize("name", ["p10_runs_pruned_by_slots", "s17_s18_published_and_joined", "s16_c3_runs_read_back", "s9_ordered_scan", "v8_v9_v10_runs_verified"])
+@pytest.mark.parametrize("name", ["p10_runs_pruned_by_slots", "s16_c3_runs_read_back", "s17_s18_published_and_joined", "v8_v9_v10_runs_verified", "s9_ordered_scan"])
 def test_jobs_dont_grow_with_the_number_of_runs(spark, monkeypatch, name):
     from tallystone.plans import bindings, lifecycle
 
